@@ -1,7 +1,8 @@
-"""Registry of the analytics queries and the SQL they are compared with."""
+"""All analytics queries and the SQL they are compared with."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = "tick_volatility_report"
+from tickweave.plans import features  # noqa: F401
+from tickweave.plans.registry import ORACLES, QUERIES  # noqa: F401
+
+FLAGSHIP = "model_compare"
