@@ -12,13 +12,17 @@ loses.
 In every node all sets are compared with the node's smallest id; what is confirmed
 on full sets joins components. A node whose sets all have one component is done,
 however large it is. Of the other nodes, small ones are compared exhaustively
-across components, and large ones branch further; nodes that are still large at
-the last level are compared across components by a join. So groups of very many
+across components; in large ones all sets are compared with a few further members,
+and those that still hold several components branch on. Nodes that are still large
+at the last level are compared on full sets, blocks of the smaller components with
+blocks of all members, by an index of shingles within each pair of blocks. So groups of very many
 copies cost a comparison per copy, and no cap drops a candidate.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,7 +39,11 @@ PERCENT = 75
 MINWISE = 128
 TREES = 10
 #: Sets up to which a node is compared exhaustively, and levels of a tree.
-SMALL, LEVELS = 48, 8
+SMALL, LEVELS = 48, 3
+#: Members that all others of a large node with several components are compared with, at each level.
+PIVOTS = 2
+#: Sets of a block in nodes that are still large at the last level.
+BLOCK = 512
 #: Equal minwise tokens (of MINWISE) that a pair needs to be compared on full sets: five standard deviations below the mean at the threshold.
 AGREE = 70
 #: Ids up to which a list of documents (8 bytes each) is broadcast; more are joined by shuffling.
@@ -128,6 +136,34 @@ def _agreeing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _mixed(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members (node, id) of the nodes that hold several components, with label and the node's size."""
+    labelled = scratch.write(members.join(labels, "id", "left").select("node", "id", F.coalesce("label", "id").alias("label")), "labelled")
+    nodes = labelled.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+    out = scratch.write(labelled.join(nodes.select("node", "size"), "node"), "mixed")
+    scratch.drop(labelled)
+    return out
+
+
+def _pivot_pairs(mixed: DataFrame, level: int) -> DataFrame:
+    """Each member with the node's PIVOTS, where these are of another component.
+
+    Pivots are the members with the smallest hashes of id and level, so that nodes
+    of different trees that hold the same group share them.
+    """
+    turn = [F.min(F.struct(F.xxhash64("id", F.lit(level * PIVOTS + k)).alias("turn"), "id", "label")) for k in range(PIVOTS)]
+    pivots = mixed.groupBy("node").agg(F.array(*turn).alias("pivots"))
+    others = F.filter("pivots", lambda p: p["label"] != F.col("label"))
+    rows = mixed.join(pivots, "node").select("id", F.explode(others).alias("p")).select("id", F.col("p.id").alias("other"))
+    return rows.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def _still_open(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those of the pairs whose ends are of different components by now."""
+    a, b = labels.select(F.col("id").alias("a"), F.col("label").alias("la")), labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
+    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+
 def _exhaustive(members: DataFrame) -> DataFrame:
     """Agreeing pairs across components in small nodes; members: node, id, label, low."""
     packed = members.groupBy("node").agg(F.collect_list(F.struct("id", "label", "low")).alias("all")).select("all")
@@ -150,12 +186,72 @@ def _exhaustive(members: DataFrame) -> DataFrame:
     return packed.mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) that are links on full sets."""
-    need = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "need")
+def _texts(ids: DataFrame, docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """Whole texts of the documents whose ids are listed."""
+    need = scratch.write(ids.select("id").distinct(), "need")
     listed = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(listed, "id", "left_semi")
     texts = scratch.write(texts, "texts")
+    scratch.drop(need)
+    return texts
+
+
+def _blockwise(mixed: DataFrame, docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """Links across components in nodes of any size; mixed: node, id, label.
+
+    Left of each pair of blocks are members outside the node's largest component,
+    right are all members. A pair of blocks gives only links that join components
+    which its earlier links don't, fewer than it has components.
+    """
+    sizes = mixed.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("node")
+    sizes = sizes.agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+    parts = lambda n: F.ceil(n / F.lit(BLOCK))
+    rows = mixed.join(sizes.select("node", F.col("top.label").alias("top"), parts(F.col("all")).alias("rights"), parts(F.col("all") - F.col("top.n")).alias("lefts")), "node")
+    block = F.xxhash64("id")
+    left = rows.where("label <> top").select("node", F.pmod(block, F.col("lefts")).alias("x"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("y"), F.lit(True).alias("left"), "id", "label")
+    right = rows.select("node", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("x"), F.pmod(block, F.col("rights")).alias("y"), F.lit(False).alias("left"), "id", "label")
+    placed = scratch.write(left.union(right), "blocks")
+
+    def run(group: pa.Table) -> pa.Table:
+        sides = group.column("left").to_numpy()
+        ids, labels = group.column("id").to_numpy(), group.column("label").to_numpy()
+        sets = [shingles(t.as_py()) for t in group.column("text")]
+        right = [i for i in np.flatnonzero(~sides) if len(sets[i])]
+        a, b = [], []
+        if right:
+            known, at = np.unique(np.concatenate([sets[i] for i in right]), return_inverse=True)
+            size = np.array([len(sets[i]) for i in right])
+            starts, owner, other = np.concatenate([[0], size.cumsum()[:-1]]), np.array(right), labels[right]
+            root: dict[int, int] = {}
+
+            def top(x):
+                while (y := root.get(x, x)) != x:
+                    x = y
+                return x
+
+            has = np.zeros(len(known), np.int32)
+            for i in np.flatnonzero(sides):
+                spot = np.minimum(np.searchsorted(known, sets[i]), len(known) - 1)
+                spot = spot[known[spot] == sets[i]]
+                has[spot] = 1
+                common = np.add.reduceat(has[at], starts)
+                has[spot] = 0
+                linked = (100 * common >= PERCENT * (len(sets[i]) + size - common)) & (common > 0) & (other != labels[i])
+                for j in owner[linked]:
+                    x, y = top(int(labels[i])), top(int(labels[j]))
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        a.append(int(ids[i])), b.append(int(ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    texts = _texts(mixed, docs, scratch, id_col, text_col)
+    out = placed.join(texts, "id").groupBy("node", "x", "y").applyInArrow(run, "a long, b long")
+    return scratch.write(out.distinct(), "across")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) that are links on full sets."""
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, scratch, id_col, text_col)
     rows = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches):
@@ -172,7 +268,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, id_col: str,
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     out = scratch.write(rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "confirmed")
-    scratch.drop(need, texts)
+    scratch.drop(texts)
     return out
 
 
@@ -187,8 +283,8 @@ def near_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     ship_package(spark)
-    found = scratch.write(sketches(docs, id_col, text_col), "sketches")
-    firsts = found.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "tokens", "low")).alias("f"), F.count(F.lit(1)).alias("n"))
+    sketched = scratch.write(sketches(docs, id_col, text_col), "sketches")
+    firsts = sketched.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "tokens", "low")).alias("f"), F.count(F.lit(1)).alias("n"))
     firsts = scratch.write(firsts.select("set_key", F.col("f.doc_id").alias("id"), F.col("f.tokens").alias("tokens"), F.col("f.low").alias("low"), "n"), "sets")
     sets = firsts.select("id", "tokens", "low")
 
@@ -201,34 +297,31 @@ def near_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
 
     # A node of two is settled by its star; the others are open if they hold more than one component.
     members = members.where("size > 2").select("node", "id")
-    pairs = []
+    pairs, found = [], []
     for level in range(1, LEVELS + 1):
-        labelled = members.join(labels, "id", "left").select("node", "id", F.coalesce("label", "id").alias("label"))
-        labelled = scratch.write(labelled, "labelled")
-        mixed = labelled.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low_label"), F.max("label").alias("high_label")).where("low_label <> high_label")
-        mixed = scratch.write(labelled.join(mixed.select("node", "size"), "node"), "mixed")
+        mixed = _mixed(members, labels, scratch)
+        stars = _pivot_pairs(mixed.where(F.col("size") > SMALL), level)
+        stars = scratch.write(_agreeing(scratch.write(stars, "pivots"), sets), "stars")
+        if stars.limit(1).count():
+            links = scratch.write(links.union(_confirmed(stars, docs, scratch, id_col, text_col)), "links")
+            labels = connected_components(links, scratch)
+            mixed = _mixed(mixed.select("node", "id"), labels, scratch)
         small, large = mixed.where(F.col("size") <= SMALL), mixed.where(F.col("size") > SMALL)
         pairs.append(scratch.write(_exhaustive(small.join(sets.select("id", "low"), "id").select("node", "id", "label", "low")).distinct(), "pairs"))
         if not large.limit(1).count():
             break
         if level == LEVELS:
-            other = large.select("node", F.col("id").alias("b"), F.col("label").alias("label_b"))
-            crossed = large.join(other, "node").where("id < b and label <> label_b").select(F.col("id").alias("a"), "b").distinct()
-            pairs.append(scratch.write(_agreeing(crossed, sets), "pairs"))
+            found.append(_blockwise(large, docs, scratch, id_col, text_col))
             break
-        members = _branch(large.select("node", "id").join(sets.select("id", "tokens"), "id"))
-        members = scratch.write(members, "members")
-    rest = pairs[0]
-    for more in pairs[1:]:
-        rest = rest.union(more)
-    rest = scratch.write(rest.distinct(), "rest")
+        members = scratch.write(_branch(large.select("node", "id").join(sets.select("id", "tokens"), "id")), "members")
+    rest = scratch.write(_still_open(reduce(DataFrame.union, pairs), labels).distinct(), "rest")
     if rest.limit(1).count():
-        more = _confirmed(rest, docs, scratch, id_col, text_col)
-        bridges = links.union(more)
-        labels = connected_components(bridges, scratch)
+        found.append(_confirmed(rest, docs, scratch, id_col, text_col))
+    if len(found) and any(f.limit(1).count() for f in found):
+        labels = connected_components(reduce(DataFrame.union, found, links), scratch)
 
     copies = firsts.where("n > 1").select("set_key", F.col("id").alias("first"))
-    rows = found.select("doc_id", "n_shingles", "set_key").join(copies, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("id"))
+    rows = sketched.select("doc_id", "n_shingles", "set_key").join(copies, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("id"))
     rows = rows.join(labels, "id", "left").select("doc_id", "n_shingles", F.coalesce("label", "id").alias("component_id"))
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
