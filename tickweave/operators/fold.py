@@ -26,10 +26,11 @@ def schema_of(frame: DataFrame, kept: Sequence[str], outputs: str) -> StructType
     return StructType(fields)
 
 
-def ordered_fold(frame: DataFrame, key: str | Sequence[str], order: Sequence[str], inputs: Sequence[str], kernel: Callable[[], object], outputs: str, keep: Sequence[str] = ()) -> DataFrame:
+def ordered_fold(frame: DataFrame, key: str | Sequence[str], order: Sequence[str], inputs: Sequence[str], kernel: Callable[[], object], outputs: str, keep: Sequence[str] = (), keyed: bool = False) -> DataFrame:
     """Key, order, kept columns and the kernel's outputs (a DDL string), a row per input row.
 
-    ``kernel`` makes a fresh state for each key; null keys are one series. Ties in
+    ``kernel`` makes a fresh state for each key (it gets the tuple of key values if
+    ``keyed``, for random seeds or configurations); null keys are one series. Ties in
     ``order`` are in no defined order, so it should end with a unique column. An
     empty table gives no rows.
     """
@@ -53,10 +54,44 @@ def ordered_fold(frame: DataFrame, key: str | Sequence[str], order: Sequence[str
                 out = []
                 for now, value in zip(ids[start : start + BATCH], values[start : start + BATCH]):
                     if now != last:
-                        state, last = kernel(), now
+                        state, last = kernel(now) if keyed else kernel(), now
                     out.append(state.step(*value))
                 columns = list(zip(*out)) if out else [()] * n_out
                 part = batch.slice(start, len(out))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(c, t) for c, t in zip(columns, types)], names)
 
     return rows.mapInArrow(run, schema)
+
+
+def ordered_reduce(frame: DataFrame, key: str | Sequence[str], order: Sequence[str], inputs: Sequence[str], kernel: Callable[[], object], outputs: str, keyed: bool = False) -> DataFrame:
+    """Key and the rows that a kernel's ``finish`` returns after the last tick of a series.
+
+    ``push`` takes a tick's inputs. Kernels that need a window of ticks keep a ring
+    of bounded length, so memory doesn't grow with the series.
+    """
+    ship_package(frame.sparkSession)
+    keys = [key] if isinstance(key, str) else list(key)
+    schema = schema_of(frame, keys, outputs)
+    rows = frame.select(*dict.fromkeys([*keys, *order, *inputs])).repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        types = [to_arrow_type(f.dataType) for f in schema.fields]
+        state, last = None, object()
+
+        def done():
+            out = [(*last, *row) for row in state.finish()] if state is not None else []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], schema.names)
+
+        for batch in batches:
+            ids = zip(*(batch.column(k).to_pylist() for k in keys))
+            for now, value in zip(ids, zip(*(batch.column(c).to_pylist() for c in inputs))):
+                if now != last:
+                    yield from done()
+                    state, last = kernel(now) if keyed else kernel(), now
+                state.push(*value)
+        yield from done()
+
+    return rows.mapInArrow(run, schema)
