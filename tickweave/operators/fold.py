@@ -26,6 +26,15 @@ def schema_of(frame: DataFrame, kept: Sequence[str], outputs: str) -> StructType
     return StructType(fields)
 
 
+def dealt(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows by key in as many partitions as the session shuffles into.
+
+    The number is given, as small partitions that are merged for their few bytes
+    would leave cores idle: kernels cost far more than reading their rows.
+    """
+    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def ordered_fold(frame: DataFrame, key: str | Sequence[str], order: Sequence[str], inputs: Sequence[str], kernel: Callable[[], object], outputs: str, keep: Sequence[str] = (), keyed: bool = False) -> DataFrame:
     """Key, order, kept columns and the kernel's outputs (a DDL string), a row per input row.
 
@@ -40,7 +49,7 @@ def ordered_fold(frame: DataFrame, key: str | Sequence[str], order: Sequence[str
     wanted = list(dict.fromkeys([*kept, *inputs]))
     schema = schema_of(frame, kept, outputs)
     n_out, names = len(schema) - len(kept), schema.names
-    rows = frame.select(*wanted).repartition(*keys).sortWithinPartitions(*keys, *order)
+    rows = dealt(frame.select(*wanted), keys).sortWithinPartitions(*keys, *order)
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_type
@@ -72,7 +81,7 @@ def ordered_reduce(frame: DataFrame, key: str | Sequence[str], order: Sequence[s
     ship_package(frame.sparkSession)
     keys = [key] if isinstance(key, str) else list(key)
     schema = schema_of(frame, keys, outputs)
-    rows = frame.select(*dict.fromkeys([*keys, *order, *inputs])).repartition(*keys).sortWithinPartitions(*keys, *order)
+    rows = dealt(frame.select(*dict.fromkeys([*keys, *order, *inputs])), keys).sortWithinPartitions(*keys, *order)
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_type

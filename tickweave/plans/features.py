@@ -53,20 +53,20 @@ def outlier_flags(spark, sf_dir):
     return f.outlier_flags(s.returns(spark, sf_dir), KEY, "ret", 2.0, "outlier").select(KEY, "seq", "outlier")
 
 
-@query(sql("SELECT series_id, day, open, high, low, close, round(volume, 6) AS volume FROM bars", s.BARS_SQL))
+@query(sql("SELECT series_id, day::VARCHAR AS day, open, high, low, close, round(volume, 6) AS volume FROM bars", s.BARS_SQL))
 def ohlcv_bars(spark, sf_dir):
-    return s.bars(spark, sf_dir).withColumn("volume", F.round("volume", 6))
+    return s.bars(spark, sf_dir).withColumn("volume", F.round("volume", 6)).withColumn("day", F.col("day").cast("string"))
 
 
-@query(sql("SELECT series_id, day, round((high - low) / close, 9) AS range_pct FROM bars", s.BARS_SQL))
+@query(sql("SELECT series_id, day::VARCHAR AS day, round((high - low) / close, 9) AS range_pct FROM bars", s.BARS_SQL))
 def range_pct(spark, sf_dir):
-    return s.bars(spark, sf_dir).select(KEY, "day", F.round((F.col("high") - F.col("low")) / F.col("close"), 9).alias("range_pct"))
+    return s.bars(spark, sf_dir).select(KEY, F.col("day").cast("string").alias("day"), F.round((F.col("high") - F.col("low")) / F.col("close"), 9).alias("range_pct"))
 
 
-@query(sql("SELECT series_id, day, round(open / lag(close) OVER (PARTITION BY series_id ORDER BY day) - 1, 9) + 0.0 AS gap FROM bars", s.BARS_SQL))
+@query(sql("SELECT series_id, day::VARCHAR AS day, round(open / lag(close) OVER (PARTITION BY series_id ORDER BY day) - 1, 9) + 0.0 AS gap FROM bars", s.BARS_SQL))
 def price_gap(spark, sf_dir):
     before = F.lag("close").over(f.by(KEY, ["day"]))
-    return s.bars(spark, sf_dir).select(KEY, "day", rounded(F.col("open") / before - 1).alias("gap"))
+    return s.bars(spark, sf_dir).select(KEY, F.col("day").cast("string").alias("day"), rounded(F.col("open") / before - 1).alias("gap"))
 
 
 @query(sql("SELECT series_id, seq, round(exp(sum(ln(1 + ret)) OVER (PARTITION BY series_id ORDER BY ts, seq)) - 1, 8) + 0.0 AS cum_ret FROM r"))
@@ -135,12 +135,12 @@ def ushape_factors(spark, sf_dir):
 
 
 @query(f"""WITH {s.DAILY_SQL}, wide AS (SELECT ts, max(px) FILTER (series_id = '1-URGENT') AS urgent, max(px) FILTER (series_id = '2-HIGH') AS high, max(px) FILTER (series_id = '5-LOW') AS low FROM days GROUP BY ts)
-  SELECT ts, round(urgent, 4) AS urgent, round(high, 4) AS high, round(low, 4) AS low FROM wide WHERE urgent IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL""")
+  SELECT ts::DATE::VARCHAR AS ts, round(urgent, 4) AS urgent, round(high, 4) AS high, round(low, 4) AS low FROM wide WHERE urgent IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL""")
 def multi_series_align(spark, sf_dir):
     days = s.daily(spark, sf_dir)
     names = {"urgent": "1-URGENT", "high": "2-HIGH", "low": "5-LOW"}
     out = s.align({n: days.where(F.col("series_id") == p) for n, p in names.items()}, price="px")
-    return out.select("ts", *[F.round(n, 4).alias(n) for n in names])
+    return out.select(F.to_date("ts").cast("string").alias("ts"), *[F.round(n, 4).alias(n) for n in names])
 
 
 @query("SELECT event_type AS event, count(*) AS n FROM events GROUP BY event_type")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import partial
+from itertools import product
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from tickweave.operators import reports as rp
 from tickweave.operators import samplers as sm
 from tickweave.operators.fold import ordered_fold, ordered_reduce
 from tickweave.plans.folds import KEY, ORDER, labelled
-from tickweave.plans.registry import query, rounded
+from tickweave.plans.registry import ORACLES, query, rounded
 from tickweave.plans.reports import _FC, long_forecasts
 from tickweave.sources import synthetic
 from tickweave.sources import ticks as s
@@ -157,32 +158,25 @@ def garch_fit(spark, sf_dir):
 GRID = {"shift": (-0.5, 0.0, 0.5), "scale": (0.7, 1.0, 1.4), "stay": (0.9, 0.97)}
 
 
-class _Tuned(k.HmmBank):
-    """A filter bank whose key ends with its knobs."""
-
-    def __init__(self, key):
-        shift, scale, stay = key[-3:]
-        super().__init__(tuple((t, m + shift, q * scale) for t, m, q in ((0.05, -5.2, 0.08), (0.08, -4.6, 0.12), (0.12, -4.0, 0.2), (0.15, -3.4, 0.3))), stay)
+def grid() -> list[tuple[float, float, float]]:
+    """All combinations; their number is the product of the lists' lengths."""
+    return list(product(*GRID.values()))
 
 
-def grid(spark):
-    """One row per combination; its size is the product of the lists."""
-    out = None
-    for name, values in GRID.items():
-        one = spark.createDataFrame([(float(v),) for v in values], f"{name} double")
-        out = one if out is None else out.crossJoin(one)
-    return out
+def configs():
+    return [(tuple((t, m + shift, q * scale) for t, m, q in pt.REGIMES), stay) for shift, scale, stay in grid()]
 
 
 @query()
 def tuner_grid(spark, sf_dir):
-    """Scores of all knob combinations over all series."""
+    """Scores of all knob combinations over all series; one pass, the combinations are an axis of the kernel."""
     ahead = f.by(KEY, ORDER).rowsBetween(1, 10)
     rows = labelled(spark, sf_dir).withColumn("truth", F.when(F.count("ret").over(ahead) == 10, F.stddev_samp("ret").over(ahead)))
-    rows = rows.crossJoin(F.broadcast(grid(spark)))
-    keys = [KEY, *GRID]
-    out = ordered_fold(rows, keys, ORDER, ["y"], _Tuned, k.HmmBank.OUTPUTS.replace("regime", "est"), keep=["truth", "regime"], keyed=True)
-    guess = out.withColumn("vol", F.exp("log_vol")).withColumn("switched", (F.col("est") != F.lag("est").over(f.by(keys, ORDER))).cast("int"))
+    out = ordered_fold(rows, KEY, ORDER, ["y"], partial(k.HmmBankGrid, configs()), k.HmmBankGrid.OUTPUTS, keep=["truth", "regime"])
+    out = out.withColumn("last", F.lag("est").over(f.by(KEY, ORDER)))
+    knobs = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(GRID, c)]) for c in grid()])
+    out = out.select("truth", F.explode(F.arrays_zip(knobs.alias("c"), "est", "last", "log_vol", "loglik")).alias("x"))
+    guess = out.select("truth", "x.c.*", "x.est", "x.loglik", F.exp("x.log_vol").alias("vol"), (F.col("x.est") != F.col("x.last")).cast("int").alias("switched"))
     scored = guess.groupBy(*GRID).agg(
         F.sqrt(F.avg((F.col("vol") - F.col("truth")) ** 2)).alias("rmse"), F.corr("vol", "truth").alias("corr"), F.avg(-F.col("loglik")).alias("surprise"),
         F.avg("switched").alias("switch_rate"), F.avg((F.col("est") == 3).cast("int")).alias("crisis_share"),
@@ -231,7 +225,10 @@ def synthetic_tape(spark, sf_dir):
     return rows.select("tick", "scenario", rounded("true_log_vol", 8).alias("true_log_vol"), "true_regime", rounded("ret").alias("ret"), "is_outlier")
 
 
-@query()
+_STREAM_SQL = ORACLES["ewma_vol"].rsplit(") SELECT", 1)[0] + ") SELECT ticks.series_id, ticks.seq, round(v, 9) AS variance, round(sqrt(v), 9) AS vol FROM ticks LEFT JOIN f USING (series_id, seq)"
+
+
+@query(_STREAM_SQL)
 def stream_ewma(spark, sf_dir):
     """The file of events replayed as a stream through the batch kernel."""
     out = runner.replay(spark, sf_dir, ["px"], partial(_PriceEwma), _PriceEwma.OUTPUTS)

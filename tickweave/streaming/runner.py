@@ -54,7 +54,7 @@ def stream_fold(frame: DataFrame, key: str, order: Sequence[str], inputs: Sequen
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a stream of files."""
     schema = table(spark, sf_dir, "events").schema
-    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as the table may be one file or a folder
     return rows.select(F.col("user_id").alias("series_id"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("px"))
 
 
