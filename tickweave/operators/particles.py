@@ -224,3 +224,84 @@ class MultiModel:
         std = math.sqrt(float(self.w @ (vols - mean) ** 2 + self.w @ (vols**2 * variances)))
         level = float(self.w @ np.array([o[0] for o in outs]))
         return level, mean, std, self.w.tolist(), int(self.w.argmax()), float(min(o[5] for o in outs)), float(self.w @ np.array([o[8] for o in outs])), shock
+
+
+class SmoothedLearner(ParticleFilter):
+    """A filter whose learning waits ``lag`` ticks and uses the smoothed path of the window.
+
+    The ring holds the collapsed normals of the last ticks; a backward pass refines
+    them before the oldest one updates the statistics of its regime. A collapse of
+    the weights empties the ring.
+    """
+
+    OUTPUTS = "log_vol double, smooth double, regime int, mu array<double>, sigma array<double>"
+
+    def __init__(self, key=(), n=128, lag=20, **options):
+        super().__init__(key, n, **options)
+        self.lag, self.window = lag, []
+        self.nig = [[m, 10.0, 6.0, 5.0 * s * s] for m, s in zip(self.level, self.sigma)]
+
+    def step(self, y: float):
+        out = super().step(y)
+        mean, variance, regime, ess = out[0], out[2], out[3], out[5]
+        if ess < 0.02 * self.n:
+            self.window = []
+        self.window.append((mean, variance, regime))
+        smooth = mean
+        if len(self.window) > self.lag:
+            means = [w[0] for w in self.window]
+            s = means[-1]
+            for t in range(len(means) - 2, -1, -1):
+                th, level, q = self.theta[self.window[t + 1][2]], self.nig[self.window[t + 1][2]][0], self.sigma[self.window[t + 1][2]] ** 2
+                ahead = (1 - th) ** 2 * self.window[t][1] + q
+                s = means[t] + (1 - th) * self.window[t][1] / ahead * (s - (1 - th) * means[t] - th * level)
+                if t == 1:
+                    second = s
+            smooth, r = s, self.window[1][2]
+            w, (m, k, a, b) = float(self.theta[r]), self.nig[r]
+            z = second - (1 - w) * s
+            k, b, a = max(self.forget * k, 5.0), self.forget * b, 3 + self.forget * max(a - 3, 0.0)
+            b += 0.5 * (z / w - m) ** 2 / (1 / k + 1 / (w * w))
+            self.nig[r] = [(k * m + z * w) / (k + w * w), k + w * w, a + 0.5, b]
+            self.mu[:, r] = self.nig[r][0]
+            self.window.pop(0)
+        return mean, smooth, regime, [float(x[0]) for x in self.nig], [math.sqrt(x[3] / (x[2] - 1)) for x in self.nig]
+
+
+def teleport(f: ParticleFilter, y: float, steps: int = 5) -> float:
+    """Random-walk Metropolis moves of every particle towards the likelihood of y; returns the share accepted."""
+    scale, accepted = np.maximum(np.sqrt(f.v), 0.1), 0
+    now = collapse(f.m, np.full(f.n, 1e-6), y)[0] - 0.5 * ((f.m - f.mu[np.arange(f.n), f.regime]) / 1.0) ** 2
+    for _ in range(steps):
+        new = f.m + scale * f.rng.standard_normal(f.n)
+        value = collapse(new, np.full(f.n, 1e-6), y)[0] - 0.5 * ((new - f.mu[np.arange(f.n), f.regime]) / 1.0) ** 2
+        ok = np.log(f.rng.random(f.n)) < value - now
+        f.m, now = np.where(ok, new, f.m), np.where(ok, value, now)
+        accepted += ok.mean()
+    return float(accepted / steps)
+
+
+def fast_forward(f: ParticleFilter, missed: list[float | None]) -> None:
+    """Carry a cloud through ticks that it missed; a known observation also weighs and resamples it."""
+    for y in missed:
+        f.predict()
+        if y is not None:
+            lik, f.m, f.v, _ = collapse(f.m, f.v, y)
+            f.logw = f.logw + lik
+            f._take(systematic(f.weights(), f.rng.random()))
+            f.logw = np.zeros(f.n)
+
+
+class ShockedFilter(ParticleFilter):
+    """A filter that teleports its particles when a tick's surprise exceeds a limit."""
+
+    OUTPUTS = "log_vol double, surprise double, moved double"
+
+    def __init__(self, key=(), n=128, limit=6.0, **options):
+        super().__init__(key, n, **options)
+        self.limit = limit
+
+    def step(self, y):
+        out = super().step(y)
+        moved = teleport(self, y) if out[7] > self.limit else 0.0
+        return out[0], out[7], moved

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickweave.plans import features, folds, models, reports  # noqa: F401
+from tickweave.plans import features, folds, models, more, reports  # noqa: F401
 from tickweave.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "model_compare"
