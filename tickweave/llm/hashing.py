@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words that a worker keeps the hashes of.
-WORDS = 500_000
+WORDS = 150_000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
