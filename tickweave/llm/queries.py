@@ -19,5 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op7_sharding": sharding.OP7_SQL,
+    "op9_warc": warc.OP9_SQL,
     "op10_decontamination": decontaminate.OP10_SQL,
 }

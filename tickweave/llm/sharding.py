@@ -75,10 +75,11 @@ def number_within(rows: DataFrame, group: str, order: list[str], blocks: int = B
     """Add ``slot``: numbers from 0, without gaps, within each value of ``group``.
 
     No task gets a whole group: rows are numbered within hashed blocks, to which
-    the counts of the blocks before are added (groups x ``blocks`` rows).
-    Identical rows get different slots.
+    the counts of the blocks before are added (groups x ``blocks`` rows, at most
+    65,536 blocks). Identical rows get different slots.
     """
-    block = F.pmod(F.xxhash64(*order), F.lit(blocks))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order]
+    block = F.conv(F.substring(F.md5(F.concat_ws("/", *parts)), 1, 4), 16, 10).cast("int") % F.lit(blocks)
     rows = rows.withColumn("__block", block)
     counts = rows.groupBy(group, "__block").agg(F.count(F.lit(1)).alias("__n"))
     packed = counts.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("__block", "__n"))).alias("__all"))
@@ -109,3 +110,36 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
 def op7_sharding(spark, sf_dir: str) -> DataFrame:
     """All documents in eight shards."""
     return shard_documents(table(spark, sf_dir, "documents"), shards=8)
+
+
+def place_sql(tree: Node) -> str:
+    """``place`` as SQL over a column ``key``."""
+    if tree.shard is not None:
+        return str(tree.shard)
+    alive = [c for c in tree.children if c.total > 0]
+    if len(alive) == 1:
+        return place_sql(alive[0])
+    draws = [f"-ln((('0x' || substr(md5('{c.name}/' || key), 1, 12))::UBIGINT::DOUBLE + 1) / {float(2**48 + 1)!r}::DOUBLE) / {float(c.total)!r}::DOUBLE" for c in alive]
+    listed = f"[{', '.join(draws)}]"
+    return f"CASE list_position({listed}, list_min({listed})) " + " ".join(f"WHEN {i} THEN {place_sql(c)}" for i, c in enumerate(alive, 1)) + " END"
+
+
+#: The checksum goes byte by byte over a table of 256 remainders, which is made first.
+OP7_SQL = f"""
+WITH RECURSIVE steps AS (
+  SELECT i, i AS c, 0 AS n FROM (SELECT unnest(range(256))::BIGINT AS i)
+  UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM steps WHERE n < 8
+), remainders AS (
+  SELECT list(c ORDER BY i) AS t FROM steps WHERE n = 8
+), d AS (
+  SELECT doc_id, doc_id::VARCHAR AS key, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents
+), c AS (
+  SELECT doc_id, key, size, xor(list_reduce(bytes, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32 FROM d, remainders
+), p AS (
+  SELECT *, ({place_sql(standard_tree(8))})::INT AS shard, ({place_sql(standard_tree(9))})::INT AS grown_shard,
+         ('0x' || substr(md5(key || '/' || text_crc32 || '/' || size), 1, 4))::INT % {BLOCKS} AS block FROM c
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY block, doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM p
+"""

@@ -205,3 +205,21 @@ def op9_warc(spark, sf_dir: str) -> DataFrame:
     """All pages written as WARC files and read back."""
     manifest, uri = write_archives(table(spark, sf_dir, "pages"), Scratch(spark, "op9"))
     return read_archives(manifest, uri, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base-32 digits of a hexadecimal SHA-1 are 32 groups of five bits.
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages
+), d AS (
+  SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS h FROM p
+), k AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h, payload_bytes) AS keep_id FROM d
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (((('0x' || substr(h, ((5 * i) // 4 + 1)::INT, 2))::BIGINT >> (3 - (5 * i) % 4)::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = keep_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keep_id THEN keep_id END AS refers_to
+FROM k
+"""
