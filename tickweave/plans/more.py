@@ -132,3 +132,32 @@ def outlier_streaks(spark, sf_dir):
     first = (F.col("run_id") == 0) & F.col("big")
     streak = F.when(F.col("big"), F.col("run_age") - first.cast("int")).otherwise(0).cast("int")
     return rows.select(KEY, "seq", streak.alias("streak"), (F.col("big") & (streak >= 2)).alias("cluster"))
+
+
+@query(sql("SELECT count(DISTINCT path) AS paths, count(*) AS series FROM (SELECT series_id, list(regime ORDER BY rn) AS path FROM regimes WHERE rn <= 16 GROUP BY series_id)"))
+def trajectory_diversity(spark, sf_dir):
+    """Distinct regime paths of the first sixteen ticks, by hash."""
+    rows = labelled(spark, sf_dir).withColumn("rn", F.row_number().over(f.by(KEY, ORDER))).where("rn <= 16")  # arrays of sixteen at most
+    paths = rows.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("rn", "regime"))).alias("p"))
+    return paths.agg(F.countDistinct(F.xxhash64("p")).alias("paths"), F.count(F.lit(1)).alias("series"))
+
+
+@query("SELECT e.user_id AS series_id, count(*) AS n, coalesce(any_value(c_name), 'unknown') AS name, coalesce(any_value(c_mktsegment), 'N/A') AS sector, coalesce(any_value(n_name), 'N/A') AS country FROM events e LEFT JOIN customer ON c_custkey = e.user_id LEFT JOIN nation ON n_nationkey = c_nationkey GROUP BY e.user_id")
+def series_metadata(spark, sf_dir):
+    """A dimension of the series with defaults for what is unknown."""
+    from tickweave.runtime import table
+
+    about = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    counted = s.ticks(spark, sf_dir).groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.join(about, F.col("c_custkey") == F.col(KEY), "left")
+    pick = lambda c, default: F.coalesce(F.col(c), F.lit(default))
+    return rows.select(KEY, "n", pick("c_name", "unknown").alias("name"), pick("c_mktsegment", "N/A").alias("sector"), pick("n_name", "N/A").alias("country"))
+
+
+@query(sql("SELECT event, count(*) AS n, round(avg(abs(ret)), 9) AS mean_abs FROM (SELECT event, ret FROM r WHERE regime_in UNION ALL SELECT 'rescue' AS event, ret FROM r WHERE abs(ret) > 0.04) GROUP BY event").replace("WHERE regime_in", "WHERE ret >= -0.02 AND ret < 0.02"))
+def union_clouds(spark, sf_dir):
+    """Rows within bounds joined by a second set of rows, by name."""
+    rows = s.returns(spark, sf_dir)
+    live = rows.where((F.col("ret") >= -0.02) & (F.col("ret") < 0.02)).select("event", "ret")
+    rescue = rows.where(F.abs("ret") > 0.04).select("ret", F.lit("rescue").alias("event"))
+    return live.unionByName(rescue).groupBy("event").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg(F.abs("ret"))).alias("mean_abs"))
