@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 
+#: Rows of an Arrow batch where the session has the default: whole texts make large rows, and every
+#: task holds a batch in the JVM and in Python.
+ARROW_ROWS, ARROW_DEFAULT = "2000", "10000"
+
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per application.
@@ -22,6 +26,8 @@ def ship_package(spark: SparkSession) -> None:
     Python operators are pickled by reference, so the workers must be able to
     import the package; a cluster's executors don't see the driver's folders.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == ARROW_DEFAULT:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
@@ -52,11 +58,13 @@ class Scratch:
     """Named Parquet tables in the shared folder that cut lineage.
 
     A table can be dropped as soon as what was derived from it is written; the
-    rest goes when the driver ends.
+    rest goes when the driver ends. With ``compact``, tables are written by at most
+    four tasks per core, each of which takes several partitions in turn: for many
+    small tables, whose files and tasks would cost more than their rows.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, compact: bool = False):
+        self.spark, self.compact = spark, compact
         self.root = f"{shared_folder(spark)}/tickweave/{name}-{uuid.uuid4().hex}"
         self._count = 0
         atexit.register(self.clear)
@@ -67,7 +75,7 @@ class Scratch:
 
     def write(self, frame: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        frame.write.parquet(path)
+        (frame.coalesce(4 * self.spark.sparkContext.defaultParallelism) if self.compact else frame).write.parquet(path)
         out = self.spark.read.schema(frame.schema).parquet(path)
         out._scratch_path = path
         return out
