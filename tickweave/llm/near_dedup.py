@@ -328,4 +328,4 @@ def near_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Component of every document."""
-    return near_components(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
+    return near_components(table(spark, sf_dir, "documents"), Scratch(spark, "op5", compact=True))
