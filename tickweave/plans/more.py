@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tickweave.functions import presets as ps
 from tickweave.functions import register as rg
+from tickweave.functions import special as sp
+from tickweave.operators import durations as du
 from tickweave.operators import features as f
 from tickweave.operators import kernels as k
 from tickweave.operators import particles as pt
@@ -18,8 +20,10 @@ from tickweave.plans.features import _BIN_SQL, _binned
 from tickweave.plans.folds import KEY, ORDER, fold_sql, labelled, mixture_sql
 from tickweave.plans.registry import query, rounded
 from tickweave.plans.reports import _FC, MODELS, long_forecasts, sql
-from tickweave.sources import sinks
+from tickweave.runtime import Scratch
+from tickweave.sources import sinks, synthetic
 from tickweave.sources import ticks as s
+from tickweave.streaming import runner
 
 
 @query()
@@ -161,3 +165,73 @@ def union_clouds(spark, sf_dir):
     live = rows.where((F.col("ret") >= -0.02) & (F.col("ret") < 0.02)).select("event", "ret")
     rescue = rows.where(F.abs("ret") > 0.04).select("ret", F.lit("rescue").alias("event"))
     return live.unionByName(rescue).groupBy("event").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg(F.abs("ret"))).alias("mean_abs"))
+
+
+_DUR = """sw AS (SELECT *, coalesce(regime <> lag(regime) OVER (PARTITION BY series_id ORDER BY rn), false) AS switched FROM regimes),
+  ru AS (SELECT *, sum(switched::INT) OVER (PARTITION BY series_id ORDER BY rn) AS run_id FROM sw),
+  le AS (SELECT series_id, run_id, any_value(regime) AS state, count(*) AS age, run_id < max(run_id) OVER (PARTITION BY series_id) AS closed FROM ru GROUP BY series_id, run_id),
+  en AS (SELECT state, age, sum(closed::INT) AS ended, count(*) AS gone FROM le GROUP BY state, age),
+  ha AS (SELECT *, sum(gone) OVER (PARTITION BY state ORDER BY age DESC) AS at_risk FROM en)"""
+
+
+@query(sql("""SELECT state, age, at_risk::BIGINT AS at_risk, round(ended / at_risk, 9) AS hazard,
+  round(exp(sum(CASE WHEN ended < at_risk THEN ln(1 - ended / at_risk) ELSE -1000 END) OVER (PARTITION BY state ORDER BY age)), 9) AS survival,
+  round(sum(gone * age) OVER (PARTITION BY state ORDER BY age ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / at_risk - age, 8) + 0.0 AS remaining FROM ha""", _DUR))
+def duration_hazard(spark, sf_dir):
+    rows = f.runs(labelled(spark, sf_dir), KEY, ORDER, "regime")
+    lengths = rows.groupBy(KEY, "run_id").agg(F.first("regime").alias("state"), F.count(F.lit(1)).alias("length"))
+    lengths = lengths.withColumn("closed", F.col("run_id") < F.max("run_id").over(Window.partitionBy(KEY)))
+    out = du.duration_table(lengths, "state", "length", "closed")
+    return out.select("state", "age", "at_risk", rounded("hazard").alias("hazard"), rounded("survival").alias("survival"), rounded("remaining", 8).alias("remaining"))
+
+
+@query(sql("SELECT regime, count(*) AS n, round(sum(y), 5) AS s, round(sum(y * y), 4) AS ss, round(sum(y - 0.9 * b), 5) AS e, round(sum((y - 0.9 * b) ** 2), 4) AS ee, round(sum(y * b), 4) AS x FROM (SELECT *, lag(y) OVER (PARTITION BY series_id ORDER BY rn) AS b FROM regimes) WHERE b IS NOT NULL GROUP BY regime"))
+def regime_statistics(spark, sf_dir):
+    out = du.regime_statistics(labelled(spark, sf_dir), KEY, ORDER, "regime", "y", 0.1)
+    return out.select("regime", "n", rounded("s", 5).alias("s"), rounded("ss", 4).alias("ss"), rounded("e", 5).alias("e"), rounded("ee", 4).alias("ee"), rounded("cross", 4).alias("x"))
+
+
+@query(sql("""SELECT series_id, round(m, 8) + 0.0 AS mean, round(q - m * m + v, 8) AS variance, round(x, 8) AS vol, round(n1 * n1 / n2, 6) AS ess FROM (
+  SELECT series_id, sum(w * y) / sum(w) AS m, sum(w * y * y) / sum(w) AS q, sum(w * 0.05) / sum(w) AS v, sum(w * exp(y / 2 + 0.025)) / sum(w) AS x, sum(w) AS n1, sum(w * w) AS n2 FROM (SELECT *, exp(-abs(ret) * 50) AS w FROM regimes) GROUP BY series_id)"""))
+def mixture_moments(spark, sf_dir):
+    """Mean, total variance, mean volatility and effective size of weighted normals, a row per component."""
+    rows = labelled(spark, sf_dir).withColumn("w", F.exp(-F.abs("ret") * 50))
+    w, y = F.col("w"), F.col("y")
+    each = rows.groupBy(KEY).agg(F.sum(w).alias("n1"), F.sum(w * w).alias("n2"), F.sum(w * y).alias("a"), F.sum(w * y * y).alias("b"), F.sum(w * 0.05).alias("v"), F.sum(w * F.exp(y / 2 + 0.025)).alias("x"))
+    mean = F.col("a") / F.col("n1")
+    return each.select(KEY, rounded(mean, 8).alias("mean"), rounded(F.col("b") / F.col("n1") - mean * mean + F.col("v") / F.col("n1"), 8).alias("variance"), rounded(F.col("x") / F.col("n1"), 8).alias("vol"), rounded(F.col("n1") * F.col("n1") / F.col("n2"), 6).alias("ess"))
+
+
+@query(sql("""SELECT series_id, round(sum(p * ln(p / q)), 9) + 0.0 AS kl, round(-sum(p * ln(p)), 9) + 0.0 AS entropy FROM (
+  SELECT series_id, regime, count(*) / sum(count(*)) OVER (PARTITION BY series_id) AS p FROM regimes GROUP BY series_id, regime) JOIN (SELECT regime, count(*) / sum(count(*)) OVER () AS q FROM regimes GROUP BY regime) USING (regime) GROUP BY series_id"""))
+def regime_share_kl(spark, sf_dir):
+    """Divergence of each series' regime shares from those of all."""
+    rows = labelled(spark, sf_dir).groupBy(KEY, "regime").agg(F.count(F.lit(1)).alias("n"))
+    own = rows.groupBy(KEY).agg(F.sum("n").alias("own"))
+    every = rows.groupBy("regime").agg(F.sum("n").alias("r"))
+    total = every.agg(F.sum("r").alias("t"))
+    shares = rows.join(own, KEY).join(every.crossJoin(total), "regime").select(KEY, (F.col("n") / F.col("own")).alias("p"), (F.col("r") / F.col("t")).alias("q"))
+    return shares.groupBy(KEY).agg(rounded(F.sum(F.col("p") * F.log(F.col("p") / F.col("q")))).alias("kl"), rounded(-F.sum(F.col("p") * F.log("p"))).alias("entropy"))
+
+
+@query(sql("SELECT series_id, seq, round(ln((x - 0.5) / (1.2 - x)), 8) + 0.0 AS logit, round(0.5 + 0.7 / (1 + exp(-ret * 100)), 8) AS back, round(4 * ln(x / 1.3) + 2 * ln(1 - x / 1.3), 8) + 0.0 AS log_beta FROM (SELECT *, 0.85 + ret AS x FROM r)"))
+def bounded_transforms(spark, sf_dir):
+    x = 0.85 + F.col("ret")
+    return s.returns(spark, sf_dir).select(KEY, "seq", rounded(sp.logit_on(x, 0.5, 1.2), 8).alias("logit"), rounded(sp.inverse_logit_on(F.col("ret") * 100, 0.5, 1.2), 8).alias("back"), rounded(sp.log_beta_density(x / 1.3, 5.0, 3.0), 8).alias("log_beta"))
+
+
+@query("""SELECT user_id AS series_id, ts::DATE::VARCHAR AS day, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS n FROM events
+  WHERE ts::DATE + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1, 2""")
+def stream_bars(spark, sf_dir):
+    """Daily bars of the replayed stream: the days that the watermark has closed."""
+    bars = runner.run_to_end(runner.windowed_bars(runner.event_stream(spark, sf_dir)), Scratch(spark, "bars"), "bars")
+    return bars.select(KEY, F.to_date("start").cast("string").alias("day"), "open", "high", "low", "close", "n")
+
+
+@query()
+def market_scenarios(spark, sf_dir):
+    """Ten market scenarios and how well the filter follows each."""
+    tape = synthetic.market_scenarios(spark).withColumn("y", f.log_square(F.col("ret")))
+    rows = ordered_fold(tape, "scenario", ["tick"], ["y"], partial(pt.ParticleFilter, n=96, outlier=(0.02, 30.0)), pt.ParticleFilter.OUTPUTS, keep=["true_log_vol"], keyed=True)
+    error = F.col("log_vol") - F.col("true_log_vol")
+    return rows.groupBy("scenario").agg(F.count(F.lit(1)).alias("n"), F.round(F.sqrt(F.avg(error * error)), 6).alias("rmse"), F.round(F.max("surprise"), 6).alias("worst_surprise"))

@@ -71,3 +71,29 @@ def stochastic_volatility(spark: SparkSession, days: int, vol: float, phi: float
     rows = rows.select("*", normal(F.lit("h"), *ids).alias("eps"), normal(F.lit("r"), *ids).alias("z"))
     out = ordered_fold(rows, "series_id", ["day"], ["level", "eps"], partial(_Ar, 1 - phi, 0.15), _Ar.OUTPUTS, keep=["z"])
     return out.select("day", "true_log_vol", (drift + F.exp("true_log_vol") * F.col("z")).alias("ret"))
+
+
+#: scenario: level of log-volatility as SQL over tick t (0 to 499).
+MARKET = {
+    "flash_crash": "CASE WHEN t BETWEEN 250 AND 264 THEN -2.8 WHEN t BETWEEN 265 AND 300 THEN -3.8 ELSE -4.8 END",
+    "announcement": "CASE WHEN t >= 200 THEN -4.8 + 1.6 * exp(-(t - 200) / 40) ELSE -4.8 - 0.3 * t / 200 END",
+    "gap": "CASE WHEN t = 250 THEN -2.5 WHEN t > 250 THEN -4.2 ELSE -4.8 END",
+    "liquidity": "CASE WHEN t BETWEEN 150 AND 350 THEN -4.8 + 1.2 * (t - 150) / 200 WHEN t > 350 THEN -3.6 ELSE -4.8 END",
+    "gradual": "-5.2 + 1.6 * t / 499",
+    "overnight": "CASE WHEN t % 100 = 0 THEN -3.4 ELSE -4.8 END",
+    "intraday": "-4.8 + 0.6 * cos(2 * pi() * (t % 100) / 100)",
+    "correlation": "CASE WHEN t >= 250 THEN -3.9 ELSE -4.9 END",
+    "oscillating": "CASE WHEN t DIV 50 % 2 = 0 THEN -5.0 ELSE -4.0 END",
+    "fat_tail": "-4.6",
+}
+
+
+def market_scenarios(spark: SparkSession, ticks: int = 500, seed: int = 1) -> DataFrame:
+    """scenario, tick, true_log_vol, ret of ten market scenarios; tails of ``fat_tail`` are those of a t with four degrees."""
+    names = spark.createDataFrame([(n,) for n in MARKET], "scenario string")
+    rows = spark.range(ticks).select(F.col("id").cast("int").alias("t")).crossJoin(F.broadcast(names))
+    level = "CASE scenario " + " ".join(f"WHEN '{n}' THEN {e}" for n, e in MARKET.items()) + " END"
+    ids = [F.lit(seed).cast("string"), F.col("scenario"), F.col("t").cast("string")]
+    squares = sum((normal(F.lit(f"c{i}"), *ids) ** 2 for i in range(1, 4)), normal(F.lit("c0"), *ids) ** 2)
+    heavy = F.when(F.col("scenario") == "fat_tail", F.sqrt(F.lit(2.0) / squares)).otherwise(1.0)
+    return rows.select("scenario", F.col("t").alias("tick"), F.expr(level).cast("double").alias("true_log_vol"), normal(F.lit("r"), *ids).alias("z"), heavy.alias("k")).select("scenario", "tick", "true_log_vol", (F.exp("true_log_vol") * F.col("z") * F.col("k")).alias("ret"))
