@@ -214,10 +214,10 @@ def regime_share_kl(spark, sf_dir):
     return shares.groupBy(KEY).agg(rounded(F.sum(F.col("p") * F.log(F.col("p") / F.col("q")))).alias("kl"), rounded(-F.sum(F.col("p") * F.log("p"))).alias("entropy"))
 
 
-@query(sql("SELECT series_id, seq, round(ln((x - 0.5) / (1.2 - x)), 8) + 0.0 AS logit, round(0.5 + 0.7 / (1 + exp(-ret * 100)), 8) AS back, round(4 * ln(x / 1.3) + 2 * ln(1 - x / 1.3), 8) + 0.0 AS log_beta FROM (SELECT *, 0.85 + ret AS x FROM r)"))
+@query(sql("SELECT series_id, seq, round(ln((x - 0.5) / (1.2 - x)), 8) + 0.0 AS logit, round(0.5 + 0.7 / (1 + exp(-ret * 70)), 8) AS back, round(4 * ln(x / 1.3) + 2 * ln(1 - x / 1.3), 8) + 0.0 AS log_beta FROM (SELECT *, 0.85 + ret AS x FROM r)"))
 def bounded_transforms(spark, sf_dir):
     x = 0.85 + F.col("ret")
-    return s.returns(spark, sf_dir).select(KEY, "seq", rounded(sp.logit_on(x, 0.5, 1.2), 8).alias("logit"), rounded(sp.inverse_logit_on(F.col("ret") * 100, 0.5, 1.2), 8).alias("back"), rounded(sp.log_beta_density(x / 1.3, 5.0, 3.0), 8).alias("log_beta"))
+    return s.returns(spark, sf_dir).select(KEY, "seq", rounded(sp.logit_on(x, 0.5, 1.2), 8).alias("logit"), rounded(sp.inverse_logit_on(F.col("ret") * 70, 0.5, 1.2), 8).alias("back"), rounded(sp.log_beta_density(x / 1.3, 5.0, 3.0), 8).alias("log_beta"))
 
 
 @query("""SELECT user_id AS series_id, ts::DATE::VARCHAR AS day, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS n FROM events
