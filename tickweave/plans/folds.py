@@ -11,7 +11,7 @@ from tickweave.functions.fixed import MIXTURE_MEANS, MIXTURE_VARIANCES, MIXTURE_
 from tickweave.operators import features as f
 from tickweave.operators import kernels as k
 from tickweave.operators.fold import ordered_fold
-from tickweave.plans.registry import query, rounded
+from tickweave.plans.registry import ORACLES, query, rounded
 from tickweave.sources import ticks as s
 
 KEY, ORDER = "series_id", ["ts", "seq"]
@@ -83,9 +83,41 @@ def sprt_binary(spark, sf_dir):
     return folded(labelled(spark, sf_dir), ["y"], k.SprtBinary).select(KEY, "seq", rounded("ratio", 8).alias("ratio"), "decision")
 
 
-@query()
+LEVELS4 = ("-6.0", "-5.0", "-4.0", "-3.0")
+
+
+def _sprt_multi_sql() -> str:
+    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    ratios = ", ".join(f"r{i}{j}" for i, j in pairs)
+    likes = ", ".join(f"{mixture_sql('y', h)} AS l{i}" for i, h in enumerate(LEVELS4))
+    moved = ", ".join(f"CASE WHEN abs(v{i}{j}) > {_UP!r} THEN 0.0::DOUBLE ELSE v{i}{j} END AS q{i}{j}" for i, j in pairs)
+    added = ", ".join(f"r{i}{j} + {clip_sql(f'l{j} - l{i}', -20, 20)} AS v{i}{j}" for i, j in pairs)
+    evidence = ", ".join("(" + " ".join([f"+ q{j}{k}" for j in range(k)] + [f"- q{k}{j}" for j in range(k + 1, 4)]) + f") AS e{k}" for k in range(4))
+    total = " + ".join(f"exp(e{k} - top)" for k in range(4))
+    shares = ", ".join(f"exp(e{k} - top) / ({total}) AS p{k}" for k in range(4))
+    best = "CASE WHEN p0 > greatest(p1, p2, p3, CASE cur WHEN 0 THEN -1 WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END) THEN 0 WHEN p1 > greatest(p0, p2, p3) THEN 1 WHEN p2 > greatest(p0, p1, p3) THEN 2 WHEN p3 > greatest(p0, p1, p2) THEN 3 ELSE cur END"
+    kept = ", ".join(f"CASE WHEN sw AND (b IN ({i}, {j}) OR cur IN ({i}, {j})) AND NOT (least(b, cur) = {i} AND greatest(b, cur) = {j}) THEN 0.0::DOUBLE ELSE q{i}{j} END AS r{i}{j}" for i, j in pairs)
+    shown = ", ".join(f"p{k}" for k in range(4))
+
+    def step(source: str) -> str:
+        x = f"SELECT *, {added} FROM ({source})"
+        x = f"SELECT *, {moved} FROM ({x})"
+        x = f"SELECT *, greatest(e0, e1, e2, e3) AS top FROM (SELECT *, {evidence} FROM ({x}))"
+        x = f"SELECT *, {shares} FROM ({x})"
+        x = f"SELECT *, {best} AS b FROM ({x})"
+        x = f"SELECT *, ticks + 1 >= 3 AND b <> cur AND greatest(p0, p1, p2, p3) > 0.7 AS sw FROM ({x})"
+        return f"SELECT series_id, seq, rn, CASE WHEN sw THEN b ELSE cur END AS cur, CASE WHEN sw THEN 0 ELSE ticks + 1 END AS ticks, {kept}, {shown} FROM ({x})"
+
+    first = step("SELECT t.*, 0 AS cur, 0 AS ticks, " + ", ".join(f"0.0::DOUBLE AS r{i}{j}" for i, j in pairs) + " FROM t WHERE rn = 1")
+    later = step(f"SELECT t.*, f.cur, f.ticks, {ratios} FROM f JOIN t ON t.series_id = f.series_id AND t.rn = f.rn + 1")
+    return f"""WITH RECURSIVE {s.TICKS_SQL}, {REGIME_SQL}, t AS MATERIALIZED (SELECT series_id, seq, rn, {likes} FROM regimes), f AS ({first} UNION ALL {later})
+      SELECT series_id, seq, cur AS regime, {', '.join(f'round(p{k}, 7) AS p{k}' for k in range(4))} FROM f"""
+
+
+@query(_sprt_multi_sql())
 def sprt_multi(spark, sf_dir):
-    return folded(labelled(spark, sf_dir), ["y"], k.SprtMulti).select(KEY, "seq", "regime", F.transform("p", lambda x: F.round(x, 8)).alias("p"))
+    out = folded(labelled(spark, sf_dir), ["y"], k.SprtMulti)
+    return out.select(KEY, "seq", "regime", *[rounded(F.get("p", F.lit(i)), 7).alias(f"p{i}") for i in range(4)])
 
 
 @query()
@@ -94,15 +126,40 @@ def p2_quantile(spark, sf_dir):
     return folded(rows, ["x"], partial(k.P2Quantile, 0.9)).select(KEY, "seq", rounded("quantile").alias("quantile"))
 
 
-_SURPRISE = f"-({mixture_sql('y', '-4.5')})"
+def _forgetting_sql() -> str:
+    level = "CASE regime WHEN 0 THEN 0.999 WHEN 1 THEN 0.998 WHEN 2 THEN 0.995 ELSE 0.99 END::DOUBLE"
+    inputs = f"-({mixture_sql('y', '-4.5')}) AS sp, CASE WHEN abs(ret) > 0.03 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS o, {level} AS lam"
 
+    def step(source: str) -> str:
+        x = f"SELECT *, cd = 0 AND z < 1 AS on_, CASE WHEN cd = 0 AND z < 1 THEN 0.01::DOUBLE * sp + 0.99::DOUBLE * base ELSE base END AS nb FROM ({source})"
+        x = f"SELECT *, CASE WHEN on_ THEN greatest(0.01, 0.01::DOUBLE * (sp - nb) ** 2 + 0.99::DOUBLE * var) ELSE var END AS nv FROM ({x})"
+        x = f"SELECT *, (sp - nb) / (sqrt(nv) + 1e-6::DOUBLE) AS nz FROM ({x})"
+        x = f"SELECT *, 0.15::DOUBLE * nz + 0.85::DOUBLE * ema AS ne FROM ({x})"
+        x = f"SELECT *, greatest(CASE WHEN ne < -5 THEN 0 WHEN ne > 10 THEN 0.12 ELSE 0.12::DOUBLE / (1 + exp(-2 * (ne - 2))) END, CASE WHEN o > 0.2 THEN 0.12::DOUBLE * least(1, (o - 0.2) / 0.6) ELSE 0 END) AS d FROM ({x})"
+        return f"""SELECT series_id, seq, rn, nb AS base, nv AS var, nz AS z, ne AS ema, {clip_sql('CASE WHEN cd > 0 THEN factor ELSE lam * (1 - d) END', 0.98, 0.9995)} AS factor,
+          CASE WHEN cd > 0 THEN cd - 1 WHEN d > 0.05 OR nz > 1.5 THEN 10 ELSE 0 END AS cd FROM ({x})"""
 
-@query()
-def adaptive_forgetting(spark, sf_dir):
+    first = step("SELECT t.*, 5.0::DOUBLE AS base, 1.0::DOUBLE AS var, 0.0::DOUBLE AS z, 0.0::DOUBLE AS ema, lam AS factor, 0 AS cd FROM t WHERE rn = 1")
+    later = step("SELECT t.*, base, var, z, ema, factor, cd FROM f JOIN t ON t.series_id = f.series_id AND t.rn = f.rn + 1")
+    return f"WITH RECURSIVE {s.TICKS_SQL}, {REGIME_SQL}, t AS MATERIALIZED (SELECT series_id, seq, rn, {inputs} FROM regimes), f AS ({first} UNION ALL {later}) SELECT series_id, seq, round(factor, 8) AS factor, round(z, 6) + 0.0 AS z FROM f"
+
+
+def _surprise(spark, sf_dir):
     from tickweave.functions.special import mixture_logpdf
 
-    rows = labelled(spark, sf_dir).withColumn("surprise", -mixture_logpdf(F.col("y"), -4.5)).withColumn("outliers", (F.abs("ret") > 0.03).cast("double"))
-    return folded(rows, ["surprise", "outliers", "regime"], k.AdaptiveForgetting).select(KEY, "seq", rounded("factor").alias("factor"), rounded("z", 7).alias("z"), "broke")
+    return labelled(spark, sf_dir).withColumn("surprise", -mixture_logpdf(F.col("y"), -4.5)).withColumn("outliers", (F.abs("ret") > 0.03).cast("double"))
+
+
+@query(_forgetting_sql())
+def adaptive_forgetting(spark, sf_dir):
+    out = folded(_surprise(spark, sf_dir), ["surprise", "outliers", "regime"], partial(k.AdaptiveForgetting, breaker=None))
+    return out.select(KEY, "seq", rounded("factor", 8).alias("factor"), rounded("z", 6).alias("z"))
+
+
+@query()
+def forgetting_breaker(spark, sf_dir):
+    out = folded(_surprise(spark, sf_dir), ["surprise", "outliers", "regime"], k.AdaptiveForgetting)
+    return out.select(KEY, "seq", rounded("factor").alias("factor"), rounded("z", 7).alias("z"), "broke")
 
 
 @query(fold_sql(
@@ -126,19 +183,80 @@ def ewss_update(spark, sf_dir):
     return folded(rows, ["l"], k.Ewss).select(KEY, "seq", rounded("mu", 7).alias("mu"), rounded("sigma", 7).alias("sigma"), rounded("n_eff", 7).alias("n_eff"))
 
 
-@query()
-def dirichlet_event(spark, sf_dir):
-    return folded(labelled(spark, sf_dir), ["regime"], k.DirichletEvent).select(KEY, "seq", rounded("stay").alias("stay"), F.transform("p", lambda x: F.round(x, 9)).alias("p"))
+def _dirichlet_event_sql() -> str:
+    prior = k.geometric_prior((-6.0, -5.0, -4.0, -3.0))
+    cells = [(i, j) for i in range(4) for j in range(4)]
+    start = ", ".join(f"{prior[i][j]!r}::DOUBLE AS a{i}{j}" for i, j in cells)
+    moved = ", ".join(f"CASE WHEN was = {i} AND was <> regime THEN greatest(0.01, 0.999::DOUBLE * a{i}{j}) + CASE WHEN regime = {j} THEN 1 ELSE 0 END ELSE a{i}{j} END AS a{i}{j}" for i, j in cells)
+    row = lambda j: "CASE regime " + " ".join(f"WHEN {i} THEN a{i}{j} / (a{i}0 + a{i}1 + a{i}2 + a{i}3)" for i in range(4)) + " END"
+    return fold_sql("regime", f"regime, {start}", f"t.regime, f.regime AS was, {', '.join(f'a{i}{j}' for i, j in cells)}", f"regime, {moved}", f"regime, {', '.join(f'round({row(j)}, 8) AS p{j}' for j in range(4))}")
 
 
-@query()
+@query(_dirichlet_event_sql())
+def dirichlet_event(spark, sf_dir):
+    out = folded(labelled(spark, sf_dir), ["regime"], k.DirichletEvent, keep=["regime"])
+    return out.select(KEY, "seq", "regime", *[rounded(F.get("p", F.lit(j)), 8).alias(f"p{j}") for j in range(4)])
+
+
+LEVELS3 = ("-6.0", "-5.0", "-4.0")
+_N3 = range(3)
+
+
+def _transition_sql(gain: str, learnt: str, before: str, first_alpha, out: str, more: str = "") -> str:
+    """A recursion over regime probabilities p and row weights a: joint weights x come from ``gain`` (a factor of i and j),
+    new row weights from ``learnt``, columns computed before that from ``before``."""
+    alphas = ", ".join(f"a{i}{j}" for i in _N3 for j in _N3)
+    likes = ", ".join(f"{mixture_sql('y', h)} AS l{i}" for i, h in enumerate(LEVELS3))
+    raw = ", ".join(f"p{i} * {gain.format(i=i, j=j, row=' + '.join(f'a{i}{q}' for q in _N3))} * exp(l{j} - top) AS u{i}{j}" for i in _N3 for j in _N3)
+    total = " + ".join(f"u{i}{j}" for i in _N3 for j in _N3)
+    joint = ", ".join(f"u{i}{j} / ({total}) AS x{i}{j}" for i in _N3 for j in _N3)
+    new_p = ", ".join(f"{' + '.join(f'x{i}{j}' for i in _N3)} AS n{j}" for j in _N3)
+    new_a = ", ".join(f"{learnt.format(i=i, j=j)} AS b{i}{j}" for i in _N3 for j in _N3)
+    x = f"SELECT t.*, n, p0, p1, p2, {alphas} FROM f JOIN t ON t.series_id = f.series_id AND t.rn = f.rn + 1"
+    x = f"SELECT *, {raw} FROM ({x})"
+    x = f"SELECT *, {joint} FROM ({x})"
+    x = f"SELECT *, {new_p} FROM ({x})"
+    x = f"SELECT *, {before} FROM ({x})"
+    x = f"SELECT *, {new_a} FROM ({x})"
+    x = f"SELECT *, {', '.join(f'{chr(32)}+ '.join(f'b{i}{j}' for j in _N3) + f' AS s{i}' for i in _N3)} FROM ({x})"
+    final = ", ".join((f"CASE WHEN s{i} > 100 THEN greatest(0.01, b{i}{j} * 100 / s{i}) ELSE b{i}{j} END" if more else f"b{i}{j}") + f" AS a{i}{j}" for i in _N3 for j in _N3)
+    start_p = ", ".join(f"exp(l{j} - top) / (exp(l0 - top) + exp(l1 - top) + exp(l2 - top)) AS p{j}" for j in _N3)
+    start_a = ", ".join(f"{first_alpha(i, j)!r}::DOUBLE AS a{i}{j}" for i in _N3 for j in _N3)
+    return f"""WITH RECURSIVE {s.TICKS_SQL}, {REGIME_SQL}, t AS MATERIALIZED (SELECT *, greatest(l0, l1, l2) AS top FROM (SELECT series_id, seq, rn, {likes} FROM regimes)),
+      f AS (SELECT series_id, seq, rn, 0 AS n, {start_p}, {start_a}, 0.0::DOUBLE AS rate FROM t WHERE rn = 1
+        UNION ALL SELECT series_id, seq, rn, n + 1, n0, n1, n2, {final}, rate FROM ({x}))
+      SELECT series_id, seq, {', '.join(f'round(a{i}{i} / (a{i}0 + a{i}1 + a{i}2), 7) AS stay{i}' for i in _N3)}, {out} FROM f"""
+
+
+_ENTROPY = " + ".join(f"CASE WHEN {{v}}{j} > 1e-10 THEN -{{v}}{j} * ln({{v}}{j}) ELSE 0 END" for j in _N3)
+
+
+def _stays(out):
+    return [rounded(F.get("stay", F.lit(i)), 7).alias(f"stay{i}") for i in _N3]
+
+
+@query(_transition_sql(
+    "a{i}{j} / ({row})", "greatest(0.01::DOUBLE, g * a{i}{j} + x{i}{j})", f"{clip_sql(f'0.999::DOUBLE - 0.01::DOUBLE * ({_ENTROPY.format(v=chr(110))})', 0.95, 0.9995)} AS g, 0.0::DOUBLE AS rate",
+    lambda i, j: 100 / 3, f"round({_ENTROPY.format(v=chr(112))}, 7) + 0.0 AS entropy", more="cap",
+))
 def soft_dirichlet(spark, sf_dir):
-    return folded(labelled(spark, sf_dir), ["y"], partial(k.SoftDirichlet, gamma=0.999, adapt=0.01)).select(KEY, "seq", "stay", rounded("entropy").alias("entropy"))
+    out = folded(labelled(spark, sf_dir), ["y"], partial(k.SoftDirichlet, gamma=0.999, adapt=0.01))
+    return out.select(KEY, "seq", *_stays(out), rounded("entropy", 7).alias("entropy"))
 
 
-@query()
+def digamma_sql(x: str) -> str:
+    z = f"({x} + 6)"
+    low = " + ".join(f"1 / ({x} + {i})" for i in range(6))
+    return f"(ln({z}) - 0.5 / {z} - 1 / {z} ** 2 * (1 / 12.0 - 1 / {z} ** 2 * (1 / 120.0 - 1 / {z} ** 2 * (1 / 252.0 - 1 / {z} ** 2 * (1 / 240.0 - 1 / {z} ** 2 / 132)))) - ({low}))"
+
+
+@query(_transition_sql(
+    f"exp({digamma_sql('a{i}{j}')} - {digamma_sql('({row})')})", "greatest(1e-6, (1 - rate) * a{i}{j} + rate * (CASE WHEN {i} = {j} THEN 6.0::DOUBLE ELSE 1.0::DOUBLE END + x{i}{j}))",
+    f"{clip_sql('(64 + n + 1)::DOUBLE ** -0.7', 0.001, 1)} AS rate", lambda i, j: 6.0 if i == j else 1.0, "round(rate, 8) AS rate",
+))
 def online_vi(spark, sf_dir):
-    return folded(labelled(spark, sf_dir), ["y"], k.OnlineVi).select(KEY, "seq", "stay", rounded("variance").alias("variance"), rounded("rate").alias("rate"))
+    out = folded(labelled(spark, sf_dir), ["y"], k.OnlineVi)
+    return out.select(KEY, "seq", *_stays(out), rounded("rate", 8).alias("rate"))
 
 
 _SCALE = "CASE regime WHEN 0 THEN 2.0::DOUBLE WHEN 1 THEN 1.5::DOUBLE WHEN 2 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END"
@@ -163,9 +281,32 @@ class _Boosted(k.Hawkes):
         return now, k.hawkes_boost(self.ROWS, now)[regime]
 
 
-@query()
+def _boost_sql() -> str:
+    row = "0.95::DOUBLE", f"{0.05 / 3!r}::DOUBLE"
+    cell = lambda i, j: row[0] if i == j else row[1]
+    taken = lambda i, j: f"greatest(least({cell(i, j)} * g, {cell(i, j)} - 0.02), 0)"
+    columns = []
+    for j in range(4):
+        rows = []
+        for i in range(4):
+            up = 3 - i
+            if not up:
+                rows.append(cell(i, j))
+            elif j <= i:
+                rows.append(f"{cell(i, j)} - {taken(i, j)}")
+            else:
+                rows.append(f"{cell(i, j)} + ({' + '.join(taken(i, q) for q in range(i + 1))}) * {j - i} / {sum(range(1, up + 1))}")
+        columns.append("round(CASE regime " + " ".join(f"WHEN {i} THEN CASE WHEN g IS NULL THEN {cell(i, j)} ELSE {x} END" for i, x in enumerate(rows)) + f" END, 8) AS p{j}")
+    base = ORACLES["hawkes_intensity"].replace("round(i, 8) AS intensity, e AS event", "i")
+    head, tail = base.rsplit(") SELECT", 1)
+    return f"""{head}), h AS (SELECT {tail}), b AS (SELECT h.series_id, h.seq, regime, i, CASE WHEN i - 0.05 >= 0.005 THEN least(0.1 * (i - 0.05), 0.25) END AS g FROM h JOIN regimes USING (series_id, seq))
+      SELECT series_id, seq, round(i, 8) AS intensity, {', '.join(columns)} FROM b"""
+
+
+@query(_boost_sql())
 def hawkes_boost(spark, sf_dir):
-    return folded(labelled(spark, sf_dir), ["ret", "regime"], partial(_Boosted, threshold=0.02)).select(KEY, "seq", rounded("intensity", 8).alias("intensity"), F.transform("row", lambda x: F.round(x, 9)).alias("row"))
+    out = folded(labelled(spark, sf_dir), ["ret", "regime"], partial(_Boosted, threshold=0.02))
+    return out.select(KEY, "seq", rounded("intensity", 8).alias("intensity"), *[rounded(F.get("row", F.lit(j)), 8).alias(f"p{j}") for j in range(4)])
 
 
 @query()
@@ -186,15 +327,38 @@ def hawkes_moments(spark, sf_dir):
     return out.select(KEY, "n_events", *[rounded(c, 8).alias(c) for c in ("mu", "branching", "beta")])
 
 
-@query()
+def _bocpd_sql(hazard: str, out: str) -> str:
+    """Run-length recursion with lists as state; ``hazard`` is an expression of the run i (from 0)."""
+    density = (
+        "exp(lgamma(a[i + 1] + 0.5) - lgamma(a[i + 1]) - 0.5 * ln(2 * a[i + 1] * pi() * (b[i + 1] * (k[i + 1] + 1) / (a[i + 1] * k[i + 1])))"
+        " - (a[i + 1] + 0.5) * ln(1 + (ret - m[i + 1]) ** 2 / (2 * a[i + 1] * (b[i + 1] * (k[i + 1] + 1) / (a[i + 1] * k[i + 1])))))"
+    )
+    x = "SELECT t.*, r, m, k, a, b, mass, dk, dm, da, db FROM f JOIN t ON t.series_id = f.series_id AND t.rn = f.rn + 1"
+    x = f"SELECT *, list_transform(range(len(r)), lambda i: r[i + 1] * {density}) AS j FROM ({x})"
+    x = f"SELECT *, list_concat([list_sum(list_transform(range(len(j)), lambda i: j[i + 1] * {hazard}))], list_transform(range(len(j)), lambda i: j[i + 1] * (1 - {hazard}))) AS u FROM ({x})"
+    x = f"SELECT *, list_transform(u, lambda v: v / list_sum(u)) AS w FROM ({x})"
+    x = f"SELECT *, list_max(list_transform(range(len(w)), lambda i: CASE WHEN w[i + 1] > 1e-6 THEN i + 1 ELSE 1 END)) AS last FROM ({x})"
+    x = f"SELECT *, list_transform(w[1:last], lambda v: v / list_sum(w[1:last])) AS nr FROM ({x})"
+    x = f"""SELECT series_id, seq, rn, nr AS r, list_concat([0.0::DOUBLE], list_transform(range(len(m)), lambda i: (k[i + 1] * m[i + 1] + ret) / (k[i + 1] + 1)))[1:last] AS m,
+      list_concat([1.0::DOUBLE], list_transform(k, lambda v: v + 1))[1:last] AS k, list_concat([1.0::DOUBLE], list_transform(a, lambda v: v + 0.5))[1:last] AS a,
+      list_concat([1e-4::DOUBLE], list_transform(range(len(b)), lambda i: b[i + 1] + 0.5 * k[i + 1] * (ret - m[i + 1]) ** 2 / (k[i + 1] + 1)))[1:last] AS b,
+      list_sum(nr[1:15]) AS mass, list_sum(nr[1:15]) - mass AS d, dk, dm, da, db FROM ({x})"""
+    x = f"SELECT *, (d - dm) / sqrt(greatest(db / da, 1e-6)) AS z, (0.99::DOUBLE * dk * dm + d) / (0.99::DOUBLE * dk + 1) AS nm FROM ({x})"
+    x = f"SELECT series_id, seq, rn, r, m, k, a, b, mass, 0.99::DOUBLE * dk + 1, nm, 0.99::DOUBLE * da + 0.5, 0.99::DOUBLE * db + 0.5 * (d - dm) * (d - nm), z FROM ({x})"
+    first = """SELECT series_id, seq, rn, [1.0::DOUBLE] AS r, [ret / 2] AS m, [2.0::DOUBLE] AS k, [1.5::DOUBLE] AS a, [1e-4::DOUBLE + 0.5 * ret ** 2 / 2] AS b, 1.0::DOUBLE AS mass,
+      1.0::DOUBLE AS dk, 0.0::DOUBLE AS dm, 1.0::DOUBLE AS da, 0.01::DOUBLE AS db, 0.0::DOUBLE AS z FROM t WHERE rn = 1"""
+    return f"WITH RECURSIVE {s.TICKS_SQL}, t AS MATERIALIZED (SELECT series_id, seq, rn, ret FROM r), f AS ({first} UNION ALL {x}) SELECT series_id, seq, {out} FROM f"
+
+
+@query(_bocpd_sql("0.01::DOUBLE", "list_position(r, list_max(r)) - 1 AS map_run, round(list_sum(r[1:5]), 7) AS p_change, len(r) AS n_runs"))
 def bocpd_runlength(spark, sf_dir):
-    return folded(s.returns(spark, sf_dir), ["ret"], k.Bocpd).select(KEY, "seq", "map_run", rounded("p_change", 8).alias("p_change"), "n_runs")
+    return folded(s.returns(spark, sf_dir), ["ret"], k.Bocpd).select(KEY, "seq", "map_run", rounded("p_change", 7).alias("p_change"), "n_runs")
 
 
-@query()
+@query(_bocpd_sql("least(1.0::DOUBLE, 0.8::DOUBLE / (i + 1))", "round(mass, 7) AS short_mass, round(z, 5) + 0.0 AS delta_z, abs(z) > 3 AS alarm"))
 def bocpd_delta(spark, sf_dir):
     out = folded(s.returns(spark, sf_dir), ["ret"], partial(k.Bocpd, ("power", 0.8)))
-    return out.select(KEY, "seq", rounded("short_mass", 8).alias("short_mass"), rounded("delta_z", 7).alias("delta_z"), (F.abs("delta_z") > 3).alias("alarm"))
+    return out.select(KEY, "seq", rounded("short_mass", 7).alias("short_mass"), rounded("delta_z", 5).alias("delta_z"), (F.abs("delta_z") > 3).alias("alarm"))
 
 
 @query()

@@ -219,7 +219,7 @@ def systematic_resample(spark, sf_dir):
     return systematic_counts(rows, "c_custkey", "w", 500, 0.37).select("c_custkey", "copies")
 
 
-@query()
+@query(synthetic.tape_sql())
 def synthetic_tape(spark, sf_dir):
     rows = synthetic.scenario_tape(spark)
     return rows.select("tick", "scenario", rounded("true_log_vol", 8).alias("true_log_vol"), "true_regime", rounded("ret").alias("ret"), "is_outlier")

@@ -12,7 +12,7 @@ from tickweave.operators import kernels as k
 from tickweave.operators import ranges as rg
 from tickweave.operators import reports as rp
 from tickweave.operators.fold import ordered_fold
-from tickweave.plans.folds import CUTS, KEY, ORDER, REGIME_SQL, fold_sql, labelled, mixture_sql
+from tickweave.plans.folds import CUTS, KEY, ORDER, REGIME_SQL, digamma_sql, fold_sql, labelled, mixture_sql
 from tickweave.plans.registry import query, rounded
 from tickweave.sources import ticks as s
 
@@ -314,10 +314,16 @@ def log_multivariate_beta(spark, sf_dir):
     return s.returns(spark, sf_dir).select(KEY, "seq", rounded(sp.log_multivariate_beta(a), 8).alias("log_b"))
 
 
-@query()
+_A0 = f"({' + '.join(_A)})"
+_LB = f"({' + '.join(f'lgamma({a})' for a in _A)} - lgamma({_A0}))"
+_PSI = [digamma_sql(a) for a in (*_A, _A0)]
+
+
+@query(sql(f"""SELECT series_id, seq, round({_PSI[0]}, 7) + 0.0 AS psi, round({_LB} + ({_A0} - 3) * {_PSI[3]} - {' - '.join(f'({a} - 1) * {p}' for a, p in zip(_A, _PSI))}, 7) + 0.0 AS entropy,
+  round(0 - lgamma(3.0) - {_LB} + {' + '.join(f'({a} - 1) * ({p} - {_PSI[3]})' for a, p in zip(_A, _PSI))}, 7) + 0.0 AS kl FROM r"""))
 def dirichlet_entropy(spark, sf_dir):
     a = [1 + F.abs("ret") * 100, 2 + F.abs("ret") * 50, F.lit(3.0)]
-    return s.returns(spark, sf_dir).select(KEY, "seq", rounded(sp.digamma(a[0]), 8).alias("psi"), rounded(sp.dirichlet_entropy(a), 8).alias("entropy"), rounded(sp.dirichlet_kl(a, [F.lit(1.0)] * 3), 8).alias("kl"))
+    return s.returns(spark, sf_dir).select(KEY, "seq", rounded(sp.digamma(a[0]), 7).alias("psi"), rounded(sp.dirichlet_entropy(a), 7).alias("entropy"), rounded(sp.dirichlet_kl(a, [F.lit(1.0)] * 3), 7).alias("kl"))
 
 
 @query(sql("SELECT series_id, seq, round(sqrt(2) * acosh(1 + ((ret * 100 - 1) ** 2 / 2 + ((0.5 + abs(ret) * 10) - 1.5) ** 2) / (2 * (0.5 + abs(ret) * 10) * 1.5)), 7) AS distance FROM r"))
@@ -325,10 +331,13 @@ def fisher_rao_dist(spark, sf_dir):
     return s.returns(spark, sf_dir).select(KEY, "seq", rounded(sp.fisher_rao_distance(F.col("ret") * 100, 0.5 + F.abs("ret") * 10, F.lit(1.0), F.lit(1.5)), 7).alias("distance"))
 
 
-@query()
+@query(sql("""SELECT series_id, seq, round(sqrt(2) * (c + q * cos(w)), 7) + 0.0 AS mean, round(q * sin(w), 7) AS deviation FROM (
+  SELECT *, 2 * atan(exp(ln(tan(atan2(s1, x1 - c) / 2)) * 0.7 + 0.3 * ln(tan(atan2(1.5, x2 - c) / 2)))) AS w FROM (
+    SELECT *, sqrt((x1 - c) ** 2 + s1 ** 2) AS q FROM (
+      SELECT *, ((x2 ** 2 + 2.25) - (x1 ** 2 + s1 ** 2)) / (2 * (x2 - x1)) AS c FROM (SELECT series_id, seq, ret * 100 / sqrt(2) AS x1, 1 / sqrt(2) AS x2, 0.5 + abs(ret) * 10 AS s1 FROM r))))"""))
 def fisher_rao_geodesic(spark, sf_dir):
     m, d = sp.fisher_rao_point(F.col("ret") * 100, 0.5 + F.abs("ret") * 10, F.lit(1.0), F.lit(1.5), 0.3)
-    return s.returns(spark, sf_dir).select(KEY, "seq", rounded(m, 8).alias("mean"), rounded(d, 8).alias("deviation"))
+    return s.returns(spark, sf_dir).select(KEY, "seq", rounded(m, 7).alias("mean"), rounded(d, 7).alias("deviation"))
 
 
 @query(sql("SELECT series_id, seq, round(exp(-0.1 * rn) * ret * ret * 2, 9) AS e, round((1 + 0.1 * rn) ** -1.5 * (exp(abs(ret)) - 1), 9) AS p, round(0.5 * exp(-0.2 * rn) + 0.5 * exp(-0.05 * rn), 9) AS m FROM r"))

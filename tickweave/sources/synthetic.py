@@ -64,6 +64,19 @@ def scenario_tape(spark: SparkSession, copies: int = 1, seed: int = 1) -> DataFr
     return out.select("series_id", "tick", "scenario", "true_log_vol", "true_regime", (F.exp("true_log_vol") * shock).alias("ret"), (F.col("size") > 0).alias("is_outlier"))
 
 
+def tape_sql(seed: int = 1) -> str:
+    """The tape of series 0 in SQL."""
+    u = lambda n, x: f"(('0x' || substr(md5('{n}:{x}:{seed}:0:' || tick), 1, 8))::UBIGINT / 4294967296.0::DOUBLE)"
+    normal_of = lambda x: f"sqrt(-2 * ln({u('n1', x)} + {2.0**-33!r}::DOUBLE)) * cos({2 * math.pi!r}::DOUBLE * {u('n2', x)})"
+    when = lambda e: "CASE " + " ".join(f"WHEN tick BETWEEN {a} AND {b} THEN {e(n, a, b, h0, h1, r)}" for n, a, b, h0, h1, r in SCENARIOS) + " END"
+    level = when(lambda n, a, b, h0, h1, r: f"{h0!r}::DOUBLE + {h1 - h0!r}::DOUBLE * (tick - {a}) / {float(b - a)!r}::DOUBLE")
+    size = "CASE tick " + " ".join(f"WHEN {t} THEN {d!r}::DOUBLE" for t, d in OUTLIERS.items()) + " ELSE 0.0::DOUBLE END"
+    return f"""WITH RECURSIVE t AS MATERIALIZED (SELECT tick, {when(lambda n, *_: f"'{n}'")} AS scenario, {when(lambda *x: x[5])} AS true_regime, {level} AS level, {size} AS size, {normal_of('h')} AS eps, {normal_of('r')} AS z
+      FROM (SELECT unnest(range(7500))::INT AS tick)), f AS (SELECT tick, level AS h FROM t WHERE tick = 0
+      UNION ALL SELECT t.tick, 0.95::DOUBLE * h + 0.05::DOUBLE * level + 0.08::DOUBLE * eps FROM f JOIN t ON t.tick = f.tick + 1)
+    SELECT tick, scenario, round(h, 8) AS true_log_vol, true_regime, round(exp(h) * CASE WHEN size > 0 THEN size * sign(z) ELSE z END, 9) + 0.0 AS ret, size > 0 AS is_outlier FROM f JOIN t USING (tick)"""
+
+
 def stochastic_volatility(spark: SparkSession, days: int, vol: float, phi: float, drift: float = 0.0, seed: int = 1) -> DataFrame:
     """day, true_log_vol, ret of one series with an AR(1) log-volatility around ``log(vol)``."""
     rows = spark.range(days).select(F.lit(0).alias("series_id"), F.col("id").alias("day"), F.lit(math.log(vol)).alias("level"))
