@@ -449,9 +449,39 @@ def _bank(spark, sf_dir):
     return folded(labelled(spark, sf_dir), ["y"], k.HmmBank, keep=["y", "ret", "vol"]).withColumnRenamed("regime", "est_regime")
 
 
-@query()
+def _bank_sql() -> str:
+    from tickweave.operators.particles import REGIMES
+
+    n = range(4)
+    t = lambda i, j: "0.95::DOUBLE" if i == j else f"{0.05 / 3!r}::DOUBLE"
+    w, m, v = (f"[{', '.join(f'{x!r}::DOUBLE' for x in xs)}]" for xs in (MIXTURE_WEIGHTS, MIXTURE_MEANS, MIXTURE_VARIANCES))
+    state = ", ".join(f"p{i}, m{i}, v{i}" for i in n)
+
+    def step(source: str) -> str:
+        x = f"SELECT *, {', '.join(' + '.join(f'p{i} * {t(i, j)}' for i in n) + f' AS c{j}' for j in n)} FROM ({source})"
+        x = f"SELECT *, {', '.join('(' + ' + '.join(f'p{i} * {t(i, j)} * m{i}' for i in n) + f') / c{j} AS d{j}' for j in n)} FROM ({x})"
+        x = f"SELECT *, {', '.join('(' + ' + '.join(f'p{i} * {t(i, j)} * (v{i} + (m{i} - d{j}) ** 2)' for i in n) + f') / c{j} AS e{j}' for j in n)} FROM ({x})"
+        x = f"SELECT *, {', '.join(f'{1 - th!r}::DOUBLE * d{j} + {th * mu!r}::DOUBLE AS g{j}, {(1 - th) ** 2!r}::DOUBLE * e{j} + {q * q!r}::DOUBLE AS h{j}' for j, (th, mu, q) in enumerate(REGIMES))} FROM ({x})"
+        part = "kw[c] / sqrt(2 * pi() * (4 * h{j} + kv[c])) * exp(0 - 0.5 * (y - 2 * g{j} - km[c]) ** 2 / (4 * h{j} + kv[c]))"
+        x = f"SELECT *, {', '.join(f'list_transform(range(1, 11), lambda c: {part.format(j=j)}) AS l{j}' for j in n)} FROM (SELECT *, {w} AS kw, {m} AS km, {v} AS kv FROM ({x}))"
+        moved = "(g{j} + 2 * h{j} / (4 * h{j} + kv[c]) * (y - 2 * g{j} - km[c]))"
+        x = f"SELECT *, {', '.join(f'list_sum(list_transform(range(1, 11), lambda c: l{j}[c] * {moved.format(j=j)})) / list_sum(l{j}) AS n{j}' for j in n)} FROM ({x})"
+        x = f"SELECT *, {', '.join(f'list_sum(list_transform(range(1, 11), lambda c: l{j}[c] * ((1 - 4 * h{j} / (4 * h{j} + kv[c])) * h{j} + ({moved.format(j=j)} - n{j}) ** 2))) / list_sum(l{j}) AS o{j}' for j in n)} FROM ({x})"
+        x = f"SELECT *, {' + '.join(f'c{j} * list_sum(l{j})' for j in n)} AS total FROM ({x})"
+        return f"SELECT series_id, seq, rn, {', '.join(f'c{j} * list_sum(l{j}) / total AS p{j}, n{j} AS m{j}, o{j} AS v{j}' for j in n)}, ln(total) AS loglik FROM ({x})"
+
+    first = step("SELECT t.*, " + ", ".join(f"0.25::DOUBLE AS p{j}, {r[1]!r}::DOUBLE AS m{j}, 0.1::DOUBLE AS v{j}" for j, r in enumerate(REGIMES)) + " FROM t WHERE rn = 1")
+    later = step(f"SELECT t.*, {state} FROM f JOIN t ON t.series_id = f.series_id AND t.rn = f.rn + 1")
+    level = " + ".join(f"p{j} * m{j}" for j in n)
+    variance = " + ".join(f"p{j} * (v{j} + (m{j} - ({level})) ** 2)" for j in n)
+    best = "list_position([p0, p1, p2, p3], greatest(p0, p1, p2, p3)) - 1"
+    return f"""WITH RECURSIVE {s.TICKS_SQL}, {REGIME_SQL}, t AS MATERIALIZED (SELECT series_id, seq, rn, y FROM regimes), f AS ({first} UNION ALL {later})
+      SELECT series_id, seq, {best} AS est_regime, round({level}, 7) + 0.0 AS log_vol, round({variance}, 7) AS variance, round(loglik, 7) + 0.0 AS loglik FROM f"""
+
+
+@query(_bank_sql())
 def kalman_bank(spark, sf_dir):
-    return _bank(spark, sf_dir).select(KEY, "seq", "est_regime", rounded("log_vol", 8).alias("log_vol"), rounded("variance", 8).alias("variance"), rounded("loglik", 8).alias("loglik"))
+    return _bank(spark, sf_dir).select(KEY, "seq", "est_regime", rounded("log_vol", 7).alias("log_vol"), rounded("variance", 7).alias("variance"), rounded("loglik", 7).alias("loglik"))
 
 
 @query()
