@@ -50,6 +50,20 @@ def fold_sql(inputs: str, first: str, joined: str, step: str, out: str, more: st
     ) SELECT series_id, seq, {out} FROM f"""
 
 
+def likelihoods(rows, levels):
+    """Add ``lik``, the log densities of y at each level."""
+    from tickweave.functions.special import mixture_logpdf
+
+    return rows.withColumn("lik", F.array(*[mixture_logpdf(F.col("y"), h) for h in levels]))
+
+
+def given(rows, inputs, kernel, keep=()):
+    """``folded`` for a kernel that is fed with likelihoods."""
+    base = kernel.func if isinstance(kernel, partial) else kernel
+    options = kernel.keywords if isinstance(kernel, partial) else {}
+    return ordered_fold(rows, KEY, ORDER, inputs, partial(k.Given, base, **options), base.OUTPUTS, keep)
+
+
 def folded(rows, inputs, kernel, keep=()):
     kind = kernel.func if isinstance(kernel, partial) else kernel
     return ordered_fold(rows, KEY, ORDER, inputs, kernel, kind.OUTPUTS, keep)
@@ -80,7 +94,8 @@ _LLR = clip_sql(f"{mixture_sql('y', '-4.0')} - {mixture_sql('y', '-5.0')}", -20,
 
 @query(fold_sql(f"{_LLR} AS d", "d AS q", f"CASE WHEN abs(q) > {_UP!r} THEN 0.0::DOUBLE ELSE q END + d AS q", "q", f"round(q, 8) + 0.0 AS ratio, CASE WHEN q > {_UP!r} THEN 1 WHEN q < -{_UP!r} THEN -1 ELSE 0 END AS decision"))
 def sprt_binary(spark, sf_dir):
-    return folded(labelled(spark, sf_dir), ["y"], k.SprtBinary).select(KEY, "seq", rounded("ratio", 8).alias("ratio"), "decision")
+    rows = likelihoods(labelled(spark, sf_dir), (-5.0, -4.0)).select("*", F.get("lik", F.lit(0)).alias("low"), F.get("lik", F.lit(1)).alias("high"))
+    return given(rows, ["low", "high"], k.SprtBinary).select(KEY, "seq", rounded("ratio", 8).alias("ratio"), "decision")
 
 
 LEVELS4 = ("-6.0", "-5.0", "-4.0", "-3.0")
@@ -116,7 +131,7 @@ def _sprt_multi_sql() -> str:
 
 @query(_sprt_multi_sql())
 def sprt_multi(spark, sf_dir):
-    out = folded(labelled(spark, sf_dir), ["y"], k.SprtMulti)
+    out = given(likelihoods(labelled(spark, sf_dir), (-6.0, -5.0, -4.0, -3.0)), ["lik"], k.SprtMulti)
     return out.select(KEY, "seq", "regime", *[rounded(F.get("p", F.lit(i)), 7).alias(f"p{i}") for i in range(4)])
 
 
@@ -240,7 +255,7 @@ def _stays(out):
     lambda i, j: 100 / 3, f"round({_ENTROPY.format(v=chr(112))}, 7) + 0.0 AS entropy", more="cap",
 ))
 def soft_dirichlet(spark, sf_dir):
-    out = folded(labelled(spark, sf_dir), ["y"], partial(k.SoftDirichlet, gamma=0.999, adapt=0.01))
+    out = given(likelihoods(labelled(spark, sf_dir), (-6.0, -5.0, -4.0)), ["lik"], partial(k.SoftDirichlet, gamma=0.999, adapt=0.01))
     return out.select(KEY, "seq", *_stays(out), rounded("entropy", 7).alias("entropy"))
 
 
@@ -255,7 +270,7 @@ def digamma_sql(x: str) -> str:
     f"{clip_sql('(64 + n + 1)::DOUBLE ** -0.7', 0.001, 1)} AS rate", lambda i, j: 6.0 if i == j else 1.0, "round(rate, 8) AS rate",
 ))
 def online_vi(spark, sf_dir):
-    out = folded(labelled(spark, sf_dir), ["y"], k.OnlineVi)
+    out = given(likelihoods(labelled(spark, sf_dir), (-6.0, -5.0, -4.0)), ["lik"], k.OnlineVi)
     return out.select(KEY, "seq", *_stays(out), rounded("rate", 8).alias("rate"))
 
 
@@ -395,7 +410,7 @@ def _imm_sql() -> str:
 
 def _imm(spark, sf_dir):
     rows = labelled(spark, sf_dir).withColumn("o", (F.abs("ret") > 0.03).cast("double"))
-    return folded(rows, ["y", "o"], k.Imm, keep=["y"])
+    return given(likelihoods(rows, (-5.0, -4.5, -3.8)), ["lik", "o"], k.Imm, keep=["y"])
 
 
 @query(_imm_sql())
