@@ -74,6 +74,12 @@ def test_odd_rows(spark, odd, none):
     assert near_dedup.near_components(none, Scratch(spark, "t")).collect() == []
 
 
+def test_null_ids(spark, make):
+    rows = [(None, "a b c d e f g"), (4, "a b c d e f g"), (None, "q r s t u v w"), (None, "q r s t u v w")]
+    out = near_dedup.near_components(make(rows), Scratch(spark, "t")).collect()
+    assert sorted(map(str, ((r["doc_id"], r["component_id"], r["kept"]) for r in out))) == sorted(map(str, [(None, 4, False), (4, 4, True), (None, None, True), (None, None, True)]))
+
+
 def test_long_chain_of_links(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7), (None, 3)], "a long, b long")
     labels = {r["id"]: r["label"] for r in connected_components(links, Scratch(spark, "t")).collect()}

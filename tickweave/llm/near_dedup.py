@@ -276,15 +276,16 @@ def near_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     """doc_id, n_shingles, component_id (smallest id reachable over links) and kept (doc_id is component_id), a row per row of ``docs``.
 
     Ids are long. Null or empty texts have no shingles and are linked with
-    nothing. A row with a null id is linked only through equal sets, as the last
-    to be kept; alone it has a null component and is kept. Rows with the same id
+    nothing. A row with a null id is linked only to rows with an id and an equal
+    set, and then not kept; else it has a null component and is kept. Rows with the same id
     are taken as one document when their sets are linked. Whole texts of any
     length are read. Empty tables give no rows.
     """
     spark = docs.sparkSession
     ship_package(spark)
     sketched = scratch.write(sketches(docs, id_col, text_col), "sketches")
-    firsts = sketched.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "tokens", "low")).alias("f"), F.count(F.lit(1)).alias("n"))
+    known = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tokens", "low"))
+    firsts = sketched.where("set_key is not null").groupBy("set_key").agg(F.min(known).alias("f"), F.count(F.lit(1)).alias("n")).where("f is not null")
     firsts = scratch.write(firsts.select("set_key", F.col("f.doc_id").alias("id"), F.col("f.tokens").alias("tokens"), F.col("f.low").alias("low"), "n"), "sets")
     sets = firsts.select("id", "tokens", "low")
 
