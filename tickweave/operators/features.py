@@ -22,11 +22,14 @@ def by(key: str | Sequence[str], order: Sequence[str]):
 
 
 def log_returns(frame: DataFrame, key, order, price: str, out: str) -> DataFrame:
-    return frame.withColumn(out, F.log(F.col(price) / F.lag(price).over(by(key, order))))
+    """Null at the first price of a series and where this or the last price isn't positive."""
+    last = F.lag(price).over(by(key, order))
+    return frame.withColumn(out, F.when((F.col(price) > 0) & (last > 0), F.log(F.col(price) / last)))
 
 
 def simple_returns(frame: DataFrame, key, order, price: str, out: str) -> DataFrame:
-    return frame.withColumn(out, F.col(price) / F.lag(price).over(by(key, order)) - 1)
+    """Null at the first price of a series and after a price of zero."""
+    return frame.withColumn(out, F.try_divide(F.col(price), F.lag(price).over(by(key, order))) - 1)
 
 
 def log_square(ret: Column) -> Column:
@@ -107,7 +110,7 @@ def diurnal_profile(frame: DataFrame, bin_col: str, ret: str, bins: int, least:
     each = frame.where(F.col(ret).isNotNull()).groupBy(F.col(bin_col).alias("bin")).agg(F.sum(squares).alias("s"), F.count(F.lit(1)).alias("n"))
     each = spark.range(bins).select(F.col("id").cast("int").alias("bin")).join(F.broadcast(each), "bin", "left")
     total = each.agg(F.sqrt(F.sum("s") / F.sum("n")).alias("total"))
-    raw = F.when(F.coalesce("n", F.lit(0)) < least, F.lit(1.0)).otherwise(F.sqrt(F.col("s") / F.col("n")) / F.col("total"))
+    raw = F.when(F.coalesce("n", F.lit(0)) < least, F.lit(1.0)).otherwise(F.try_divide(F.sqrt(F.col("s") / F.col("n")), F.col("total")))
     rows = each.crossJoin(F.broadcast(total)).select("bin", F.greatest(F.least(raw, F.lit(high)), F.lit(low)).alias("raw"), F.lit(0).alias("one"))
     return centred_mean(rows, "one", ["bin"], "raw", smooth, "factor").select("bin", "factor")
 

@@ -16,12 +16,12 @@ def hawkes_moments(events: DataFrame, key: str, order, hours: Column, least: int
     """
     gaps = events.withColumn("gap", hours - F.lag(hours).over(by(key, order)))
     each = gaps.groupBy(key).agg(F.count("gap").alias("n"), F.avg("gap").alias("m"), F.var_samp("gap").alias("v"))
-    cv2 = F.col("v") / (F.col("m") * F.col("m"))
+    cv2 = F.try_divide(F.col("v"), F.col("m") * F.col("m"))
     clip = lambda x, a, b: F.greatest(F.least(x, F.lit(b)), F.lit(a))
     branching, few = clip((cv2 - 1) / (cv2 + 1), 0.1, 0.9), F.col("n") < least
     return each.select(
-        key, (F.col("n") + 1).alias("n_events"), F.when(few, 0.05).otherwise(clip((1 - branching) / F.col("m"), 0.01, 0.5)).alias("mu"),
-        F.when(few, 0.5).otherwise(branching).alias("branching"), F.when(few, 0.1).otherwise(clip(0.693 / (2 * F.col("m")), 0.02, 0.5)).alias("beta"),
+        key, (F.col("n") + 1).alias("n_events"), F.when(few, 0.05).otherwise(clip(F.try_divide(1 - branching, F.col("m")), 0.01, 0.5)).alias("mu"),
+        F.when(few, 0.5).otherwise(branching).alias("branching"), F.when(few, 0.1).otherwise(clip(F.try_divide(F.lit(0.693), 2 * F.col("m")), 0.02, 0.5)).alias("beta"),
     )
 
 
@@ -42,11 +42,11 @@ def mincer_zarnowitz(pairs: DataFrame, keys: list[str], truth: str, forecast: st
     each = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"),
     )
-    beta = F.col("sxy") / F.col("sxx")
+    beta = F.try_divide(F.col("sxy"), F.col("sxx"))
     rest = F.col("syy") - beta * F.col("sxy")
-    t = (beta - 1) / F.sqrt(rest / (F.col("n") - 2) / F.col("sxx"))
+    t = F.try_divide(beta - 1, F.sqrt(F.greatest(F.try_divide(F.try_divide(rest, F.col("n") - 2), F.col("sxx")), F.lit(0.0))))
     ok = lambda c: F.when(F.col("n") >= least, c)
-    return each.select(*keys, "n", ok(F.col("my") - beta * F.col("mx")).alias("alpha"), ok(beta).alias("beta"), ok(1 - rest / F.col("syy")).alias("r2"), ok(t).alias("t_beta"))
+    return each.select(*keys, "n", ok(F.col("my") - beta * F.col("mx")).alias("alpha"), ok(beta).alias("beta"), ok(1 - F.try_divide(rest, F.col("syy"))).alias("r2"), ok(t).alias("t_beta"))
 
 
 def diebold_mariano(losses_wide: DataFrame, order: list[str], models: list[str], lags: int = 1) -> DataFrame:
@@ -70,7 +70,7 @@ def diebold_mariano(losses_wide: DataFrame, order: list[str], models: list[str],
             variance = variance + 2 * (1 - h / lags) * F.covar_pop(d, f"{d}__{h}")
         aggregates += [F.avg(d).alias(f"m__{d}"), variance.alias(f"v__{d}"), F.count(d).alias(f"n__{d}")]
     one = lagged.agg(*aggregates)
-    entries = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"m__{a}__{b}").alias("mean_diff"), (F.col(f"m__{a}__{b}") / F.sqrt(F.col(f"v__{a}__{b}") / F.col(f"n__{a}__{b}"))).alias("statistic")) for a, b in pairs]
+    entries = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"m__{a}__{b}").alias("mean_diff"), F.try_divide(F.col(f"m__{a}__{b}"), F.sqrt(F.greatest(F.try_divide(F.col(f"v__{a}__{b}"), F.col(f"n__{a}__{b}")), F.lit(0.0)))).alias("statistic")) for a, b in pairs]
     out = one.select(F.explode(F.array(*entries)).alias("e"))
     return out.select("e.*")
 

@@ -15,7 +15,7 @@ def sql(body: str, *more: str) -> str:
     return f"WITH {', '.join([s.TICKS_SQL, *more])} {body}"
 
 
-@query(sql("SELECT series_id, seq, round(px / lag(px) OVER (PARTITION BY series_id ORDER BY ts, seq) - 1, 9) + 0.0 AS simple_ret FROM ticks"))
+@query(sql("SELECT series_id, seq, round(px / nullif(lag(px) OVER (PARTITION BY series_id ORDER BY ts, seq), 0) - 1, 9) + 0.0 AS simple_ret FROM ticks"))
 def simple_returns(spark, sf_dir):
     return f.simple_returns(s.ticks(spark, sf_dir), KEY, ORDER, "px", "x").select(KEY, "seq", rounded("x").alias("simple_ret"))
 
@@ -58,15 +58,15 @@ def ohlcv_bars(spark, sf_dir):
     return s.bars(spark, sf_dir).withColumn("volume", F.round("volume", 6)).withColumn("day", F.col("day").cast("string"))
 
 
-@query(sql("SELECT series_id, day::VARCHAR AS day, round((high - low) / close, 9) AS range_pct FROM bars", s.BARS_SQL))
+@query(sql("SELECT series_id, day::VARCHAR AS day, round((high - low) / nullif(close, 0), 9) AS range_pct FROM bars", s.BARS_SQL))
 def range_pct(spark, sf_dir):
-    return s.bars(spark, sf_dir).select(KEY, F.col("day").cast("string").alias("day"), F.round((F.col("high") - F.col("low")) / F.col("close"), 9).alias("range_pct"))
+    return s.bars(spark, sf_dir).select(KEY, F.col("day").cast("string").alias("day"), F.round(F.try_divide(F.col("high") - F.col("low"), F.col("close")), 9).alias("range_pct"))
 
 
-@query(sql("SELECT series_id, day::VARCHAR AS day, round(open / lag(close) OVER (PARTITION BY series_id ORDER BY day) - 1, 9) + 0.0 AS gap FROM bars", s.BARS_SQL))
+@query(sql("SELECT series_id, day::VARCHAR AS day, round(open / nullif(lag(close) OVER (PARTITION BY series_id ORDER BY day), 0) - 1, 9) + 0.0 AS gap FROM bars", s.BARS_SQL))
 def price_gap(spark, sf_dir):
     before = F.lag("close").over(f.by(KEY, ["day"]))
-    return s.bars(spark, sf_dir).select(KEY, F.col("day").cast("string").alias("day"), rounded(F.col("open") / before - 1).alias("gap"))
+    return s.bars(spark, sf_dir).select(KEY, F.col("day").cast("string").alias("day"), rounded(F.try_divide(F.col("open"), before) - 1).alias("gap"))
 
 
 @query(sql("SELECT series_id, seq, round(exp(sum(ln(1 + ret)) OVER (PARTITION BY series_id ORDER BY ts, seq)) - 1, 8) + 0.0 AS cum_ret FROM r"))

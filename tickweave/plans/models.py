@@ -244,7 +244,7 @@ class _PriceEwma(k.Ewma):
 
     def step(self, px):
         old, self.px = self.px, px
-        return (None, None) if old is None else super().step(0.01 * np.log(px / old))
+        return super().step(0.01 * float(np.log(px / old))) if old is not None and old > 0 and px > 0 else (None, None)
 
 
 @query()
@@ -262,7 +262,7 @@ class _PriceFilter(pt.ParticleFilter):
 
     def step(self, px):
         old, self.px = self.px, px
-        if old is None:
+        if old is None or old <= 0 or px <= 0:
             return None, None
         out = super().step(k.log_square(0.01 * float(np.log(px / old))))
         return out[0], out[3]

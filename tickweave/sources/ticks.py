@@ -32,8 +32,8 @@ def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same views for the SQL that queries are compared with.
 TICKS_SQL = """ticks AS (
   SELECT user_id AS series_id, ts, event_id AS seq, value AS px, event_type AS event,
-         ln(value / lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) * 0.01::DOUBLE AS ret
-  FROM events
+         CASE WHEN value > 0 AND last > 0 THEN ln(value / last) * 0.01::DOUBLE END AS ret
+  FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM events)
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts, seq) AS rn FROM ticks WHERE ret IS NOT NULL
 )"""
