@@ -41,18 +41,20 @@ class Windowed:
 
 
 def bootstrap_loglik(y, phi, mu, sigma, n, rng) -> float:
-    """Particle estimate of the likelihood of an AR(1) log-volatility."""
+    """Particle estimate of the likelihood of an AR(1) log-volatility, with the exact density of a log-square return."""
     h = mu + sigma / math.sqrt(max(1 - phi * phi, 1e-4)) * rng.standard_normal(n)
-    total = 0.0
+    noise, points, total = sigma * rng.standard_normal((len(y), n)) + mu * (1 - phi), (rng.random(len(y))[:, None] + np.arange(n)) / n, 0.0
     for t, obs in enumerate(y):
         if t:
-            h = mu + phi * (h - mu) + sigma * rng.standard_normal(n)
-        lw = loglik(obs, h)
+            h = phi * h + noise[t]
+        d = obs - 2 * h
+        lw = 0.5 * (d - np.exp(np.minimum(d, 50.0)))
         top = lw.max()
         w = np.exp(lw - top)
-        total += top + math.log(w.mean())
-        h = h[systematic(w / w.sum(), rng.random())]
-    return total
+        edges = w.cumsum()
+        total += top + math.log(edges[-1] / n)
+        h = h[np.minimum(edges.searchsorted(points[t] * edges[-1]), n - 1)]
+    return total - 0.5 * len(y) * math.log(2 * math.pi)
 
 
 class Pmmh(Windowed):
