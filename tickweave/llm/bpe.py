@@ -13,17 +13,19 @@ merges by rank produce.
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.runtime import ship_package, table
 
-#: Bounds of the memos of a worker, in entries, and the longest piece that is kept.
-PIECES, PAIRS, LONGEST = 150_000, 250_000, 64
+#: Bounds of the memos of a worker, in entries (pieces: of each of two generations), and the longest piece that is kept.
+PIECES, PAIRS, LONGEST = 300_000, 400_000, 64
 #: Texts above this many characters are cut at safe places, so that memory is bounded.
 CUT = 1 << 20
 #: Characters that one output batch takes.
@@ -31,16 +33,23 @@ BATCH = 4 << 20
 
 
 class _Memo(dict):
-    """Piece -> ids; computes what is missing."""
+    """Piece -> ids as packed 32-bit integers; computes what is missing.
+
+    Of two generations of entries the older goes when the younger is full; what is
+    used again moves to the younger, so frequent pieces stay.
+    """
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.make(piece.encode()))
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array("i", self.make(piece.encode())).tobytes()
         if len(piece) <= LONGEST:
             if len(self) >= PIECES:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -57,14 +66,16 @@ class Codec:
             pairs = [line.split() for line in lines if line.strip()]
         self.rank = {base64.b64decode(a): int(b) for a, b in pairs}
         self.bytes_of = {r: b for b, r in self.rank.items()}
-        self.text_of = {r: str(r) for r in self.bytes_of}
+        self.size_of = {r: len(b) for b, r in self.rank.items()}
         self.find = regex.compile(pattern).findall
         self.automaton = ahocorasick.Automaton()
         for token, r in self.rank.items():
-            self.automaton.add_word(token.decode("latin-1"), (r, len(token)))
+            self.automaton.add_word(token.decode("latin-1"), r)
         self.automaton.make_automaton()
-        self._shorter: dict[int, int | None] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self.width = max(map(len, self.rank))
+        #: The longest vocabulary entry that is a proper prefix of a token.
+        self.shorter = {r: next((self.rank[b[:k]] for k in range(len(b) - 1, 0, -1) if b[:k] in self.rank), None) for b, r in self.rank.items()}
+        self._fits: dict[int, bool] = {}
         self._ids = _Memo(self.encode_piece)
 
     def merges(self, piece: bytes) -> list[int]:
@@ -80,51 +91,47 @@ class Codec:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether two tokens may stand next to each other."""
-        out = self._fits.get((left, right))
+        key = left << 32 | right
+        out = self._fits.get(key)
         if out is None:
             if len(self._fits) >= PAIRS:
                 self._fits.clear()
-            out = self._fits[left, right] = self.merges(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            out = self._fits[key] = self.merges(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return out
 
-    def shorter(self, token: int) -> int | None:
-        """The longest vocabulary entry that is a proper prefix of a token."""
-        if token not in self._shorter:
-            body = self.bytes_of[token]
-            self._shorter[token] = next((self.rank[body[:k]] for k in range(len(body) - 1, 0, -1) if body[:k] in self.rank), None)
-        return self._shorter[token]
-
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one match of the pattern."""
         if (whole := self.rank.get(piece)) is not None:
             return [whole]
-        n = len(piece)
-        longest: list[int | None] = [None] * n
-        reach = [0] * n
-        for end, (token, size) in self.automaton.iter(piece.decode("latin-1")):
-            if size > reach[at := end - size + 1]:
-                reach[at], longest[at] = size, token
-        open_at = bytearray(b"\1") * (n + 1)
+        letters, n = piece.decode("latin-1"), len(piece)
+        longest, size_of, shorter, known, fits, width = self.automaton.iter_long, self.size_of, self.shorter, self._fits, self.fits, self.width
+        closed: set[int] = set()  # positions that were left backwards
         ids: list[int] = []
-        at, token = 0, longest[0]
-        while at < n:
+        at = 0
+        token: int | None = next(longest(letters[:width]))[1]
+        while True:
             while token is not None:
-                to = at + len(self.bytes_of[token])
-                if open_at[to] and (not ids or self.fits(ids[-1], token)):
-                    break
-                token = self.shorter(token)
+                to = at + size_of[token]
+                if to not in closed:
+                    if not ids:
+                        break
+                    fit = known.get(ids[-1] << 32 | token)
+                    if fit or fit is None and fits(ids[-1], token):
+                        break
+                token = shorter[token]
             if token is not None:
                 ids.append(token)
+                if to == n:
+                    return ids
                 at = to
-                token = longest[at] if at < n else None
+                token = next(longest(letters[at : at + width]))[1]
             elif ids:
-                open_at[at] = 0
+                closed.add(at)
                 last = ids.pop()
-                at -= len(self.bytes_of[last])
-                token = self.shorter(last)
+                at -= size_of[last]
+                token = shorter[last]
             else:
                 raise ValueError("the vocabulary lacks a byte of this text")
-        return ids
 
     def chunks(self, text: str):
         """Parts of a long text. Between a character and a single space that follows it, no match of the pattern goes on."""
@@ -139,12 +146,13 @@ class Codec:
             start = at
         yield text[start:] if start else text
 
+    def encode_packed(self, text: str | None) -> bytes:
+        """Ids of a whole text as packed 32-bit integers; null is empty."""
+        return b"".join(chain.from_iterable(map(self._ids.__getitem__, self.find(part)) for part in self.chunks(text or "")))
+
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text; null is empty."""
-        ids: list[int] = []
-        for part in self.chunks(text or ""):
-            ids.extend(chain.from_iterable(map(self._ids.__getitem__, self.find(part))))
-        return ids
+        return np.frombuffer(self.encode_packed(text), np.int32).tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -176,15 +184,13 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
                 ids, decoded, stop, taken = [], [], start, 0
                 while stop < len(texts) and taken < BATCH:
                     text = texts[stop].as_py()
-                    found = own.encode(text)
-                    ids.append(pa.array(found, pa.int32()))
-                    decoded.append(own.decode(found))
+                    found = own.encode_packed(text)
+                    ids.append(found)
+                    decoded.append(own.decode(np.frombuffer(found, np.int32).tolist()))
                     taken += len(text or "") + 64
                     stop += 1
-                offsets = [0]
-                for x in ids:
-                    offsets.append(offsets[-1] + len(x))
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(ids))
+                offsets = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays([keys.slice(start, stop - start), lists, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
                 start = stop
 
