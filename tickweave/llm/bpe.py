@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tickweave.runtime import ship_package, table
 
 #: Bounds of the memos of a worker, in entries (pieces: of each of two generations), and the longest piece that is kept.
-PIECES, PAIRS, LONGEST = 300_000, 400_000, 64
+PIECES, PAIRS, LONGEST = 200_000, 300_000, 64
 #: Texts above this many characters are cut at safe places, so that memory is bounded.
 CUT = 1 << 20
 #: Characters that one output batch takes.
