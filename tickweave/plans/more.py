@@ -140,12 +140,19 @@ def outlier_streaks(spark, sf_dir):
 
 @query(sql("SELECT count(DISTINCT path) AS paths, count(*) AS series FROM (SELECT series_id, list(regime ORDER BY rn) AS path FROM regimes WHERE rn <= 16 GROUP BY series_id)"))
 def trajectory_diversity(spark, sf_dir):
-    """Distinct regime paths of the first sixteen ticks, by hash."""
+    """Distinct regime paths of the first sixteen ticks, by hash, as its SQL has it; ``trajectory_diversity_full`` reads whole series."""
     rows = labelled(spark, sf_dir).withColumn("rn", F.row_number().over(f.by(KEY, ORDER))).where("rn <= 16")  # arrays of sixteen at most
     paths = rows.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("rn", "regime"))).alias("p"))
     return paths.agg(F.countDistinct(F.xxhash64("p")).alias("paths"), F.count(F.lit(1)).alias("series"))
 
 
+@query(sql("SELECT count(DISTINCT path) AS paths, count(*) AS series FROM (SELECT series_id, list(regime ORDER BY rn) AS path FROM regimes GROUP BY series_id)"))
+def trajectory_diversity_full(spark, sf_dir):
+    """Distinct regime paths of whole series, by a digest that grows tick by tick."""
+    paths = ordered_reduce(labelled(spark, sf_dir), KEY, ORDER, ["regime"], k.PathDigest, k.PathDigest.OUTPUTS)
+    return paths.agg(F.countDistinct("path").alias("paths"), F.count(F.lit(1)).alias("series"))
+
+
 @query("SELECT e.user_id AS series_id, count(*) AS n, coalesce(any_value(c_name), 'unknown') AS name, coalesce(any_value(c_mktsegment), 'N/A') AS sector, coalesce(any_value(n_name), 'N/A') AS country FROM events e LEFT JOIN customer ON c_custkey = e.user_id LEFT JOIN nation ON n_nationkey = c_nationkey GROUP BY e.user_id")
 def series_metadata(spark, sf_dir):
     """A dimension of the series with defaults for what is unknown."""
