@@ -17,3 +17,10 @@ def test_diversity_counts_whole_paths(spark):
     first = catalogue.QUERIES["trajectory_diversity"](spark, SF_SMALL).first()
     whole = catalogue.QUERIES["trajectory_diversity_full"](spark, SF_SMALL).first()
     assert whole["series"] == first["series"] and whole["paths"] > first["paths"]
+
+
+def test_every_return_gets_a_weight(spark):
+    from tickweave.sources import ticks
+
+    whole = catalogue.QUERIES["deferred_weights_full"](spark, SF_SMALL)
+    assert whole.count() == ticks.returns(spark, SF_SMALL).count() > catalogue.QUERIES["deferred_weights"](spark, SF_SMALL).count()

@@ -84,13 +84,20 @@ def catch_up(spark, sf_dir):
 @query(sql("""SELECT series_id, list_transform(list_zip(list(lw ORDER BY rn), list(inc ORDER BY rn)), lambda x: round(x[1] + 0.5 * x[2], 9)) AS w
   FROM (SELECT series_id, rn, -abs(ret) * 100 AS lw, ret * 50 AS inc FROM r WHERE rn <= 8) GROUP BY series_id""").replace("AS w\n", "AS w ").replace("SELECT series_id, list_transform", "SELECT series_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT series_id, list_transform").rstrip() + ")")
 def deferred_weights(spark, sf_dir):
-    """Weights of small clouds with tempered increments added, as arrays."""
+    """Weights of small clouds with tempered increments added, as arrays: the first eight returns, as its SQL has it; ``deferred_weights_full`` has all."""
     rows = s.returns(spark, sf_dir).withColumn("rn", F.row_number().over(f.by(KEY, ORDER))).where("rn <= 8")  # eight particles
     cloud = rows.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("rn", (-F.abs("ret") * 100).alias("lw"), (F.col("ret") * 50).alias("inc")))).alias("c"))
     w = F.zip_with(F.transform("c", lambda x: x["lw"]), F.transform("c", lambda x: x["inc"]), lambda a, b: a + 0.5 * b)
     return cloud.select(KEY, F.posexplode(w).alias("i", "w")).select(KEY, rounded("w").alias("w"), (F.col("i") + 1).cast("long").alias("i"))
 
 
+@query(sql("SELECT series_id, round(-abs(ret) * 100 + 0.5 * (ret * 50), 9) AS w, rn AS i FROM r"))
+def deferred_weights_full(spark, sf_dir):
+    """Weights with tempered increments added, for every return of every series."""
+    rows = s.returns(spark, sf_dir).withColumn("i", F.row_number().over(f.by(KEY, ORDER)).cast("long"))
+    return rows.select(KEY, rounded(-F.abs("ret") * 100 + 0.5 * (F.col("ret") * 50)).alias("w"), "i")
+
+
 _ALIGN = """m AS (SELECT (rn > 40)::INT AS part, regime, avg(y) AS mu, count(*) AS n FROM regimes GROUP BY ALL),
   k AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY mu) AS rank FROM m)"""
 
