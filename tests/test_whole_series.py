@@ -1,8 +1,13 @@
 """Queries and reducers that must read whole series, not their first or last ticks."""
 
+import numpy as np
+import pytest
+
 from tests.conftest import SF_SMALL
 from tickweave.operators import kernels as k
+from tickweave.operators import samplers as sm
 from tickweave.operators.fold import ordered_reduce
+from tickweave.operators.spool import Spool
 from tickweave.plans import catalogue
 
 
@@ -24,3 +29,44 @@ def test_every_return_gets_a_weight(spark):
 
     whole = catalogue.QUERIES["deferred_weights_full"](spark, SF_SMALL)
     assert whole.count() == ticks.returns(spark, SF_SMALL).count() > catalogue.QUERIES["deferred_weights"](spark, SF_SMALL).count()
+
+
+def test_spool_gives_all_numbers_back_each_time():
+    numbers = np.random.default_rng(3).normal(size=1003)
+    spool = Spool(block=100)
+    for x in numbers:
+        spool.append(x)
+    assert len(spool.part) == 3 and (spool.first, spool.last) == (numbers[0], numbers[-1])
+    for _ in range(2):
+        assert list(spool) == numbers.tolist() and spool.mean() == pytest.approx(numbers.mean())
+
+
+def test_chain_sees_the_first_ticks():
+    y = np.random.default_rng(4).normal(-9, 1.5, 700)
+
+    def fit(shift):
+        chain = sm.Pmmh(("a",), particles=16, steps=6, burn=2)
+        for v in [*(y[:500] + shift), *y[500:]]:
+            chain.push(v)
+        return chain.finish()[0]
+
+    assert fit(0)[6] != fit(3.0)[6] and fit(0)[7] == 700
+    parts = [np.asarray(p) for p in sm._blocks(y)]
+    assert np.concatenate(parts).tolist() == y.tolist() and max(map(len, parts)) <= 512
+
+
+def test_consecutive_windows_cover_every_tick(spark):
+    y = np.random.default_rng(5).normal(-9, 1.5, 250)
+    frame = spark.createDataFrame([("a", t, float(v)) for t, v in enumerate(y)], "s string, t long, y double")
+    make = lambda key: sm.Consecutive(key, sm.Paris, window=100, least=20, particles=8, paths=4)
+    rows = ordered_reduce(frame, "s", ["t"], ["y"], make, f"first_tick long, {sm.Paris.OUTPUTS}", keyed=True).collect()
+    assert sorted(r["tick"] for r in rows) == list(range(250)) and {r["first_tick"] for r in rows} == {0, 100, 200}
+    short = sm.Consecutive(("a",), sm.Paris, window=100, least=20, particles=8, paths=4)
+    found = [row for v in y[:110] for row in short.push(v) or ()] + short.finish()
+    assert [row[1] for row in found] == list(range(110))
+
+
+def test_smoother_query_has_every_tick(spark):
+    from tickweave.plans.folds import labelled
+
+    assert catalogue.QUERIES["paris_smooth"](spark, SF_SMALL).count() == labelled(spark, SF_SMALL).count()

@@ -75,8 +75,9 @@ def ordered_fold(frame: DataFrame, key: str | Sequence[str], order: Sequence[str
 def ordered_reduce(frame: DataFrame, key: str | Sequence[str], order: Sequence[str], inputs: Sequence[str], kernel: Callable[[], object], outputs: str, keyed: bool = False) -> DataFrame:
     """Key and the rows that a kernel's ``finish`` returns after the last tick of a series.
 
-    ``push`` takes a tick's inputs. Kernels that need a window of ticks keep a ring
-    of bounded length, so memory doesn't grow with the series.
+    ``push`` takes a tick's inputs, and may return rows that are ready before the end.
+    Kernels that need a window of ticks keep a bounded number of them, and those that
+    need all ticks again and again a spool, so memory doesn't grow with the series.
     """
     ship_package(frame.sparkSession)
     keys = [key] if isinstance(key, str) else list(key)
@@ -89,8 +90,8 @@ def ordered_reduce(frame: DataFrame, key: str | Sequence[str], order: Sequence[s
         types = [to_arrow_type(f.dataType) for f in schema.fields]
         state, last = None, object()
 
-        def done():
-            out = [(*last, *row) for row in state.finish()] if state is not None else []
+        def rows_of(found):
+            out = [(*last, *row) for row in found or ()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], schema.names)
 
@@ -98,9 +99,12 @@ def ordered_reduce(frame: DataFrame, key: str | Sequence[str], order: Sequence[s
             ids = zip(*(batch.column(k).to_pylist() for k in keys))
             for now, value in zip(ids, zip(*(batch.column(c).to_pylist() for c in inputs))):
                 if now != last:
-                    yield from done()
+                    if state is not None:
+                        yield from rows_of(state.finish())
                     state, last = kernel(now) if keyed else kernel(), now
-                state.push(*value)
-        yield from done()
+                if ready := state.push(*value):
+                    yield from rows_of(ready)
+        if state is not None:
+            yield from rows_of(state.finish())
 
     return rows.mapInArrow(run, schema)

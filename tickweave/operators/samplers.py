@@ -1,8 +1,10 @@
-"""Offline samplers over the last ticks of a series: smoothing, particle MCMC, nonparametric regimes.
+"""Offline samplers of a series: smoothing, particle MCMC, nonparametric regimes.
 
 Each class is a reducer for ``ordered_reduce``: ``push`` keeps at most ``window``
-ticks (the oldest go first), ``finish`` runs the sampler and returns its rows. More
-chains are more keys, so they run on different tasks.
+ticks (the oldest go first), ``finish`` runs the sampler and returns its rows.
+``Consecutive`` covers a whole series by windows one after the other; ``Pmmh`` without
+a window reads the whole series. More chains are more keys, so they run on different
+tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections import deque
 import numpy as np
 
 from tickweave.operators.particles import _M, _V, _W, REGIMES, generator, sticky, systematic
+from tickweave.operators.spool import Spool
 
 WINDOW = 512
 
@@ -40,30 +43,75 @@ class Windowed:
         return np.array(self.ring)
 
 
+class Consecutive:
+    """A sampler of its own for each of the consecutive windows of a series, so that every tick is in one.
+
+    A window is run once ``least`` ticks more than it holds are there; so the last one
+    has from ``least`` to ``window + least - 1`` ticks, and only series with fewer
+    than ``least`` in all give no rows. Rows begin with the window's first tick.
+    """
+
+    def __init__(self, key=(), sampler=None, window=WINDOW, least=20, **options):
+        self.key, self.make, self.window, self.least, self.options = tuple(key), sampler, window, least, options
+        self.ticks, self.start = [], 0
+
+    def push(self, y):
+        self.ticks.append(y)
+        if len(self.ticks) == self.window + self.least:
+            return self._run(self.window)
+
+    def finish(self):
+        return self._run(len(self.ticks))
+
+    def _run(self, size):
+        s = self.make((*self.key, self.start) if self.start else self.key, window=size, **self.options)
+        s.pushed = self.start
+        for y in self.ticks[:size]:
+            s.push(y)
+        out = [(self.start, *row) for row in s.finish()]
+        self.ticks, self.start = self.ticks[size:], self.start + size
+        return out
+
+
+def _blocks(y, size: int = 512):
+    """Short arrays of a spool or sequence, in order."""
+    for part in y.blocks() if isinstance(y, Spool) else (np.asarray(y),):
+        for at in range(0, len(part), size):
+            yield part[at : at + size]
+
+
 def bootstrap_loglik(y, phi, mu, sigma, n, rng) -> float:
     """Particle estimate of the likelihood of an AR(1) log-volatility, with the exact density of a log-square return."""
     h = mu + sigma / math.sqrt(max(1 - phi * phi, 1e-4)) * rng.standard_normal(n)
-    noise, points, total = sigma * rng.standard_normal((len(y), n)) + mu * (1 - phi), (rng.random(len(y))[:, None] + np.arange(n)) / n, 0.0
-    for t, obs in enumerate(y):
-        if t:
-            h = phi * h + noise[t]
-        d = obs - 2 * h
-        lw = 0.5 * (d - np.exp(np.minimum(d, 50.0)))
-        top = lw.max()
-        w = np.exp(lw - top)
-        edges = w.cumsum()
-        total += top + math.log(edges[-1] / n)
-        h = h[np.minimum(edges.searchsorted(points[t] * edges[-1]), n - 1)]
+    total, first = 0.0, True
+    for part in _blocks(y):
+        noise, points = sigma * rng.standard_normal((len(part), n)) + mu * (1 - phi), (rng.random(len(part))[:, None] + np.arange(n)) / n
+        for t, obs in enumerate(part):
+            if not first:
+                h = phi * h + noise[t]
+            first = False
+            d = obs - 2 * h
+            lw = 0.5 * (d - np.exp(np.minimum(d, 50.0)))
+            top = lw.max()
+            w = np.exp(lw - top)
+            edges = w.cumsum()
+            total += top + math.log(edges[-1] / n)
+            h = h[np.minimum(edges.searchsorted(points[t] * edges[-1]), n - 1)]
     return total - 0.5 * len(y) * math.log(2 * math.pi)
 
 
 class Pmmh(Windowed):
-    """One chain of particle marginal Metropolis-Hastings for (mu, sigma, phi) with an adapted random walk."""
+    """One chain of particle marginal Metropolis-Hastings for (mu, sigma, phi) with an adapted random walk.
+
+    Without a window it runs on the whole series, read again at every step.
+    """
 
     OUTPUTS = "mu double, sigma double, phi double, mu_sd double, sigma_sd double, acceptance double, loglik double, ticks long"
 
-    def __init__(self, key=(), seed=1, window=96, particles=64, steps=60, burn=20):
+    def __init__(self, key=(), seed=1, window=None, particles=256, steps=300, burn=100):
         super().__init__(key, seed, window)
+        if window is None:
+            self.ring = Spool()
         self.particles, self.steps, self.burn = particles, steps, burn
 
     @staticmethod
@@ -72,7 +120,7 @@ class Pmmh(Windowed):
         return -0.5 * ((mu + 4.5) / 1.5) ** 2 - 0.5 * ((log_sigma + 1.6) / 0.7) ** 2 - 0.5 * ((z - 2.0) / 0.8) ** 2
 
     def finish(self):
-        y = self.y
+        y = self.ring if isinstance(self.ring, Spool) else self.y
         if len(y) < 10:
             return []
         natural = lambda x: (math.tanh(x[2] / 2), x[0], math.exp(x[1]))

@@ -88,35 +88,40 @@ def _chains(spark, sf_dir, chains: int):
     return labelled(spark, sf_dir).withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
 
 
+def _windows(rows, sampler, window=sm.WINDOW, **options):
+    """Rows of a sampler for the consecutive windows of every series, with the first tick of the window."""
+    return ordered_reduce(rows, KEY, ORDER, ["y"], partial(sm.Consecutive, sampler=sampler, window=window, **options), f"first_tick long, {sampler.OUTPUTS}", keyed=True)
+
+
 @query()
 def pmmh_chains(spark, sf_dir):
-    rows = ordered_reduce(_chains(spark, sf_dir, 2), [KEY, "chain"], ORDER, ["y"], partial(sm.Pmmh, window=64, particles=32, steps=30, burn=10), sm.Pmmh.OUTPUTS, keyed=True)
+    rows = ordered_reduce(_chains(spark, sf_dir, 2), [KEY, "chain"], ORDER, ["y"], partial(sm.Pmmh, particles=256, steps=300, burn=100), sm.Pmmh.OUTPUTS, keyed=True)
     names = ["mu", "sigma", "phi", "acceptance", "loglik"]
     return rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("chains"), *[F.round(F.avg(n), 6).alias(n) for n in names], F.round(F.stddev_pop("mu"), 6).alias("between_sd"))
 
 
 @query()
 def pgas_regimes(spark, sf_dir):
-    rows = ordered_reduce(labelled(spark, sf_dir), KEY, ORDER, ["y"], partial(sm.Pgas, window=96, particles=24), sm.Pgas.OUTPUTS, keyed=True)
-    return rows.select(KEY, "regime", *[rounded(c, 6).alias(c) for c in ("mu", "sigma", "stay", "share", "kappa", "renewal")], "sweeps")
+    rows = _windows(labelled(spark, sf_dir), sm.Pgas, particles=24)
+    return rows.select(KEY, "first_tick", "regime", *[rounded(c, 6).alias(c) for c in ("mu", "sigma", "stay", "share", "kappa", "renewal")], "sweeps")
 
 
 @query()
 def paris_smooth(spark, sf_dir):
-    rows = ordered_reduce(labelled(spark, sf_dir), KEY, ORDER, ["y"], partial(sm.Paris, window=96, particles=32, paths=16), sm.Paris.OUTPUTS, keyed=True)
+    rows = _windows(labelled(spark, sf_dir), sm.Paris, least=5, particles=32, paths=16)
     return rows.select(KEY, "tick", rounded("log_vol", 6).alias("log_vol"), rounded("sd", 6).alias("sd"), "regime", rounded("p_regime", 6).alias("p_regime"), "paths")
 
 
 @query()
 def hdp_states(spark, sf_dir):
-    rows = ordered_reduce(labelled(spark, sf_dir), KEY, ORDER, ["y"], partial(sm.StickyHdp, window=96, sweeps=4), sm.StickyHdp.OUTPUTS, keyed=True)
-    return rows.select(KEY, "state", *[rounded(c, 6).alias(c) for c in ("level", "share", "stay", "loglik")], "n_states")
+    rows = _windows(labelled(spark, sf_dir), sm.StickyHdp, window=2000, sweeps=4)
+    return rows.select(KEY, "first_tick", "state", *[rounded(c, 6).alias(c) for c in ("level", "share", "stay", "loglik")], "n_states")
 
 
 @query()
 def hdp_states_blocked(spark, sf_dir):
-    rows = ordered_reduce(labelled(spark, sf_dir), KEY, ORDER, ["y"], partial(sm.StickyHdp, window=96, sweeps=4, blocked=True), sm.StickyHdp.OUTPUTS, keyed=True)
-    return rows.select(KEY, "state", *[rounded(c, 6).alias(c) for c in ("level", "share", "stay")], "n_states")
+    rows = _windows(labelled(spark, sf_dir), sm.StickyHdp, window=2000, sweeps=4, blocked=True)
+    return rows.select(KEY, "first_tick", "state", *[rounded(c, 6).alias(c) for c in ("level", "share", "stay")], "n_states")
 
 
 class _Gate:
@@ -125,7 +130,7 @@ class _Gate:
     OUTPUTS = "decision string, d_mu double, d_h double, kl double"
 
     def __init__(self, key=()):
-        self.filter, self.sampler, self.last = pt.ParticleFilter(key, 48, pt.REGIMES[:3], learn=True), sm.Pgas(key, 1, 64, 16), None
+        self.filter, self.sampler, self.last = pt.ParticleFilter(key, 48, pt.REGIMES[:3], learn=True), sm.Pgas(key, 1, sm.WINDOW, 16), None
 
     def push(self, y):
         self.last = self.filter.step(y)
