@@ -70,3 +70,23 @@ def test_smoother_query_has_every_tick(spark):
     from tickweave.plans.folds import labelled
 
     assert catalogue.QUERIES["paris_smooth"](spark, SF_SMALL).count() == labelled(spark, SF_SMALL).count()
+
+
+def test_garch_fits_all_returns():
+    rng = np.random.default_rng(6)
+    r = np.concatenate([rng.normal(0, 0.05, 500), rng.normal(0, 0.01, 2000)])
+    fit = sm.Garch()
+    for x in r:
+        fit.push(x)
+    omega, alpha, beta, value, n = fit.finish()[0]
+    assert n == 2500 and omega == pytest.approx(r.var() * (1 - alpha - beta))
+    assert value == pytest.approx(sm.Garch.loglik((r - r.mean()) ** 2, r.var(), np.array([alpha]), np.array([beta]))[0])
+
+
+def test_hawkes_fits_all_events():
+    times = np.cumsum(np.random.default_rng(7).exponential(1.0, 700)).tolist()
+    fit = k.HawkesMle(steps=5)
+    for x in times:
+        fit.push(x)
+    mu, alpha, beta, value, n = fit.finish()[0]
+    assert n == 700 and value == pytest.approx(k.HawkesMle.loglik(times, mu, alpha, beta))

@@ -401,18 +401,19 @@ def gate(live: dict, rescue: dict, limits: dict | None = None) -> tuple[str, dic
 
 
 class Garch:
-    """GARCH(1, 1) of one series' returns by likelihood over a grid that is refined; a reducer with a bounded window."""
+    """GARCH(1, 1) of one series' returns by likelihood over a grid that is refined; a reducer that reads the whole series once per grid."""
 
     OUTPUTS = "omega double, alpha double, beta double, loglik double, n long"
 
-    def __init__(self, key=(), window=2000):
-        self.ring = deque(maxlen=window)
+    def __init__(self, key=()):
+        self.spool = Spool()
 
     def push(self, r):
-        self.ring.append(r)
+        self.spool.append(r)
 
     @staticmethod
     def loglik(r2, var0, alpha, beta):
+        """Log likelihoods of a grid; r2: squares in order, from any iterable."""
         omega = var0 * np.maximum(1 - alpha - beta, 1e-6)
         v, total = np.full_like(alpha, var0), np.zeros_like(alpha)
         for x in r2:
@@ -421,17 +422,19 @@ class Garch:
         return total
 
     def finish(self):
-        r = np.array(self.ring)
-        if len(r) < 20:
+        n = len(self.spool)
+        if n < 20:
             return []
-        r2, var0 = (r - r.mean()) ** 2, float(r.var())
+        mean = self.spool.mean()
+        squares = lambda: (x for b in self.spool.blocks() for x in (b - mean) ** 2)
+        var0 = float(sum(((b - mean) ** 2).sum() for b in self.spool.blocks()) / n)
         a, b, step = 0.1, 0.8, 0.1
         for _ in range(4):
             ga, gb = np.meshgrid(np.clip(a + step * np.arange(-4, 5) / 2, 0.001, 0.5), np.clip(b + step * np.arange(-8, 9) / 2, 0.0, 0.998))
             ga, gb = ga.ravel(), gb.ravel()
             ok = ga + gb < 0.999
             ga, gb = ga[ok], gb[ok]
-            value = self.loglik(r2, var0, ga, gb)
+            value = self.loglik(squares(), var0, ga, gb)
             best = int(value.argmax())
             a, b, step = float(ga[best]), float(gb[best]), step / 3
-        return [(var0 * (1 - a - b), a, b, float(value[best]), len(r))]
+        return [(var0 * (1 - a - b), a, b, float(value[best]), n)]
