@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from tickweave.runtime import table
 
-#: Runs of 16 characters or more that keys consist of, with a digit, as a Java regular expression.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+#: Runs of 16 characters or more that keys consist of, with a digit or a known prefix, as a Java regular expression.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*[0-9])|(?=AKIA|ASIA|gh[pousr]_|github_pat_|[sr]k_live_|xox[abprs]-|glpat-))[A-Za-z0-9+/_-]{16,}+={0,2}"
 SPACES = r"[\x20\x09-\x0D]+"
 #: Words of texts, identifiers and placeholders; what they cover of a candidate speaks against a secret.
 DICTIONARY = (
@@ -30,6 +30,9 @@ DICTIONARY = (
 #: Neighbouring words that announce a secret, or a digest or identifier that is none.
 FOR = "secret|token|passw|pwd|api.?key|apikey|auth|credential|private|bearer|access.?key"
 AGAINST = "commit|sha|md5|checksum|digest|hash|uuid|guid|revision|etag|integrity|base64|example|dummy|sample|order|invoice|card"
+#: An announcing word with = or :, and the value of six characters or more that follows it; at the end of a word for VALUE.
+ASSIGNED = rf"(?i)(?:{FOR})[A-Za-z0-9_.-]*[\"'`]?\s*[=:]+\s*[\"'`(]*"
+VALUE = ASSIGNED + r"([^\s\"'`,;()<>=:][^\s\"'`,;()<>]{5,})(?:[\"'`,;()<>]\S*)?$"
 #: Parts of paths of test material, and of configuration.
 TEST_PATH, CONFIG_PATH = "test|example|sample|fixture|mock|docs?/", "env|config|settings|deploy|prod|credential"
 
@@ -44,11 +47,16 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts without a candidate are left out before words are made. Null and empty
     texts have none; a null path counts as an empty one.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.col(text_col).alias("text")).where(F.col("text").rlike(CANDIDATE))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.col(text_col).alias("text")).where(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(ASSIGNED))
     rows = rows.select("doc_id", "path", F.split("text", SPACES).alias("words"))
-    rows = rows.select("doc_id", "path", "words", F.posexplode("words").alias("word_at", "word")).where(F.col("word").rlike(CANDIDATE))
+    rows = rows.select("doc_id", "path", "words", F.posexplode("words").alias("word_at", "word"))
     left = F.concat_ws(" ", *[F.get("words", F.col("word_at") - k) for k in (3, 2, 1)])
-    rows = rows.select("doc_id", "path", "word_at", "word", left.alias("left"), F.posexplode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))).alias("part", "candidate"))
+    rows = rows.select("doc_id", "path", "word_at", "word", left.alias("left")).where(F.col("word").rlike(CANDIDATE) | F.concat_ws(" ", "left", "word").rlike(VALUE))
+    value = F.regexp_replace(F.regexp_extract(F.concat_ws(" ", "left", "word"), VALUE, 1), "[.!?]+$", "")
+    rows = rows.select("*", F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0)).alias("keys"), value.alias("value"))
+    known = F.exists("keys", lambda x: F.contains(F.col("value"), x) | F.contains(x, F.col("value")))
+    found = F.when((F.length("value") >= 6) & ~known, F.array_append("keys", F.col("value"))).otherwise(F.col("keys"))
+    rows = rows.select("doc_id", "path", "word_at", "word", "left", F.posexplode(found).alias("part", "candidate"))
     head = F.expr("substring(word, 1, locate(candidate, word) - 1)")
     return rows.select("doc_id", "path", "word_at", "part", "candidate", F.lower(F.concat_ws(" ", "left", head)).alias("before"))
 
@@ -89,6 +97,8 @@ def findings(spark: SparkSession, count: int = 6_000) -> DataFrame:
     cue = "element_at(array('token =', 'secret =', 'api_key:', 'password =', 'auth token', 'access_key =', 'bearer', 'private credential ='), cast(id % 8 as int) + 1)"
     plain = "element_at(array('of the', 'and', 'see', 'it was', 'in', '', 'to', 'with a'), cast(id div 12 % 8 as int) + 1)"
     deny = "element_at(array('commit', 'sha1', 'md5 checksum:', 'git revision', 'etag:', 'digest =', 'uuid', 'hash'), cast(id % 8 as int) + 1)"
+    assign = "element_at(array('password =', 'pwd:', 'secret =', 'passwd:', 'auth:', 'token:', 'author:', 'credential ='), cast(id % 8 as int) + 1)"
+    word = "element_at(array('correct', 'horse', 'battery', 'staple', 'winter', 'garden', 'copper', 'lantern', 'meadow', 'silver', 'thunder', 'pocket', 'orange', 'castle', 'river', 'marble'), cast(conv(substr(b, {}, 2), 16, 10) as int) % 16 + 1)"
     kinds = [  # candidate, before, label
         ("concat(a, substr(b, 1, 8))", cue, 1),
         ("upper(concat(a, substr(b, 1, 8)))", cue, 1),
@@ -96,10 +106,15 @@ def findings(spark: SparkSession, count: int = 6_000) -> DataFrame:
         (f"concat(element_at(array('sk_live_', 'ghp_', 'xoxb-', 'glpat-'), cast(id % 4 as int) + 1), substr({packed}, 1, 24))", f"if(id % 3 = 0, {plain}, {cue})", 1),
         ("concat('AKIA', upper(translate(substr(a, 1, 16), '0189', 'WXYZ')))", f"if(id % 3 = 0, {plain}, {cue})", 1),
         ("a", cue, 1),
+        (f"concat_ws('-', {word.format(1)}, {word.format(3)}, {word.format(5)})", assign, 1),
+        ("concat(initcap(translate(substr(a, 1, 5 + cast(id % 4 as int)), '0123456789', 'ghkmnprtvz')), substr('&!#$%@', 1 + cast(id % 6 as int), 1), cast(id % 97 as string))", assign, 1),
+        ("concat(element_at(array('AKIA', 'ghp_', 'sk_live_'), cast(id % 3 as int) + 1), upper(translate(substr(a, 1, 16), '0123456789', 'GHKMNPRTVZ')))", f"if(id % 2 = 0, {plain}, {cue})", 1),
         ("concat(a, substr(b, 1, 8))", deny, 0),
         ("a", f"if(id % 2 = 0, {plain}, {deny})", 0),
         ("concat_ws('-', substr(a, 1, 8), substr(a, 9, 4), substr(a, 13, 4), substr(a, 17, 4), substr(a, 21, 12))", f"if(id % 2 = 0, {plain}, {deny})", 0),
         ("substr(translate(concat(a, b), 'abcdef', '274951'), 1, 16)", f"if(id % 2 = 0, {plain}, 'order number')", 0),
+        (word.format(7), assign, 0),
+        ("element_at(array('required', 'string', 'disabled', 'optional', 'changeme', 'your-password', 'example', 'default', 'unknown'), cast(id % 9 as int) + 1)", assign, 0),
         ("concat_ws('-', 'release', 'notes', 'section', cast(id % 97 as string), 'page', cast(id % 13 as string))", plain, 0),
         ("concat(element_at(array('your_api_key_here_', 'example-token-', 'xxxxxxxxxxxxxxxx', 'changeme_placeholder_', 'test_dummy_value_'), cast(id % 5 as int) + 1), cast(id % 1000 as string))", cue, 0),
     ]
