@@ -1,8 +1,10 @@
 import random
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import pytest
 
+from tests.conftest import SF_CHECK
 from tickweave.llm import near_dedup
 from tickweave.llm.components import connected_components
 from tickweave.runtime import Scratch
@@ -59,15 +61,44 @@ def test_components_equal_brute_force(spark, make, seed):
     assert result(near_dedup.near_components(make(rows), Scratch(spark, "t"))) == plain(rows)
 
 
-def test_open_nodes_branch_and_the_last_level_is_whole(spark, make, monkeypatch):
+@pytest.mark.parametrize("large", [0, 4])
+def test_open_nodes_branch_and_the_last_level_is_whole(spark, make, monkeypatch, large):
     """With tiny limits all ways are used: exhaustive nodes, pivots, branches and blocks."""
     monkeypatch.setattr(near_dedup, "SMALL", 3)
-    monkeypatch.setattr(near_dedup, "LEVELS", 2)
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "LARGE", large)
+    monkeypatch.setattr(near_dedup, "LEVELS", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK", 300)
     rows = corpus(3, groups=30, words=120)
     assert result(near_dedup.near_components(make(rows), Scratch(spark, "t"))) == plain(rows)
 
 
+def indexed(rows):
+    """Components by counting the common shingles of all pairs, from an index of shingles."""
+    sets, posts = {i: sets_of(t) for i, t in rows}, defaultdict(list)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sorted(sets):
+        common = Counter(j for s in sets[i] for j in posts[s])
+        for j, both in common.items():
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+        for s in sets[i]:
+            posts[s].append(i)
+    return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
+
+
+def test_no_link_is_lost_in_documents(spark):
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert result(near_dedup.near_components(docs, Scratch(spark, "t"))) == indexed(rows)
+
+
 def test_odd_rows(spark, odd, none):
     out = result(near_dedup.near_components(odd, Scratch(spark, "t")))
     assert out[0] == (0, 0, True) and out[1] == (0, 1, True) and out[3][1:] == (3, True) and out[None][1] is None

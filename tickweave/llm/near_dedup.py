@@ -9,14 +9,15 @@ at the threshold keep one common child per level in expectation, while less
 similar pairs lose each other. Independent trees make up for pairs that a tree
 loses.
 
-In every node all sets are compared with the node's smallest id; what is confirmed
-on full sets joins components. A node whose sets all have one component is done,
-however large it is. Of the other nodes, small ones are compared exhaustively
-across components; in large ones all sets are compared with a few further members,
-and those that still hold several components branch on. Nodes that are still large
-at the last level are compared on full sets, blocks of the smaller components with
-blocks of all members, by an index of shingles within each pair of blocks. So groups of very many
-copies cost a comparison per copy, and no cap drops a candidate.
+In every node of the first level all sets are compared with the node's smallest id;
+what is confirmed on full sets joins components. A node whose sets all have one
+component is done, however large it is. Of the other nodes, small ones are compared
+exhaustively across components. In large ones with at most LARGE sets outside the
+largest component, these are compared with all members on full sets, block by block,
+by an index of shingles within each pair of blocks. The others branch, as most of them
+hold texts that share a passage and little else; below the first level all their sets
+are also compared with a few further members. After LEVELS levels blocks take over. So
+groups of very many copies cost a comparison per copy, and no cap drops a candidate.
 """
 
 from __future__ import annotations
@@ -38,12 +39,12 @@ SHINGLE = 5
 PERCENT = 75
 MINWISE = 128
 TREES = 10
-#: Sets up to which a node is compared exhaustively, and levels of a tree.
-SMALL, LEVELS = 48, 3
+#: Sets up to which a node is compared exhaustively by tokens; sets outside a node's largest component from which it branches; levels of a tree.
+SMALL, LARGE, LEVELS = 48, 512, 12
 #: Members that all others of a large node with several components are compared with, at each level.
 PIVOTS = 2
-#: Sets of a block in nodes that are still large at the last level.
-BLOCK = 512
+#: Shingles of a block, on average, in nodes that are still large at the last level.
+BLOCK = 200_000
 #: Equal minwise tokens (of MINWISE) that a pair needs to be compared on full sets: five standard deviations below the mean at the threshold.
 AGREE = 70
 #: Ids up to which a list of documents (8 bytes each) is broadcast; more are joined by shuffling.
@@ -136,28 +137,47 @@ def _agreeing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _few(rows: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """A written table, to be broadcast if it has few rows; else joins shuffle, and hot keys are split adaptively."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def _mixed(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """Members (node, id) of the nodes that hold several components, with label and the node's size."""
+    """Members (node, id) of the nodes that hold several components, with label, the node's size, its largest component and how many are outside that."""
     labelled = scratch.write(members.join(labels, "id", "left").select("node", "id", F.coalesce("label", "id").alias("label")), "labelled")
-    nodes = labelled.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
-    out = scratch.write(labelled.join(nodes.select("node", "size"), "node"), "mixed")
-    scratch.drop(labelled)
+    sizes = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top"))
+    sizes = sizes.select("node", "size", F.col("top.label").alias("top"), (F.col("size") - F.col("top.n")).alias("others"))
+    nodes = scratch.write(sizes.where("others > 0"), "nodes")
+    out = scratch.write(labelled.join(_few(nodes), "node"), "mixed")
+    scratch.drop(labelled, nodes)
     return out
 
 
-def _pivot_pairs(mixed: DataFrame, level: int) -> DataFrame:
-    """Each member with the node's PIVOTS, where these are of another component.
+def _pivot_pairs(mixed: DataFrame, level: int, scratch: Scratch) -> DataFrame:
+    """Each member with the PIVOTS of its nodes that are of another component.
 
     Pivots are the members with the smallest hashes of id and level, so that nodes
-    of different trees that hold the same group share them.
+    of different trees that hold the same group share them; a member meets each
+    pivot once, however many of its nodes have it.
     """
     turn = [F.min(F.struct(F.xxhash64("id", F.lit(level * PIVOTS + k)).alias("turn"), "id", "label")) for k in range(PIVOTS)]
-    pivots = mixed.groupBy("node").agg(F.array(*turn).alias("pivots"))
-    others = F.filter("pivots", lambda p: p["label"] != F.col("label"))
-    rows = mixed.join(pivots, "node").select("id", F.explode(others).alias("p")).select("id", F.col("p.id").alias("other"))
+    pivots = scratch.write(mixed.groupBy("node").agg(F.array(*turn).alias("pivots")), "turns")
+    others = F.transform(F.filter("pivots", lambda p: p["label"] != F.col("label")), lambda p: p["id"])
+    met = mixed.join(_few(pivots), "node").select("id", others.alias("others")).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    rows = met.select("id", F.explode("others").alias("other"))
     return rows.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
+def _merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Labels (id, label) after further links (a, b), from the components of the linked components."""
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(labels.select(F.col("id").alias(end), F.col("label").alias("__label")), end, "left").withColumn(end, F.coalesce("__label", end)).drop("__label")
+    top = connected_components(ends, scratch)
+    known = labels.join(top.select(F.col("id").alias("label"), F.col("label").alias("top")), "label", "left").select("id", F.coalesce("top", "label").alias("label"))
+    return scratch.write(known.union(top.join(labels, "id", "left_anti").select("id", "label")), "merged")
+
+
 def _still_open(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Those of the pairs whose ends are of different components by now."""
     a, b = labels.select(F.col("id").alias("a"), F.col("label").alias("la")), labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
@@ -189,24 +209,23 @@ def _exhaustive(members: DataFrame) -> DataFrame:
 def _texts(ids: DataFrame, docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
     """Whole texts of the documents whose ids are listed."""
     need = scratch.write(ids.select("id").distinct(), "need")
-    listed = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(listed, "id", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(_few(need), "id", "left_semi")
     texts = scratch.write(texts, "texts")
     scratch.drop(need)
     return texts
 
 
 def _blockwise(mixed: DataFrame, docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
-    """Links across components in nodes of any size; mixed: node, id, label.
+    """Links across components in nodes of any size; mixed: node, id, label, top (label of the node's largest component), n_shingles.
 
     Left of each pair of blocks are members outside the node's largest component,
     right are all members. A pair of blocks gives only links that join components
     which its earlier links don't, fewer than it has components.
     """
-    sizes = mixed.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("node")
-    sizes = sizes.agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
-    parts = lambda n: F.ceil(n / F.lit(BLOCK))
-    rows = mixed.join(sizes.select("node", F.col("top.label").alias("top"), parts(F.col("all")).alias("rights"), parts(F.col("all") - F.col("top.n")).alias("lefts")), "node")
+    outside = F.when(F.col("label") != F.col("top"), F.col("n_shingles"))
+    parts = lambda n: F.ceil(n / F.lit(BLOCK)).alias
+    sizes = scratch.write(mixed.groupBy("node").agg(parts(F.sum(outside))("lefts"), parts(F.sum("n_shingles"))("rights")), "sizes")
+    rows = mixed.join(_few(sizes), "node")
     block = F.xxhash64("id")
     left = rows.where("label <> top").select("node", F.pmod(block, F.col("lefts")).alias("x"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("y"), F.lit(True).alias("left"), "id", "label")
     right = rows.select("node", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("x"), F.pmod(block, F.col("rights")).alias("y"), F.lit(False).alias("left"), "id", "label")
@@ -284,42 +303,50 @@ def near_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     spark = docs.sparkSession
     ship_package(spark)
     sketched = scratch.write(sketches(docs, id_col, text_col), "sketches")
-    known = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tokens", "low"))
+    known = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tokens", "low", "n_shingles"))
     firsts = sketched.where("set_key is not null").groupBy("set_key").agg(F.min(known).alias("f"), F.count(F.lit(1)).alias("n")).where("f is not null")
-    firsts = scratch.write(firsts.select("set_key", F.col("f.doc_id").alias("id"), F.col("f.tokens").alias("tokens"), F.col("f.low").alias("low"), "n"), "sets")
-    sets = firsts.select("id", "tokens", "low")
+    firsts = scratch.write(firsts.select("set_key", F.col("f.doc_id").alias("id"), F.col("f.tokens").alias("tokens"), F.col("f.low").alias("low"), F.col("f.n_shingles").alias("n_shingles"), "n"), "sets")
+    sets = firsts.select("id", "tokens", "low", "n_shingles")
 
     tree = _roots(sets)
-    nodes = tree.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot")).where("size > 1")
-    members = scratch.write(tree.join(nodes, "node"), "members")
+    nodes = scratch.write(tree.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot")).where("size > 1"), "nodes")
+    members = scratch.write(tree.join(_few(nodes), "node"), "members")
+    scratch.drop(nodes)
     stars = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = _confirmed(scratch.write(_agreeing(stars, sets), "stars"), docs, scratch, id_col, text_col)
-    labels = connected_components(links, scratch)
+    stars = scratch.write(_agreeing(stars, sets), "stars")
+    labels = connected_components(_confirmed(stars, docs, scratch, id_col, text_col), scratch)
+    scratch.drop(stars)
 
     # A node of two is settled by its star; the others are open if they hold more than one component.
-    members = members.where("size > 2").select("node", "id")
-    pairs, found = [], []
+    open_nodes, pairs = members.where("size > 2").select("node", "id"), []
     for level in range(1, LEVELS + 1):
-        mixed = _mixed(members, labels, scratch)
-        stars = _pivot_pairs(mixed.where(F.col("size") > SMALL), level)
-        stars = scratch.write(_agreeing(scratch.write(stars, "pivots"), sets), "stars")
-        if stars.limit(1).count():
-            links = scratch.write(links.union(_confirmed(stars, docs, scratch, id_col, text_col)), "links")
-            labels = connected_components(links, scratch)
-            mixed = _mixed(mixed.select("node", "id"), labels, scratch)
+        mixed = _mixed(open_nodes, labels, scratch)
+        scratch.drop(members)
+        if level > 1:
+            stars = scratch.write(_agreeing(scratch.write(_pivot_pairs(mixed.where(F.col("others") > LARGE), level, scratch), "pivots"), sets), "stars")
+            if stars.limit(1).count():
+                labels = _merged(labels, _confirmed(stars, docs, scratch, id_col, text_col), scratch)
+                mixed = _mixed(mixed.select("node", "id"), labels, scratch)
         small, large = mixed.where(F.col("size") <= SMALL), mixed.where(F.col("size") > SMALL)
         pairs.append(scratch.write(_exhaustive(small.join(sets.select("id", "low"), "id").select("node", "id", "label", "low")).distinct(), "pairs"))
-        if not large.limit(1).count():
-            break
-        if level == LEVELS:
-            found.append(_blockwise(large, docs, scratch, id_col, text_col))
+        ending = large if level == LEVELS else large.where(F.col("others") <= LARGE)
+        if ending.limit(1).count():
+            links = _blockwise(ending.join(sets.select("id", "n_shingles"), "id"), docs, scratch, id_col, text_col)
+            if links.limit(1).count():
+                labels = _merged(labels, links, scratch)
+        growing = large.where(F.col("others") > LARGE)
+        if level == LEVELS or not growing.limit(1).count():
             break
-        members = scratch.write(_branch(large.select("node", "id").join(sets.select("id", "tokens"), "id")), "members")
-    rest = scratch.write(_still_open(reduce(DataFrame.union, pairs), labels).distinct(), "rest")
+        tree = scratch.write(_branch(growing.select("node", "id").join(sets.select("id", "tokens"), "id")), "tree")
+        nodes = scratch.write(tree.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "nodes")
+        members = scratch.write(tree.join(_few(nodes), "node", "left_semi"), "members")
+        scratch.drop(tree, nodes, mixed)
+        open_nodes = members
+    rest = scratch.write(_still_open(reduce(DataFrame.union, pairs).distinct(), labels), "rest")
     if rest.limit(1).count():
-        found.append(_confirmed(rest, docs, scratch, id_col, text_col))
-    if len(found) and any(f.limit(1).count() for f in found):
-        labels = connected_components(reduce(DataFrame.union, found, links), scratch)
+        links = _confirmed(rest, docs, scratch, id_col, text_col)
+        if links.limit(1).count():
+            labels = _merged(labels, links, scratch)
 
     copies = firsts.where("n > 1").select("set_key", F.col("id").alias("first"))
     rows = sketched.select("doc_id", "n_shingles", "set_key").join(copies, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("id"))
