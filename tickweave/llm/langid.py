@@ -1,15 +1,16 @@
 """Language identification by the nearest of several centroids per language.
 
 A text is a normalised TF-IDF vector of hashed character n-grams (one to three
-letters, words set apart by one space). Each language's training vectors are
-clustered by spherical k-means; a text gets the language of the centroid with
-the largest cosine. Texts far from every centroid, below a quantile of what the
-training texts reach, can be rejected.
+letters, words set apart by one space). Document frequencies are counted over all
+training texts. A bounded sample of each language's training vectors is clustered by
+spherical k-means; a text gets the language of the centroid with the largest cosine.
+Texts far from every centroid, below a quantile of what all training texts reach with
+their own language, can be rejected.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +26,7 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """dims: hashed n-grams; clusters: centroids per language; sample: most training texts in all; reject: quantile of training cosines."""
+    """dims: hashed n-grams; clusters: centroids per language; sample: texts that are clustered, in all (about); reject: quantile of training cosines."""
 
     dims: int = 1 << 13
     clusters: int = 3
@@ -39,30 +40,34 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-#: Characters that are counted at a time.
+#: Characters that are counted at a time; the counts don't depend on it.
 CHUNK = 1 << 20
 
 
 def counts(text: str | None, dims: int) -> np.ndarray | None:
     """Counts of hashed n-grams of a whole text; None if it has no letter."""
     total, seen = np.zeros(dims), False
-    text = text or ""
+    low = (text or "").lower()
     shift = np.uint64(64 - (dims.bit_length() - 1))
-    for start in range(0, len(text), CHUNK):
-        part = text[start : start + CHUNK + 2].lower()
-        codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+    tail, after_letter = np.empty(0, np.uint64), True  # the last two codes of what came before
+    for start in range(0, len(low), CHUNK):
+        codes = np.frombuffer(low[start : start + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = _letters()[codes]
         seen = seen or bool(letter.any())
         codes = np.where(letter, codes, 32).astype(np.uint64)
-        codes = codes[letter | np.concatenate([[True], letter[:-1]])]  # of a run of others one space stays
+        codes = codes[letter | np.concatenate([[after_letter], letter[:-1]])]  # of a run of others one space stays
+        after_letter = bool(letter[-1])
+        codes = np.concatenate([tail, codes])
         a = (codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         grams = [a]
         for back in (1, 2):
             if len(codes) > back:
                 grams.append((grams[-1][:-1] ^ (grams[-1][:-1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + a[back:])
         for k, g in enumerate(grams):
+            g = g[max(len(tail) - k, 0) :]  # those that end in this part
             g = (g ^ (g >> np.uint64(32))) * np.uint64(0x94D049BB133111EB + 2 * k)
             total += np.bincount((g >> shift).astype(np.int64), minlength=dims)
+        tail = codes[-2:]
     return total if seen else None
 
 
@@ -92,16 +97,17 @@ class Model:
         return self.languages[self.owner[best]], score, score < self.limit
 
 
-def fit(rows: list[tuple[str, np.ndarray]], s: Settings) -> Model:
-    """Centroids of (language, counts) pairs; deterministic for an order of rows."""
+def inverse_frequencies(seen: np.ndarray, texts: int) -> np.ndarray:
+    """Weights of n-grams from the number of texts that each is in."""
+    return np.log((1 + texts) / (1 + seen)).astype(np.float32) + 1
+
+
+def fit(rows: list[tuple[str, np.ndarray]], idf: np.ndarray, s: Settings) -> Model:
+    """Centroids of (language, counts) pairs; deterministic for an order of rows. The model has no limit yet."""
     languages = sorted({lang for lang, _ in rows})
     if not rows:
-        return Model([], np.ones(s.dims, np.float32), np.empty((0, s.dims), np.float32), np.empty(0, np.int64), 0.0)
-    seen = np.zeros(s.dims)
-    for _, c in rows:
-        seen += c > 0
-    idf = np.log((1 + len(rows)) / (1 + seen)).astype(np.float32) + 1
-    centroids, owner, reached = [], [], []
+        return Model([], idf, np.empty((0, s.dims), np.float32), np.empty(0, np.int64), 0.0)
+    centroids, owner = [], []
     blank = Model(languages, idf, np.empty((0, s.dims)), np.empty(0), 0.0)
     for k, lang in enumerate(languages):
         x = np.stack([blank.vector(c) for name, c in rows if name == lang])
@@ -112,47 +118,93 @@ def fit(rows: list[tuple[str, np.ndarray]], s: Settings) -> Model:
         for _ in range(s.rounds):
             at = (x @ centre.T).argmax(1)
             centre = _unit(np.stack([x[at == j].mean(0) if (at == j).any() else centre[j] for j in range(len(centre))]))
-        reached.append((x @ centre.T).max(1))
         centroids.append(centre)
         owner += [k] * len(centre)
-    limit = float(np.quantile(np.concatenate(reached), s.reject))
-    return Model(languages, idf, np.concatenate(centroids).astype(np.float32), np.array(owner), limit)
+    return Model(languages, idf, np.concatenate(centroids).astype(np.float32), np.array(owner), 0.0)
+
+
+#: Parts of the hash range that samples are taken by, and of the range of cosines.
+TURNS, STEPS = 1 << 62, 10_000
+
+
+def _frequencies(rows: DataFrame, dims: int) -> tuple[np.ndarray, int]:
+    """In how many texts each n-gram is, and the number of texts with letters; each task sends one number per n-gram."""
+
+    def run(batches):
+        seen, texts = np.zeros(dims + 1, np.int64), 0
+        for batch in batches:
+            for text in batch.column("text"):
+                if (c := counts(text.as_py(), dims)) is not None:
+                    seen[:-1] += c > 0
+                    seen[-1] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["at", "n"])
+
+    found = rows.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(dims + 1)
+    for r in found:
+        out[r["at"]] = r["n"]
+    return out[:-1], int(out[-1])
+
+
+def _limit(rows: DataFrame, model: Model, share: float) -> float:
+    """The quantile of the cosines of all training texts with their own language, to one part in STEPS."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        own, found = sent.value, np.zeros(STEPS + 1, np.int64)
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+                if (c := counts(text.as_py(), len(own.idf))) is not None and lang in own.languages:
+                    near = (own.centroids @ own.vector(c))[own.owner == own.languages.index(lang)].max()
+                    found[int(min(max(near, 0.0), 1.0) * STEPS)] += 1
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], ["at", "n"])
+
+    found = sorted((r["at"], r["n"]) for r in rows.select("lang", "text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect())
+    want, reached = share * sum(n for _, n in found), 0
+    for at, n in found:
+        reached += n
+        if reached > want:
+            return at / STEPS
+    return 0.0
 
 
 def train(docs: DataFrame, held_out, settings: Settings = Settings(), id_col="doc_id", text_col="text", lang_col="lang") -> Model:
     """Learn from labelled documents that aren't held out.
 
-    At most about ``settings.sample`` texts, spread evenly over the languages and
-    chosen by a hash of the id, are learnt from, in one task; that bound doesn't
-    grow with the input. Null languages and texts, and texts without letters, are
-    left out; without any training text nothing can be predicted but ``und``.
+    Document frequencies and the limit of rejection come from all of them. About
+    ``settings.sample`` texts, spread evenly over the languages and chosen by a hash of
+    the id, are clustered, in one task; that number doesn't grow with the input. Null
+    languages and texts, and texts without letters, are left out; without any training
+    text nothing can be predicted but ``und``.
     """
+    import pickle
+
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null").where(~held_out(F.col("key")))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not sizes:
-        return fit([], settings)
-    each = max(1, settings.sample // len(sizes))
-    share = F.lit(0)
+    seen, texts = _frequencies(rows, settings.dims) if sizes else (np.zeros(settings.dims), 0)
+    idf = inverse_frequencies(seen, texts)
+    if not texts:
+        return fit([], idf, settings)
+    each, share = max(1, settings.sample // len(sizes)), F.lit(0)
     for lang, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, each / n) * 1_000_000) + 1)).otherwise(share)
-    chosen = rows.withColumn("turn", F.xxhash64("key", F.lit(23))).where(F.pmod("turn", F.lit(1_000_000)) < share)
+        share = F.when(F.col("lang") == lang, F.lit(min(TURNS, each * TURNS // n))).otherwise(share)
+    chosen = rows.withColumn("turn", F.xxhash64("key", F.lit(23))).where(F.pmod("turn", F.lit(TURNS)) < share)
 
     def run(batches):
-        import pickle
-
-        seen = []
+        found = []
         for batch in batches:
             for turn, lang, text in zip(batch.column("turn").to_pylist(), batch.column("lang").to_pylist(), batch.column("text")):
                 if (c := counts(text.as_py(), settings.dims)) is not None:
-                    seen.append((turn, lang, c.astype(np.float32)))
-        seen.sort(key=lambda x: (x[0], x[1], float(x[2].sum())))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([x[1:] for x in seen], settings))], pa.binary())], ["model"])
-
-    import pickle
+                    found.append((turn, lang, c.astype(np.float32)))
+        found.sort(key=lambda x: (x[0], x[1], float(x[2].sum())))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([x[1:] for x in found], idf, settings))], pa.binary())], ["model"])
 
     found = chosen.select("turn", "lang", "text").repartition(1).mapInArrow(run, "model binary").collect()
-    return pickle.loads(found[0]["model"]) if found else fit([], settings)
+    model = pickle.loads(found[0]["model"]) if found else fit([], idf, settings)
+    return replace(model, limit=_limit(rows, model, settings.reject)) if len(model.centroids) else model
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None, reject: bool = False) -> DataFrame:
