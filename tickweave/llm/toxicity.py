@@ -25,7 +25,7 @@ STEM = 5
 
 @dataclass(frozen=True)
 class Settings:
-    """bits: log2 of the feature space; sample: most labelled documents that are learnt from; weights: most non-zero ones."""
+    """bits: log2 of the feature space, which bounds the number of weights; sample: labelled documents that are learnt from (about)."""
 
     bits: int = 22
     alpha: float = 1.0
@@ -34,7 +34,6 @@ class Settings:
     l2: float = 1.0
     epochs: int = 5
     sample: int = 12_000
-    weights: int = 1 << 20
 
 
 def features(text: str | None, bits: int) -> np.ndarray:
@@ -76,27 +75,81 @@ class Model:
     intercept: float
 
     def score(self, text: str | None) -> float:
-        at = features(text, self.bits)
+        return self.of(features(text, self.bits))
+
+    def of(self, at: np.ndarray) -> float:
+        """Score of sorted features."""
         where = np.minimum(np.searchsorted(self.index, at), max(len(self.index) - 1, 0))
         total = self.intercept + (float(self.weight[where][self.index[where] == at].sum()) if len(self.index) else 0.0)
         return float(1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))))
 
 
+#: Parts of the hash range that samples are taken by.
+TURNS = 1 << 62
+
+
+def _sample(docs: DataFrame, label: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
+    """turn, label, key and text of about ``settings.sample`` of the labelled documents (key, label)."""
+    share = min(TURNS, settings.sample * TURNS // max(label.count(), 1))
+    chosen = label.withColumn("turn", F.xxhash64(F.col("key"), F.lit(17))).where(F.pmod("turn", F.lit(TURNS)) < F.lit(share))
+    return docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "key")
+
+
+def _learnable(labels: DataFrame, held_out, id_col: str, label_col: str) -> DataFrame:
+    """key and label of the labels that may be learnt from."""
+    label = labels.select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("label")).where("key is not null and label is not null").where(~held_out(F.col("key")))
+    return label.groupBy("key").agg(F.max("label").alias("label"))
+
+
+def _fitted(rows, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and weights that are not zero, learnt from (label, features) in order."""
+    learner = Ftrl(settings)
+    for _ in range(settings.epochs):
+        for y, at in rows:
+            learner.learn(at.astype(np.int64), 1 if y else 0)
+    at = np.flatnonzero(np.abs(learner.z) > settings.l1)
+    return at, learner.weights(at)
+
+
+def compare_settings(docs: DataFrame, labels: DataFrame, held_out, choices: list[Settings], folds: int = 4, id_col="doc_id", text_col="text", label_col="toxic") -> DataFrame:
+    """choice, n, found, toxic, false, clean, loss of each of the settings by cross-validation.
+
+    Folds are made of the rows that may be learnt from, by a hash of the id, so settings
+    can be chosen without a look at held-out rows. A pair of settings and fold is a task.
+    """
+    ship_package(docs.sparkSession)
+    rows = _sample(docs, _learnable(labels, held_out, id_col, label_col), max(choices, key=lambda s: s.sample), id_col, text_col)
+    rows = rows.select("turn", "label", "text", F.explode(F.sequence(F.lit(0), F.lit(len(choices) * folds - 1))).alias("task"))
+
+    def run(group: pa.Table) -> pa.Table:
+        task = group.column("task")[0].as_py()
+        s, fold = choices[task // folds], task % folds
+        seen = [(t, y, features(x.as_py(), s.bits).astype(np.uint32)) for t, y, x in zip(group.column("turn").to_pylist(), group.column("label").to_pylist(), group.column("text"))]
+        seen.sort(key=lambda x: (x[0], x[1], len(x[2])))
+        at, weight = _fitted([x[1:] for x in seen if (x[0] >> 7) % folds != fold], s)
+        last = 1 << s.bits
+        model = Model(s.bits, at[at < last], weight[at < last], float(weight[at == last].sum()))
+        out = [(y, model.of(at.astype(np.int64))) for t, y, at in seen if (t >> 7) % folds == fold]
+        toxic, clean = [p for y, p in out if y], [p for y, p in out if not y]
+        loss = -sum(np.log(max(p, 1e-12)) for p in toxic) - sum(np.log(max(1 - p, 1e-12)) for p in clean)
+        hits = lambda x: sum(p >= THRESHOLD for p in x)
+        return pa.table({"choice": [task // folds], "n": [len(out)], "found": [hits(toxic)], "toxic": [len(toxic)], "false": [hits(clean)], "clean": [len(clean)], "loss": [float(loss)]})
+
+    each = rows.groupBy("task").applyInArrow(run, "choice long, n long, found long, toxic long, false long, clean long, loss double")
+    return each.groupBy("choice").agg(*[F.sum(c).alias(c) for c in ("n", "found", "toxic", "false", "clean")], (F.sum("loss") / F.sum("n")).alias("loss"))
+
+
 def train(docs: DataFrame, labels: DataFrame, held_out, settings: Settings = Settings(), id_col="doc_id", text_col="text", label_col="toxic") -> Model:
     """Learn from labelled documents whose id isn't held out.
 
-    ``held_out`` maps an id column to a boolean column. At most about
+    ``held_out`` maps an id column to a boolean column. About
     ``settings.sample`` labelled documents, taken by a hash of the id, are learnt
     from, in one task; that bound doesn't grow with the input. Null labels, and
     labels without a document, are left out; a document with several labels has
     the largest. Without any label every score is one half.
     """
     ship_package(docs.sparkSession)
-    label = labels.select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("label")).where("key is not null and label is not null").where(~held_out(F.col("key")))
-    label = label.groupBy("key").agg(F.max("label").alias("label"))
-    share = min(1.0, settings.sample / max(label.count(), 1))
-    chosen = label.withColumn("turn", F.xxhash64(F.col("key"), F.lit(17))).where(F.pmod("turn", F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "key")
+    rows = _sample(docs, _learnable(labels, held_out, id_col, label_col), settings, id_col, text_col)
 
     def run(batches):
         seen = []
@@ -104,14 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out, settings: Settings = Set
             for turn, y, text in zip(batch.column("turn").to_pylist(), batch.column("label").to_pylist(), batch.column("text")):
                 seen.append((turn, y, features(text.as_py(), settings.bits).astype(np.uint32)))
         seen.sort(key=lambda x: (x[0], x[1], len(x[2])))
-        learner = Ftrl(settings)
-        for _ in range(settings.epochs):
-            for _, y, at in seen:
-                learner.learn(at.astype(np.int64), 1 if y else 0)
-        w = learner.weights(slice(None))
-        at = np.flatnonzero(w)
-        at = np.sort(at[np.argsort(-np.abs(w[at]), kind="stable")[: settings.weights]])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["at", "weight"])
+        at, weight = _fitted([x[1:] for x in seen], settings)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weight)], ["at", "weight"])
 
     found = rows.select("turn", "label", "text").repartition(1).mapInArrow(run, "at long, weight double").toPandas().sort_values("at")
     at, weight = found["at"].to_numpy(np.int64), found["weight"].to_numpy(np.float64)
