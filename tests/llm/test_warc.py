@@ -58,3 +58,34 @@ def test_empty_table_and_repeated_rows(spark):
     rows = [(1, "u", "same", None), (1, "u", "same", None), (0, "u", "same", None)]
     manifest, uri = warc.write_archives(spark.createDataFrame(rows, SCHEMA), Scratch(spark, "t"))
     assert result(warc.read_archives(manifest, uri)) == plain(rows)
+
+
+def test_parts_depend_on_the_rows_alone(spark):
+    """Other partitions, sessions' settings and ids far apart: the same files, of ranges of about the wanted size."""
+    rows = [(i, "u", f"body {i} " * 20, None) for i in range(2000)] + [(10**17 + i, "u", f"far {i} " * 20, None) for i in range(300)] + [(-(2**63), "u", "least", None), (2**63 - 1, "u", "most", None)]
+    frame, seen = spark.createDataFrame(rows, SCHEMA), []
+    for n in (1, 7):
+        manifest, uri = warc.write_archives(frame.repartition(n), Scratch(spark, "t"), part=20_000)
+        seen.append(sorted(map(tuple, manifest.collect())))
+        assert result(warc.read_archives(manifest, uri)) == plain(rows)
+    assert seen[0] == seen[1] and 10 < len(seen[0]) < 60 and sum(r[2] for r in seen[0]) == len(rows)
+
+
+def test_a_name_can_be_given_twice(tmp_path):
+    from pyarrow import fs
+
+    store, old, new = fs.LocalFileSystem(), str(tmp_path / "_a.1.tmp"), str(tmp_path / "a")
+    for left in (b"", b"ha"):  # nothing, or half a copy of an attempt that was lost
+        open(old, "wb").write(b"half")
+        if left:
+            open(new, "wb").write(left)
+        for _ in range(2):
+            warc._rename(store, old, new, 4)
+        assert open(new, "rb").read() == b"half"
+
+
+def test_many_equal_groups_are_joined_by_shuffling(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    rows = [(i, "u", f"b{i % 30}", None) for i in range(200)] + [(None, "u", "b3", None), (None, None, None, None), (300, None, "", None)]
+    manifest, uri = warc.write_archives(spark.createDataFrame(rows, SCHEMA), Scratch(spark, "t"))
+    assert result(warc.read_archives(manifest, uri)) == plain(rows)

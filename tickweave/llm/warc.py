@@ -1,10 +1,12 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted, written by one task per range as gzip members, and
-rolled into a new file when the compressed size passes a limit. A task writes to
-a name of its attempt and renames the finished file; the manifest, a Parquet
-table that Spark commits as a whole, lists the files that count. A task that is
-run again writes the same bytes under the same names.
+Pages are cut into parts, ranges of ids whose bounds come from exact byte counts, so
+that parts don't depend on samples, tasks or the session. Records are sorted within
+a part, written as gzip members, and rolled into a new file when the compressed size
+passes a limit. A task writes to temporary names of its attempt and lists them in a
+table that Spark commits as a whole; only listed files then get their final names,
+in a step that can be repeated, and the manifest names them. A task that is run again
+writes the same bytes.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ import re
 import uuid
 import zlib
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -23,8 +27,10 @@ from pyspark.sql import functions as F
 
 from tickweave.runtime import Scratch, ship_package, table
 
-#: Compressed bytes after which a file is closed.
-ROLL = 32 << 20
+#: Compressed bytes after which a file is closed. Bytes of payload of a part: a 64th of all, within these bounds.
+ROLL, LEAST_PART, LARGEST_PART = 32 << 20, 4 << 20, 256 << 20
+#: Equal id ranges that are counted first, and that a heavy range is cut into; heavy ranges of a round at most.
+RANGES, CUTS, HEAVY = 4096, 256, 1024
 #: Groups of equal payloads up to which their table (about 60 bytes a row) is broadcast; more are joined by shuffling.
 BROADCAST_ROWS = 200_000
 DATE = "2024-01-01T00:00:00Z"
@@ -78,21 +84,29 @@ def parse_records(stream):
         yield headers, block
 
 
-class _Files:
-    """Rolls the files of one task; ``close`` gives a manifest row of each."""
+def _store(uri: str):
+    """File system and path of a URI; ``s3a`` and ``s3n`` are what Hadoop calls ``s3``."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
 
-    def __init__(self, uri: str, part: int, attempt: int, roll: int):
-        from pyarrow import fs
 
-        self.fs, self.root = fs.FileSystem.from_uri(uri)
-        self.part, self.attempt, self.roll = part, attempt, roll
-        self.rows, self.out = [], None
+class _Files:
+    """Rolls the files of one part after another; ``rows`` has a line of each file."""
+
+    def __init__(self, uri: str, attempt: int, roll: int):
+        self.fs, self.root = _store(uri)
+        self.attempt, self.roll, self.part = attempt, roll, None
+        self.rows, self.out, self.number = [], None, 0
 
-    def write(self, record: bytes) -> None:
+    def write(self, part: int, record: bytes) -> None:
+        if part != self.part:
+            self.close()
+            self.part, self.number = part, 0
         if self.out is None:
-            self.name = f"part-{self.part:05d}-{len(self.rows):05d}.warc.gz"
-            self.temporary = f"{self.root}/_{self.name}.{self.attempt}.tmp"
-            self.out, self.size, self.count, self.sha = self.fs.open_output_stream(self.temporary), 0, 0, hashlib.sha256()
+            self.name = f"part-{part:06d}-{self.number:05d}.warc.gz"
+            self.temporary = f"_{self.name}.{self.attempt}.tmp"
+            self.out, self.size, self.count, self.sha = self.fs.open_output_stream(f"{self.root}/{self.temporary}"), 0, 0, hashlib.sha256()
         packer = zlib.compressobj(4, zlib.DEFLATED, 31)
         member = packer.compress(record) + packer.flush()
         self.out.write(member)
@@ -104,59 +118,155 @@ class _Files:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            self.out = None
-            self.fs.move(self.temporary, f"{self.root}/{self.name}")
-            self.rows.append((self.name, self.part, self.count, self.size, self.sha.hexdigest()))
+            self.out, self.number = None, self.number + 1
+            self.rows.append((self.name, self.part, self.count, self.size, self.sha.hexdigest(), self.temporary))
 
 
-def classify(pages: DataFrame, scratch: Scratch, id_col="page_id", url_col="url", html_col="html", least: int = 0) -> DataFrame:
-    """Columns page_id, url, payload, digest and keep_id (the largest id with an equal payload; null if none is equal).
+def _counted(sizes: DataFrame, starts: list[int]) -> list[int]:
+    """Bytes of the ids in each of the ranges that begin at ``starts``; a number per range and task is shuffled."""
 
-    Equal means the same SHA-1 and length. Only payloads of at least ``least``
-    bytes are compared. Counts are pre-aggregated before the shuffle.
+    def run(batches):
+        edges, total = np.array(starts, np.int64), np.zeros(len(starts), np.int64)
+        for batch in batches:
+            at = np.searchsorted(edges, batch.column(0).to_numpy(), "right") - 1
+            np.add.at(total, at, batch.column(1).to_numpy())
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    out = [0] * len(starts)
+    for r in sizes.select("page_id", "size").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]
+    return out
+
+
+def part_bounds(sizes: DataFrame, part: int | None) -> list[int]:
+    """First ids of parts of about ``part`` bytes (by default a 64th of all, within bounds), from exact counts of (page_id, size).
+
+    Equal ranges of ids are counted; heavy ones are cut and counted again, until they are
+    light or hold one id. What comes to the driver is bounded by RANGES and, per round,
+    HEAVY times CUTS numbers.
+    """
+    sizes = sizes.where("page_id is not null").select("page_id", F.col("size").cast("long").alias("size"))
+    ends = sizes.agg(F.min("page_id").alias("a"), F.max("page_id").alias("z"), F.sum("size").alias("n")).first()
+    if ends["a"] is None:
+        return []
+    part = part or min(LARGEST_PART, max(LEAST_PART, ends["n"] // 64))
+    limit = max(part, ends["n"] // HEAVY)
+    cut = lambda a, z, pieces: list(range(a, z, -(-(z - a) // pieces)))
+    starts = cut(ends["a"], ends["z"] + 1, RANGES)
+    while True:
+        counts, out, again = _counted(sizes, starts), [], False
+        held = part + 1
+        for a, z, n in zip(starts, [*starts[1:], ends["z"] + 1], counts):
+            if n > limit and z - a > 1:  # to be counted in smaller ranges
+                out += cut(a, z, CUTS)
+                again, held = True, part + 1
+            elif held + n > part:
+                out += cut(a, z, max(1, -(-n // part)))
+                held = n if n <= part else part + 1
+            else:
+                held += n
+        starts = out
+        if not again:
+            return starts
+
+
+def classify(pages: DataFrame, scratch: Scratch, id_col="page_id", url_col="url", html_col="html", least: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with payload (page_id, url, payload, key), their sizes (page_id, key, size), and page_id, key, keep_id of rows that have equals.
+
+    keep_id is the largest id with an equal payload. Equal means the same SHA-256 and
+    length. Only payloads of at least ``least`` bytes are compared. Counts are
+    pre-aggregated before the shuffle, and no payload is shuffled.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.length("payload"))
-    groups = rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rows = rows.withColumn("key", F.concat(F.sha2("payload", 256), F.length("payload").cast("string")))
+    sizes = scratch.write(rows.select("page_id", "key", F.length("payload").alias("size")), "sizes")
+    groups = sizes.where(F.col("size") >= least).groupBy("key").agg(F.max("page_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and keep_id is not null").drop("n")
     groups = scratch.write(groups, "groups")
-    if groups.count() <= BROADCAST_ROWS:
-        groups = F.broadcast(groups)
-    return rows.join(groups, ["digest", "size"], "left").drop("size")
+    few = groups.count() <= BROADCAST_ROWS
+    return rows, sizes, sizes.select("page_id", "key").join(F.broadcast(groups) if few else groups, "key").distinct()
 
 
-def write_archives(pages: DataFrame, scratch: Scratch, roll: int = ROLL, **columns) -> tuple[DataFrame, str]:
-    """Write a record per page; returns the manifest and the folder's URI.
+def write_archives(pages: DataFrame, scratch: Scratch, roll: int = ROLL, part: int | None = None, **columns) -> tuple[DataFrame, str]:
+    """Write a record per page; returns the manifest (file, part, records, bytes, sha256) and the folder's URI.
 
     A page whose payload equals that of a page with a larger id becomes a
     revisit record of the one with the largest id. Nulls: a null payload is
     empty; a null id or url leaves its header out, and a page without an id is a
     revisit if an equal page has one. Rows with the same largest id are all
-    responses. An empty table gives an empty manifest. Records are written one
-    by one; a record larger than ``roll`` has a file of its own size.
+    responses. An empty table gives an empty manifest. Whole payloads of any length are
+    written, records one by one; a record larger than ``roll`` has a file of its own
+    size. Other columns, whatever their names, aren't read.
+
+    Payloads are shuffled once, by part; what is known of a page's equals is sorted
+    before it and merged by the writer.
     """
     spark = pages.sparkSession
     ship_package(spark)
     uri = scratch.path("archives")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
-    order = ["page_id", "digest", "url"]
-    rows = classify(pages, scratch, **columns).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows, sizes, equals = classify(pages, scratch, **columns)
+    bounds = part_bounds(sizes, part)
+
+    @F.pandas_udf("int")
+    def part_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.maximum(np.searchsorted(np.array(bounds, np.int64), ids.to_numpy(), "right") - 1, 0).astype(np.int32))
+
+    first = F.coalesce("page_id", F.lit(-(1 << 63)))  # no id: first part
+    both = rows.select("page_id", "key", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("keep_id"))
+    known = equals.select("page_id", "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "keep_id")
+    both = both.union(known).withColumn("part", part_of(first))
+    both = both.repartition(max(1, min(len(bounds), MOST_TASKS)), "part").sortWithinPartitions("part", "page_id", "key", "kind", "url")
 
     def run(batches):
-        context = TaskContext.get()
-        files = _Files(uri, context.partitionId(), context.taskAttemptId(), roll)
+        files, of, keep_id = _Files(uri, TaskContext.get().taskAttemptId(), roll), None, None
         for batch in batches:
-            for page_id, url, payload, keep_id in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "keep_id"))):
-                page_id, keep_id = page_id.as_py(), keep_id.as_py()
-                files.write(build_record(page_id, url.as_py(), payload.as_py(), keep_id, keep_id is not None and keep_id != page_id))
+            for number, page_id, key, kind, url, payload, keep in zip(*(batch.column(c) for c in ("part", "page_id", "key", "kind", "url", "payload", "keep_id"))):
+                page_id, same = page_id.as_py(), (page_id.as_py(), key.as_py())
+                if same != of:
+                    of, keep_id = same, None
+                if not kind.as_py():
+                    keep_id = keep.as_py()
+                else:
+                    files.write(number.as_py(), build_record(page_id, url.as_py(), payload.as_py(), keep_id, keep_id is not None and keep_id != page_id))
         files.close()
-        columns = list(zip(*files.rows)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()))], ["file", "part", "records", "bytes", "sha256"])
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*files.rows)) or [[]] * 6, kinds)], MANIFEST)
+
+    written = scratch.write(both.mapInArrow(run, "file string, part int, records long, bytes long, sha256 string, temporary string"), "written")
+
+    def name(batches):
+        store, root = _store(uri)
+        for batch in batches:
+            for old, new, size in zip(*(batch.column(c).to_pylist() for c in ("temporary", "file", "bytes"))):
+                _rename(store, f"{root}/{old}", f"{root}/{new}", size)
+            yield batch.select(MANIFEST[:-1])
 
-    manifest = scratch.write(rows.mapInArrow(run, "file string, part int, records long, bytes long, sha256 string"), "manifest")
+    manifest = scratch.write(written.mapInArrow(name, "file string, part int, records long, bytes long, sha256 string"), "manifest")
     return manifest, uri
 
 
+#: Columns of the table of written files; the manifest has all but the last.
+MANIFEST = ["file", "part", "records", "bytes", "sha256", "temporary"]
+#: Tasks that write at most; each writes several parts in turn if there are more.
+MOST_TASKS = 20_000
+
+
+def _rename(store, old: str, new: str, size: int) -> None:
+    """Give a committed file its name; right also if it was done before, or begun by a task that was lost."""
+    from pyarrow import fs
+
+    there, temporary = store.get_file_info([new, old])
+    if temporary.type == fs.FileType.NotFound:
+        if there.type != fs.FileType.File or there.size != size:
+            raise FileNotFoundError(f"neither {old} nor a whole {new}")
+        return
+    if there.type != fs.FileType.NotFound:
+        store.delete_file(new)
+    store.move(old, new)
+
+
 def read_archives(manifest: DataFrame, uri: str, with_payload: bool = True) -> DataFrame:
     """A row per record of the files that a manifest lists; digests are checked while reading.
 
@@ -171,9 +281,7 @@ def read_archives(manifest: DataFrame, uri: str, with_payload: bool = True) -> D
     number = lambda x: None if x is None else int(x)
 
     def run(batches):
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(uri)
+        store, root = _store(uri)
         for batch in batches:
             for name in batch.column("file").to_pylist():
                 rows, held = [], 0
