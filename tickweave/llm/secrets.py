@@ -42,6 +42,8 @@ FILLERS = (
 )
 #: Words of the dictionary (the most frequent ones, about 10 bytes each), in how many texts a word has to be, and the lengths that count.
 DICTIONARY_WORDS, LEAST_TEXTS, WORD = 50_000, 3, "[a-z]{4,20}"
+#: White space and punctuation that a word of the dictionary stands between.
+AROUND = r"[\s.,;:!?\"'()]+"
 #: Neighbouring words that announce a secret, or a digest or identifier that is none.
 FOR = "secret|token|passw|pwd|api.?key|apikey|auth|credential|private|bearer|access.?key"
 AGAINST = "commit|sha|md5|checksum|digest|hash|uuid|guid|revision|etag|integrity|base64|example|dummy|sample|order|invoice|card|account|phone"
@@ -64,16 +66,26 @@ THRESHOLD = 0.5
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """doc_id, path, word_at, part, candidate, before and after (neighbouring words, in lower case) of whole texts.
 
-    Texts without a candidate are left out before words are made. Null and empty
+    A place is looked at if its word is long, or a word up to two before it has = or :. Null and empty
     texts have none; a null path counts as an empty one.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.col(text_col).alias("text"))
-    rows = rows.where(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(ASSIGNED) | F.col("text").rlike(IN_ADDRESS) | F.contains("text", F.lit("-----BEGIN")))
-    rows = rows.select("doc_id", "path", F.split("text", SPACES).alias("words"))
-    rows = rows.select("doc_id", "path", "words", F.posexplode("words").alias("word_at", "word"))
-    near = lambda steps: F.concat_ws(" ", *[F.get("words", F.col("word_at") + k) for k in steps])
-    rows = rows.select("doc_id", "path", "word_at", "word", near((-3, -2, -1)).alias("left"), near((1, 2, 3, 4)).alias("right"))
-    rows = rows.where(F.col("word").rlike(CANDIDATE) | F.concat_ws(" ", "left", "word").rlike(VALUE) | F.col("word").rlike(IN_ADDRESS))
+    rows = rows.where("text is not null").select("doc_id", "path", F.split("text", SPACES).alias("words"))
+    near = lambda i, steps: F.concat_ws(" ", *[F.get("words", i + k) for k in steps])
+    sign = lambda w: F.contains(w, F.lit("=")) | F.contains(w, F.lit(":"))
+    # Cheap tests find the few places of long words and signs of assignment; only there, and up to two words on, patterns are tried.
+    places = F.array_compact(F.transform("words", lambda w, i: F.when((F.length(w) >= 16) | sign(w) | (w == "-----BEGIN"), i)))
+    places = F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(i, i + 1, i + 2))))
+    rows = rows.select("doc_id", "path", "words", places.alias("places")).where(F.size("places") > 0)
+
+    def wanted(i):
+        w = F.coalesce(F.get("words", i), F.lit(""))
+        key = ((F.length(w) >= 16) | (w == "-----BEGIN")) & w.rlike(CANDIDATE)
+        return (w != "") & (key | near(i, (-3, -2, -1, 0)).rlike(VALUE) | (F.contains(w, F.lit("://")) & w.rlike(IN_ADDRESS)))
+
+    # Only the wanted words are made rows, so that the array of words isn't copied for each of them.
+    rows = rows.select("doc_id", "path", "words", F.explode(F.filter("places", wanted)).alias("word_at"))
+    rows = rows.select("doc_id", "path", "word_at", F.get("words", F.col("word_at")).alias("word"), near(F.col("word_at"), (-3, -2, -1)).alias("left"), near(F.col("word_at"), (1, 2, 3, 4)).alias("right"))
     value = F.regexp_replace(F.regexp_extract(F.concat_ws(" ", "left", "word"), VALUE, 1), "[.!?]+$", "")
     value = F.coalesce(F.nullif(F.regexp_extract("word", IN_ADDRESS, 1), F.lit("")), value)
     keys = F.filter(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0)), lambda x: (x != "-----BEGIN") | F.concat_ws(" ", "word", "right").rlike(KEY_MARK))
@@ -96,8 +108,8 @@ def dictionary(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Words are lower-case runs of WORD between white space and punctuation, so that keys
     add none. Counts are over all texts and are pre-aggregated before the shuffle.
     """
-    words = F.filter(F.split(F.lower(F.col(text_col)), r"[\s.,;:!?\"'()]+"), lambda w: w.rlike(f"^{WORD}$"))
-    counted = docs.select(F.explode(F.array_distinct(words)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    words = F.array_distinct(F.split(F.lower(F.col(text_col)), AROUND))
+    counted = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("word").rlike(f"^{WORD}$"))
     return counted.where(F.col("n") >= LEAST_TEXTS).orderBy(F.col("n").desc(), "word").limit(DICTIONARY_WORDS).select("word")
 
 
