@@ -5,20 +5,28 @@ stream of Arrow batches. Memory doesn't depend on the length of a series, and
 nothing is collected into arrays. A kernel is a class whose objects hold the state
 of one series; ``step`` takes the inputs of a tick and returns the outputs. The
 same classes run in Structured Streaming (``tickweave.streaming.runner``).
+
+Kernels that are banks of NumPy arrays run over blocks of series, tick by tick
+(``aligned_fold``): the first ticks of all series of a block, then the second ones, and
+so on, so that a call moves many series. What is held is the state of one block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from tickweave.runtime import ship_package
 
 #: Output rows of a batch.
 BATCH = 20_000
+#: Series of a block that a bank holds, on average.
+WIDTH = 32
 
 
 def schema_of(frame: DataFrame, kept: Sequence[str], outputs: str) -> StructType:
@@ -108,3 +116,56 @@ def ordered_reduce(frame: DataFrame, key: str | Sequence[str], order: Sequence[s
             yield from rows_of(state.finish())
 
     return rows.mapInArrow(run, schema)
+
+
+def _arrow(x: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """An output of a bank: numbers, or a row of numbers for each series."""
+    if x.ndim == 2:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()).cast(kind.value_type)).cast(kind)
+    return pa.array(x).cast(kind)
+
+
+def aligned_fold(frame: DataFrame, key: str | Sequence[str], order: Sequence[str], inputs: Sequence[str], bank: Callable[[], object], outputs: str, keep: Sequence[str] = (), width: int = WIDTH) -> DataFrame:
+    """Like ``ordered_fold``, for a bank of many series: ``add`` takes keys of new series, ``step`` their places and arrays of inputs.
+
+    Series are dealt into blocks of about ``width`` by a hash of the key, rows within a
+    block are sorted by their number in the series, so the n-th ticks of all its series
+    are stepped together. The results don't depend on the blocks, so the approximate
+    count of series that sets their number changes nothing but speed. Null keys are one
+    series, null inputs reach the bank as NaN. An empty table gives no rows.
+    """
+    ship_package(frame.sparkSession)
+    keys = [key] if isinstance(key, str) else list(key)
+    kept = list(dict.fromkeys([*keys, *order, *keep]))
+    schema = schema_of(frame, kept, outputs)
+    names, parts = schema.names, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = frame.select(*dict.fromkeys([*kept, *inputs]), F.xxhash64(*keys).alias("__series"))
+    blocks = max(parts, -(-rows.agg(F.approx_count_distinct("__series")).first()[0] // width))
+    rows = rows.withColumn("__block", F.pmod(F.hash("__series"), F.lit(blocks))).repartition(parts, "__block")
+    rows = rows.withColumn("__tick", F.row_number().over(Window.partitionBy("__block", *keys).orderBy(*order)))
+    rows = rows.sortWithinPartitions("__block", "__tick", "__series", *keys).drop("__series")
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        types = [to_arrow_type(schema[i].dataType) for i in range(len(kept), len(names))]
+        block, state, places = None, None, {}
+        for batch in batches:
+            marks = np.stack([batch.column("__block").to_numpy(), batch.column("__tick").to_numpy()]) if batch.num_rows else np.empty((2, 0))
+            starts = np.flatnonzero((np.diff(marks, axis=1, prepend=-1) != 0).any(0))
+            ids = list(zip(*(batch.column(c).to_pylist() for c in keys)))
+            values = [batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in inputs]
+            found = [[] for _ in types]
+            for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+                if marks[0, a] != block:
+                    block, state, places = marks[0, a], bank(), {}
+                if new := [x for x in ids[a:b] if x not in places]:
+                    places |= dict(zip(new, state.add(new).tolist()))
+                at = np.array([places[x] for x in ids[a:b]])
+                for out, x in zip(found, state.step(at, *(v[a:b] for v in values))):
+                    out.append(x)
+            if batch.num_rows:
+                columns = [_arrow(np.concatenate(x), t) for x, t in zip(found, types)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names)
+
+    return rows.mapInArrow(run, schema)

@@ -14,7 +14,7 @@ from collections import deque
 
 import numpy as np
 
-from tickweave.operators.particles import _M, _V, _W, REGIMES, generator, sticky, systematic
+from tickweave.operators.particles import _M, _V, _W, REGIMES, ParticleFilter, generator, sticky, systematic
 from tickweave.operators.spool import Spool
 
 WINDOW = 512
@@ -213,17 +213,20 @@ def counts_of(regimes: np.ndarray, k: int) -> np.ndarray:
 
 
 class Pgas(Windowed):
-    """Particle Gibbs with ancestor sampling for regimes, levels, deviations and sticky transition rows.
+    """Particle Gibbs with ancestor sampling for regimes, levels, deviations, persistence and sticky transition rows.
 
     Sweeps go on, between three and ten, until the path's renewal rate reaches its
-    target; the stickiness follows the ratio of observed to expected changes.
+    target; a sampler whose rate is still below ``abort`` at the end is marked as stuck.
+    The stickiness follows the ratio of observed to expected changes. ``cloud`` has the
+    particles of the last tick after ``finish``.
     """
 
-    OUTPUTS = "regime int, mu double, sigma double, stay double, share double, kappa double, renewal double, sweeps int"
+    OUTPUTS = "regime int, mu double, sigma double, stay double, share double, kappa double, renewal double, sweeps int, phi double, stuck boolean"
 
-    def __init__(self, key=(), seed=1, window=192, particles=48, regimes=REGIMES[:3], sweeps=(3, 10), target=0.15, kappa=30.0):
+    def __init__(self, key=(), seed=1, window=192, particles=48, regimes=REGIMES[:3], sweeps=(3, 10), target=0.15, kappa=30.0, abort=0.1):
         super().__init__(key, seed, window)
-        self.particles, self.regimes, self.sweeps, self.target, self.kappa = particles, regimes, sweeps, target, kappa
+        self.particles, self.regimes, self.sweeps, self.target, self.kappa, self.abort = particles, regimes, sweeps, target, kappa, abort
+        self.cloud = None
 
     def finish(self):
         y = self.y
@@ -237,6 +240,7 @@ class Pgas(Windowed):
             s.path = s.trace(r, h, a, lw)
             renewal = 1.0 if old is None else float((s.path[1] != old[1]).mean())
             self._draw(s, s.path[0][None], s.path[1][None])
+            self._draw_speed(s)
             counts = counts_of(s.path[0], s.k)
             expected = (1 - np.diag(s.t)) @ counts.sum(1)
             theta += 0.5 * ((counts.sum() - np.trace(counts)) / max(expected, 1e-6) - theta)
@@ -244,7 +248,20 @@ class Pgas(Windowed):
             if done >= self.sweeps[0] and renewal >= self.target and old is not None:
                 break
         share = np.bincount(s.path[0], minlength=s.k) / len(y)
-        return [(j, float(s.mu[j]), float(s.sigma[j]), float(s.t[j, j]), float(share[j]), self.kappa, renewal, done) for j in range(s.k)]
+        w = np.exp(lw[-1] - lw[-1].max())
+        self.cloud, self.rows = (r[-1], h[-1], w / w.sum()), s.t
+        return [(j, float(s.mu[j]), float(s.sigma[j]), float(s.t[j, j]), float(share[j]), self.kappa, renewal, done, float(1 - s.theta[j]), renewal < self.abort) for j in range(s.k)]
+
+    def _draw_speed(self, s: _Path, step: float = 0.3) -> None:
+        """A Metropolis move of each regime's speed of reversion, on the logit scale, given the path; flat in the speed."""
+        r, h = s.path
+        for j in range(s.k):
+            here = r[1:] == j
+            if here.sum() > 2:
+                value = lambda th: float(-0.5 * (((h[1:] - (1 - th) * h[:-1] - th * s.mu[j])[here] / s.sigma[j]) ** 2).sum()) + math.log(th * (1 - th))  # noqa: E731, B023
+                new = 1 / (1 + math.exp(-(math.log(s.theta[j] / (1 - s.theta[j])) + step * self.rng.standard_normal())))
+                if 0.005 < new < 0.9 and math.log(self.rng.random()) < value(new) - value(s.theta[j]):
+                    s.theta[j] = new
 
     def _draw(self, s: _Path, rs: np.ndarray, hs: np.ndarray) -> None:
         """Conjugate draws given paths; regimes stay sorted by level."""
@@ -294,33 +311,36 @@ class Paris(Pgas):
 
 
 class StickyHdp(Windowed):
-    """Sticky hierarchical-Dirichlet hidden Markov model by beam sampling: the number of regimes is learnt.
-
-    A sweep draws slices, opens states until no row's rest exceeds the smallest
-    slice, filters forward and samples backward over the open transitions, and
-    draws rows, shared weights and normal levels; empty states go, and close ones
-    are merged.
+    """Sticky hierarchical-Dirichlet hidden Markov model: the number of regimes is learnt.
+
+    A sweep draws slices, opens states until no row's rest exceeds the smallest slice
+    (no other bound), filters forward and samples backward over the open transitions,
+    and draws rows, shared weights and levels; empty states go. Births and merges of
+    states are proposed and accepted by the marginal likelihood of their ticks and the
+    prior of partitions. ``blocked`` filters over all transitions at once; new states
+    are then born by proposal only. The concentrations are drawn too.
     """
 
-    OUTPUTS = "state int, level double, share double, stay double, n_states int, loglik double"
+    OUTPUTS = "state int, level double, share double, stay double, n_states int, loglik double, gamma double, kappa double"
 
-    def __init__(self, key=(), seed=1, window=160, sweeps=8, alpha=1.0, gamma=1.0, kappa=20.0, most=12, blocked=False):
+    def __init__(self, key=(), seed=1, window=160, sweeps=8, alpha=1.0, gamma=1.0, kappa=20.0, blocked=False):
         super().__init__(key, seed, window)
-        self.sweeps, self.alpha, self.gamma, self.kappa, self.most, self.blocked = sweeps, alpha, gamma, kappa, most, blocked
+        self.sweeps, self.alpha, self.gamma, self.kappa, self.blocked = sweeps, alpha, gamma, kappa, blocked
 
     def finish(self):
         y, rng = self.y, self.rng
         if len(y) < 20:
             return []
         z = np.digitize(y, np.quantile(y, [1 / 3, 2 / 3]))
-        level = np.array([(y[z == j].mean() + 1.27) / 2 for j in range(3)])
-        beta = np.append(np.full(3, 0.25), 0.25)
+        z = np.unique(z, return_inverse=True)[1]
+        level = np.array([self._level(y[z == j]) for j in range(z.max() + 1)])
+        beta = rng.dirichlet(np.append(np.ones(len(level)), self.gamma))
         total = 0.0
         for _ in range(self.sweeps):
             k = len(level)
             rows = self._rows(z, beta, k)
             u = np.array([rng.random() * rows[z[t - 1], z[t]] if t else rng.random() / k for t in range(len(y))])
-            while not self.blocked and rows[:, -1].max() > u[1:].min() and k < self.most:  # open a state
+            while not self.blocked and rows[:, -1].max() > u[1:].min():  # open a state
                 stick = rng.beta(1, self.gamma)
                 beta = np.concatenate([beta[:-1], [beta[-1] * stick, beta[-1] * (1 - stick)]])
                 part = rng.beta(np.maximum(self.alpha * beta[-2], 1e-3), np.maximum(self.alpha * beta[-1], 1e-3), size=k)
@@ -342,27 +362,68 @@ class StickyHdp(Windowed):
                 p = f[t] if t == len(y) - 1 else f[t] * (open_to[:, z[t + 1]] if self.blocked else open_to[:, z[t + 1]] > u[t + 1])
                 p = p if p.sum() > 0 else f[t]
                 z[t] = rng.choice(k, p=p / p.sum())
-            z, level, beta = self._tidy(z, level, y)
+            z = self._birth_or_merge(np.unique(z, return_inverse=True)[1], y)
+            level = np.array([self._level(y[z == j]) for j in range(z.max() + 1)])
+            beta = self._shared(z, len(level))
+        self.z, self.level = z, level
         k, counts, share = len(level), counts_of(z, len(level)), np.bincount(z, minlength=len(level)) / len(y)
         order = np.argsort(level)
-        return [(i, float(level[j]), float(share[j]), float((counts[j, j] + self.kappa) / (counts[j].sum() + self.kappa + self.alpha)), k, total) for i, j in enumerate(order)]
+        return [(i, float(level[j]), float(share[j]), float((counts[j, j] + self.kappa) / (counts[j].sum() + self.kappa + self.alpha)), k, total, float(self.gamma), float(self.kappa)) for i, j in enumerate(order)]
+
+    def export(self, theta: float = 0.08, sigma: float = 0.12):
+        """Regimes and transition rows for a filter, by level, after ``finish``."""
+        order = np.argsort(self.level)
+        counts = counts_of(np.argsort(order)[self.z], len(order)) + 0.5 + self.kappa * np.eye(len(order))
+        return tuple((theta, float(self.level[j]), sigma) for j in order), counts / counts.sum(1, keepdims=True)
+
+    def take_over(self, regimes, shares) -> None:
+        """Begin from a filter's regimes: their levels and shares set the stickiness and the shared weights' concentration."""
+        self.gamma = max(1.0, float(np.count_nonzero(np.asarray(shares) > 0.01)) / 2)
 
     def _rows(self, z, beta, k):
         counts = np.column_stack([counts_of(z, k), np.zeros(k)])
         return np.stack([self.rng.dirichlet(self.alpha * beta + counts[i] + self.kappa * (np.arange(k + 1) == i) + 1e-3) for i in range(k)])
 
-    def _tidy(self, z, level, y):
-        """Drop empty states, merge close ones, draw levels and shared weights."""
-        used = np.unique(z)
-        z = np.searchsorted(used, z)
-        level = np.array([self._level(y[z == j]) for j in range(len(used))])
-        order = np.argsort(level)
-        z, level = np.argsort(order)[z], level[order]
-        merged = np.concatenate([[0], (np.diff(level) > 0.15).cumsum()])
-        z = merged[z]
-        level = np.array([self._level(y[z == j]) for j in range(merged[-1] + 1)])
-        tables = np.array([max(1.0, math.log1p((z == j).sum())) for j in range(len(level))])
-        return z, level, self.rng.dirichlet(np.append(tables, self.gamma))
+    @staticmethod
+    def _evidence(y) -> float:
+        """Log marginal likelihood of ticks of one state: a normal level around -4.5 and the variance of a log-square."""
+        x, v, prior = (np.asarray(y) + 1.27) / 2, 4.93 / 4, 4.93 / 2
+        n, d = len(x), x + 4.5
+        return -0.5 * (n * math.log(2 * math.pi * v) + math.log1p(n * prior / v) + (d @ d - d.sum() ** 2 * prior / (v + n * prior)) / v)
+
+    def _birth_or_merge(self, z, y):
+        """One proposal of either kind; states stay numbered without gaps."""
+        k = int(z.max()) + 1
+        size = lambda n: math.lgamma(n) + math.log(self.gamma)  # noqa: E731  a state's weight in the prior of partitions
+        if self.rng.random() < 0.5:  # birth: the ticks of a state above its mean leave
+            j = int(self.rng.integers(k))
+            here = z == j
+            out = here & (y > y[here].mean())
+            if out.any() and (here & ~out).any():
+                gain = self._evidence(y[out]) + self._evidence(y[here & ~out]) - self._evidence(y[here])
+                gain += size(out.sum()) + size((here & ~out).sum()) - size(here.sum())
+                if math.log(self.rng.random()) < gain:
+                    z = np.where(out, k, z)
+        elif k > 1:  # merge: two states whose levels are neighbours
+            means = np.argsort([y[z == j].mean() for j in range(k)])
+            i = int(self.rng.integers(k - 1))
+            a, b = z == means[i], z == means[i + 1]
+            gain = self._evidence(y[a | b]) - self._evidence(y[a]) - self._evidence(y[b]) + size((a | b).sum()) - size(a.sum()) - size(b.sum())
+            if math.log(self.rng.random()) < gain:
+                z = np.unique(np.where(b, means[i], z), return_inverse=True)[1]
+        return z
+
+    def _shared(self, z, k):
+        """Shared weights from the tables that each state's ticks take, and draws of the concentrations."""
+        counts = counts_of(z, k)
+        tables = np.array([max(1.0, sum((self.rng.random(int(n)) < self.alpha / k / (self.alpha / k + np.arange(int(n)))).sum() for n in counts[:, j])) for j in range(k)])
+        m = tables.sum()
+        eta = self.rng.beta(self.gamma + 1, m)
+        self.gamma = float(np.clip(self.rng.gamma(1 + k - (self.rng.random() < m / (m + (k + 1) / max(1 - math.log(eta), 1e-9)))) / (1 - math.log(eta)), 0.1, 10.0))
+        stays, moves = np.trace(counts), counts.sum() - np.trace(counts)
+        rho = self.rng.beta(1 + stays, 1 + moves)
+        self.kappa = float(np.clip(rho / max(1 - rho, 1e-6) * self.alpha, 1.0, 500.0))
+        return self.rng.dirichlet(np.append(tables, self.gamma))
 
     def _level(self, y):
         n = len(y)
@@ -370,6 +431,140 @@ class StickyHdp(Windowed):
         return mean + math.sqrt(4.93 / 4 / (n + 0.5)) * self.rng.standard_normal()
 
 
+class HdpFilter:
+    """Regimes of a whole series by the sampler, window by window, exported to a filter that runs through the window; a reducer."""
+
+    OUTPUTS = "first_tick long, n_states int, ticks long, log_vol double, surprise double"
+
+    def __init__(self, key=(), window=2000, least=20, sweeps=4, n=64):
+        self.inner = Consecutive(key, self._make, window, least)
+        self.sweeps, self.n = sweeps, n
+
+    def _make(self, key, window):
+        sampler = StickyHdp(key, window=window, sweeps=self.sweeps)
+        finish, n = sampler.finish, self.n
+
+        def run():
+            if not finish():
+                return []
+            regimes, rows = sampler.export()
+            if len(regimes) == 1:
+                regimes, rows = regimes * 2, np.full((2, 2), 0.5)
+            f = ParticleFilter(key, n=n, regimes=regimes, outlier=(0.02, 30.0))
+            f.bank.a["t"][0] = rows
+            out = [f.step(v) for v in sampler.y]
+            return [(len(set(regimes)), len(out), float(np.mean([o[0] for o in out])), float(np.mean([o[7] for o in out])))]
+
+        sampler.finish = run
+        return sampler
+
+    def push(self, y):
+        return self.inner.push(y)
+
+    def finish(self):
+        return self.inner.finish()
+
+
+class Rescued:
+    """A learning filter with a sampler that can replace its cloud.
+
+    A run is triggered by a small effective size, by a surprise far above its average, or
+    after ``period`` ticks, but not within ``wait`` ticks of the last one. The sampler runs
+    on the last ticks; its result goes through the gate. ``replace`` puts the sampler's
+    cloud and levels in the place of the filter's; ``mix`` does so for half of the
+    particles; else nothing changes.
+    """
+
+    OUTPUTS = "log_vol double, ess double, trigger string, decision string"
+
+    def __init__(self, key=(), n=64, window=WINDOW, least=40, period=200, wait=30, small=0.1, surprise=4.0, particles=24):
+        self.filter, self.ring, self.key = ParticleFilter(key, n=n, regimes=REGIMES[:3], learn=True, outlier=(0.02, 30.0)), deque(maxlen=window), key
+        self.least, self.period, self.wait, self.small, self.surprise, self.particles = least, period, wait, small, surprise, particles
+        self.since, self.average, self.t = 0, None, 0
+
+    def _trigger(self, ess, surprise):
+        if len(self.ring) < self.least or self.since < self.wait:
+            return None
+        if ess < self.small * self.filter.n:
+            return "ess"
+        if self.average is not None and surprise > self.average + self.surprise:
+            return "surprise"
+        return "periodic" if self.since >= self.period else None
+
+    def step(self, y):
+        self.ring.append(y)
+        self.t, self.since = self.t + 1, self.since + 1
+        out = self.filter.step(y)
+        trigger, decision = self._trigger(out[5], out[7]), None
+        self.average = out[7] if self.average is None else 0.05 * out[7] + 0.95 * self.average
+        if trigger:
+            self.since, decision = 0, self._rescue(out)
+        return out[0], out[5], trigger, decision
+
+    def _rescue(self, out):
+        sampler = Pgas((*self.key, self.t), 1, len(self.ring), self.particles)
+        for v in self.ring:
+            sampler.push(v)
+        rows = sampler.finish()
+        if not rows:
+            return "none"
+        f, (regime, h, w) = self.filter, sampler.cloud
+        live = {"mu": out[10], "sigma2": f.bank.sigma**2, "share": out[4], "t": f.t, "phi": 1 - float(f.bank.theta @ out[4]), "h": out[0], "ess": out[5] / f.n}
+        rescue = {"mu": [r[1] for r in rows], "sigma2": [r[2] ** 2 for r in rows], "share": [r[4] for r in rows], "t": sampler.rows, "phi": float(sum(r[8] * r[4] for r in rows)), "h": float(w @ h), "ess": float(1 / (w @ w) / len(w))}
+        decision, _ = gate(live, rescue)
+        if decision in ("replace", "mix"):
+            self.inject(decision, regime, h, w, rescue)
+        return decision
+
+    def inject(self, decision, regime, h, w, rescue) -> None:
+        """Particles drawn from the sampler's cloud, all or every second one, with the sampler's levels as what is learnt."""
+        f = self.filter
+        take = np.arange(0, f.n, 1 if decision == "replace" else 2)
+        u = float(generator(3, (*self.key, self.t)).random())
+        drawn = np.minimum(np.searchsorted(np.cumsum(w), (u + np.arange(len(take))) / len(take)), len(w) - 1)
+        f.regime[take], f.m[take], f.v[take] = regime[drawn], h[drawn], np.asarray(rescue["sigma2"])[regime[drawn]]
+        f.logw[:] = 0.0
+        f.mu[take] = f.nm[take] = np.asarray(rescue["mu"])
+        f.s2[take] = np.asarray(rescue["sigma2"])
+
+
+def alias_table(weights) -> tuple[np.ndarray, np.ndarray]:
+    """Share and alias of each category, so that one uniform number draws one in constant time."""
+    p = np.asarray(weights, float) * len(weights) / np.sum(weights)
+    share, alias = np.ones(len(p)), np.arange(len(p))
+    small, large = [i for i in range(len(p)) if p[i] < 1], [i for i in range(len(p)) if p[i] >= 1]
+    while small and large:
+        i, j = small.pop(), large[-1]
+        share[i], alias[i] = p[i], j
+        p[j] -= 1 - p[i]
+        if p[j] < 1:
+            small.append(large.pop())
+    return share, alias
+
+
+def alias_draw(share, alias, u):
+    """Categories from uniform numbers."""
+    at = np.minimum((np.asarray(u) * len(share)).astype(int), len(share) - 1)
+    return np.where(np.asarray(u) * len(share) - at < share[at], at, alias[at])
+
+
+class AliasTable:
+    """A reducer: the table of a series' weights and the probabilities it stands for; it needs all weights of a series at once."""
+
+    OUTPUTS = "i long, share double, alias long, p double"
+
+    def __init__(self):
+        self.weights = []
+
+    def push(self, w):
+        self.weights.append(w)
+
+    def finish(self):
+        share, alias = alias_table(self.weights)
+        p = (share + np.bincount(alias, 1 - share, len(share))) / len(share)
+        return [(i, float(a), int(b), float(c)) for i, (a, b, c) in enumerate(zip(share, alias, p))]
+
+
 def align_by_level(mu: np.ndarray) -> np.ndarray:
     """Order that makes the levels ascend."""
     return np.argsort(mu, kind="stable")
@@ -403,7 +598,7 @@ def gate(live: dict, rescue: dict, limits: dict | None = None) -> tuple[str, dic
 class Garch:
     """GARCH(1, 1) of one series' returns by likelihood over a grid that is refined; a reducer that reads the whole series once per grid."""
 
-    OUTPUTS = "omega double, alpha double, beta double, loglik double, n long"
+    OUTPUTS = "omega double, alpha double, beta double, loglik double, n long, mean double"
 
     def __init__(self, key=()):
         self.spool = Spool()
@@ -437,4 +632,4 @@ class Garch:
             value = self.loglik(squares(), var0, ga, gb)
             best = int(value.argmax())
             a, b, step = float(ga[best]), float(gb[best]), step / 3
-        return [(var0 * (1 - a - b), a, b, float(value[best]), n)]
+        return [(var0 * (1 - a - b), a, b, float(value[best]), n, float(mean))]

@@ -135,7 +135,33 @@ def sprt_multi(spark, sf_dir):
     return out.select(KEY, "seq", "regime", *[rounded(F.get("p", F.lit(i)), 7).alias(f"p{i}") for i in range(4)])
 
 
-@query()
+def p2_ctes(source: str, x: str, p: float) -> str:
+    """Recursive CTE f of (series_id, seq, rn, x, quantile): five markers as columns, moved one after the other."""
+    start, grow = [1 + 2 * p, 1 + 4 * p, 3 + 2 * p], [p / 2, p, (1 + p) / 2]
+    state = "w, q0, q1, q2, q3, q4, n1, n2, n3, g1, g2, g3"
+
+    def moved(i: int, rows: str) -> str:
+        """Marker i after its move; ends are fixed at 1 and rn."""
+        left, right = ("1" if i == 1 else f"n{i - 1}"), ("rn" if i == 3 else f"n{i + 1}")
+        rows = f"SELECT *, CASE WHEN g{i} - n{i} >= 1 AND {right} - n{i} > 1 THEN 1 WHEN g{i} - n{i} <= -1 AND {left} - n{i} < -1 THEN -1 ELSE 0 END AS s{i} FROM ({rows})"
+        parabola = f"q{i} + s{i} / ({right} - {left})::DOUBLE * ((n{i} - {left} + s{i}) * ((q{i + 1} - q{i}) / ({right} - n{i})) + ({right} - n{i} - s{i}) * ((q{i} - q{i - 1}) / (n{i} - {left})))"
+        line = f"CASE WHEN s{i} > 0 THEN q{i} + (q{i + 1} - q{i}) / ({right} - n{i}) ELSE q{i} - (q{i - 1} - q{i}) / ({left} - n{i}) END"
+        rows = f"SELECT *, {parabola} AS c{i} FROM ({rows})"
+        return f"SELECT * EXCLUDE (s{i}, c{i}) REPLACE (CASE WHEN s{i} = 0 THEN q{i} WHEN q{i - 1} < c{i} AND c{i} < q{i + 1} THEN c{i} ELSE {line} END AS q{i}, n{i} + s{i} AS n{i}) FROM ({rows})"
+
+    joined = f"SELECT t.series_id, t.seq, t.rn, t.x, {state} FROM f JOIN t ON t.series_id = f.series_id AND t.rn = f.rn + 1"
+    later = f"SELECT * REPLACE (least(q0, x) AS q0, greatest(q4, x) AS q4), CASE WHEN x < q0 THEN 0 WHEN x >= q4 THEN 3 WHEN x < q1 THEN 0 WHEN x < q2 THEN 1 WHEN x < q3 THEN 2 ELSE 3 END AS cell FROM ({joined} WHERE f.rn >= 5)"
+    later = f"SELECT * EXCLUDE (cell) REPLACE (n1 + (cell < 1)::INT AS n1, n2 + (cell < 2)::INT AS n2, n3 + (cell < 3)::INT AS n3, " + ", ".join(f"g{i + 1} + {g!r}::DOUBLE AS g{i + 1}" for i, g in enumerate(grow)) + f") FROM ({later})"
+    later = moved(3, moved(2, moved(1, later)))
+    first = f"SELECT * REPLACE (list_append(w, x) AS w) FROM ({joined} WHERE f.rn < 5)"
+    first = "SELECT * REPLACE (" + ", ".join(f"CASE WHEN rn = 5 THEN list_sort(w)[{i + 1}] ELSE q{i} END AS q{i}" for i in range(5)) + f") FROM ({first})"
+    zero = "[x] AS w, " + ", ".join(f"0.0::DOUBLE AS q{i}" for i in range(5)) + ", 2 AS n1, 3 AS n2, 4 AS n3, " + ", ".join(f"{g!r}::DOUBLE AS g{i + 1}" for i, g in enumerate(start))
+    return f"""t AS MATERIALIZED (SELECT series_id, seq, rn, {x} AS x FROM {source}), f AS (
+      SELECT series_id, seq, rn, x, {zero} FROM t WHERE rn = 1 UNION ALL (({first}) UNION ALL ({later}))
+    ), p2 AS (SELECT series_id, seq, rn, x, CASE WHEN rn < 5 THEN x ELSE q2 END AS quantile FROM f)"""
+
+
+@query(f"WITH RECURSIVE {s.TICKS_SQL}, {p2_ctes('r', 'abs(ret)', 0.9)} SELECT series_id, seq, round(quantile, 9) AS quantile FROM p2")
 def p2_quantile(spark, sf_dir):
     rows = s.returns(spark, sf_dir).withColumn("x", F.abs("ret"))
     return folded(rows, ["x"], partial(k.P2Quantile, 0.9)).select(KEY, "seq", rounded("quantile").alias("quantile"))
@@ -324,7 +350,20 @@ def hawkes_boost(spark, sf_dir):
     return out.select(KEY, "seq", rounded("intensity", 8).alias("intensity"), *[rounded(F.get("row", F.lit(j)), 8).alias(f"p{j}") for j in range(4)])
 
 
-@query()
+def _hawkes_history_sql() -> str:
+    """Sums over the events before, by a self-join; the average is a fold of the list so far."""
+    pick = lambda i: "CASE regime " + " ".join(f"WHEN {j} THEN {row[i]!r}::DOUBLE" for j, row in enumerate(k.HawkesEngine.ladder())) + " END"
+    excited = lambda later: f"least(greatest(base + coalesce(sum(e.a * exp(-e.b * (t.rn + {later} - e.rn))) FILTER (e.number > t.events - 128), 0), 0.001::DOUBLE), 5.0::DOUBLE)"
+    return f"""WITH {s.TICKS_SQL}, {REGIME_SQL}, t AS (SELECT *, sum(hit::INT) OVER (PARTITION BY series_id ORDER BY rn) AS events FROM (
+        SELECT series_id, seq, rn, {pick(0)} AS base, {pick(1)} * {pick(4)} * abs(ret) AS a, {pick(2)} AS b, abs(ret) > {pick(3)} * 0.5 AS hit FROM regimes)),
+      e AS (SELECT series_id, rn, a, b, events AS number FROM t WHERE hit),
+      i AS (SELECT t.series_id, t.seq, t.rn, {excited(0)} AS now, least(any_value(t.events), 128)::INT AS n_events, {excited(10)} AS ahead
+            FROM t LEFT JOIN e ON e.series_id = t.series_id AND e.rn <= t.rn GROUP BY t.series_id, t.seq, t.rn, t.base, t.events),
+      l AS (SELECT *, list(now) OVER (PARTITION BY series_id ORDER BY rn) AS before FROM i)
+      SELECT series_id, seq, round(now, 9) AS intensity, round(list_reduce(before, lambda a, x: 0.05::DOUBLE * x + 0.95::DOUBLE * a), 9) AS average, n_events, round(ahead, 9) AS ahead FROM l"""
+
+
+@query(_hawkes_history_sql())
 def hawkes_history(spark, sf_dir):
     return folded(labelled(spark, sf_dir), ["ret", "regime"], partial(k.HawkesEngine, scale=0.5)).select(KEY, "seq", rounded("intensity").alias("intensity"), rounded("average").alias("average"), "n_events", rounded("ahead").alias("ahead"))
 
@@ -343,12 +382,12 @@ def hawkes_moments(spark, sf_dir):
 
 
 def _bocpd_sql(hazard: str, out: str) -> str:
-    """Run-length recursion with lists as state; ``hazard`` is an expression of the run i (from 0)."""
+    """Run-length recursion with lists as state; ``hazard`` is an expression of the run i (from 0) and of the decayed counts of changes and ticks, ch and se."""
     density = (
         "exp(lgamma(a[i + 1] + 0.5) - lgamma(a[i + 1]) - 0.5 * ln(2 * a[i + 1] * pi() * (b[i + 1] * (k[i + 1] + 1) / (a[i + 1] * k[i + 1])))"
         " - (a[i + 1] + 0.5) * ln(1 + (ret - m[i + 1]) ** 2 / (2 * a[i + 1] * (b[i + 1] * (k[i + 1] + 1) / (a[i + 1] * k[i + 1])))))"
     )
-    x = "SELECT t.*, r, m, k, a, b, mass, dk, dm, da, db FROM f JOIN t ON t.series_id = f.series_id AND t.rn = f.rn + 1"
+    x = "SELECT t.*, r, m, k, a, b, mass, dk, dm, da, db, ch, se FROM f JOIN t ON t.series_id = f.series_id AND t.rn = f.rn + 1"
     x = f"SELECT *, list_transform(range(len(r)), lambda i: r[i + 1] * {density}) AS j FROM ({x})"
     x = f"SELECT *, list_concat([list_sum(list_transform(range(len(j)), lambda i: j[i + 1] * {hazard}))], list_transform(range(len(j)), lambda i: j[i + 1] * (1 - {hazard}))) AS u FROM ({x})"
     x = f"SELECT *, list_transform(u, lambda v: v / list_sum(u)) AS w FROM ({x})"
@@ -357,11 +396,11 @@ def _bocpd_sql(hazard: str, out: str) -> str:
     x = f"""SELECT series_id, seq, rn, nr AS r, list_concat([0.0::DOUBLE], list_transform(range(len(m)), lambda i: (k[i + 1] * m[i + 1] + ret) / (k[i + 1] + 1)))[1:last] AS m,
       list_concat([1.0::DOUBLE], list_transform(k, lambda v: v + 1))[1:last] AS k, list_concat([1.0::DOUBLE], list_transform(a, lambda v: v + 0.5))[1:last] AS a,
       list_concat([1e-4::DOUBLE], list_transform(range(len(b)), lambda i: b[i + 1] + 0.5 * k[i + 1] * (ret - m[i + 1]) ** 2 / (k[i + 1] + 1)))[1:last] AS b,
-      list_sum(nr[1:15]) AS mass, list_sum(nr[1:15]) - mass AS d, dk, dm, da, db FROM ({x})"""
+      list_sum(nr[1:15]) AS mass, list_sum(nr[1:15]) - mass AS d, dk, dm, da, db, 0.999::DOUBLE * ch + nr[1] AS ch, 0.999::DOUBLE * se + 1 AS se FROM ({x})"""
     x = f"SELECT *, (d - dm) / sqrt(greatest(db / da, 1e-6)) AS z, (0.99::DOUBLE * dk * dm + d) / (0.99::DOUBLE * dk + 1) AS nm FROM ({x})"
-    x = f"SELECT series_id, seq, rn, r, m, k, a, b, mass, 0.99::DOUBLE * dk + 1, nm, 0.99::DOUBLE * da + 0.5, 0.99::DOUBLE * db + 0.5 * (d - dm) * (d - nm), z FROM ({x})"
+    x = f"SELECT series_id, seq, rn, r, m, k, a, b, mass, 0.99::DOUBLE * dk + 1, nm, 0.99::DOUBLE * da + 0.5, 0.99::DOUBLE * db + 0.5 * (d - dm) * (d - nm), z, ch, se FROM ({x})"
     first = """SELECT series_id, seq, rn, [1.0::DOUBLE] AS r, [ret / 2] AS m, [2.0::DOUBLE] AS k, [1.5::DOUBLE] AS a, [1e-4::DOUBLE + 0.5 * ret ** 2 / 2] AS b, 1.0::DOUBLE AS mass,
-      1.0::DOUBLE AS dk, 0.0::DOUBLE AS dm, 1.0::DOUBLE AS da, 0.01::DOUBLE AS db, 0.0::DOUBLE AS z FROM t WHERE rn = 1"""
+      1.0::DOUBLE AS dk, 0.0::DOUBLE AS dm, 1.0::DOUBLE AS da, 0.01::DOUBLE AS db, 0.0::DOUBLE AS z, 0.0::DOUBLE AS ch, 0.0::DOUBLE AS se FROM t WHERE rn = 1"""
     return f"WITH RECURSIVE {s.TICKS_SQL}, t AS MATERIALIZED (SELECT series_id, seq, rn, ret FROM r), f AS ({first} UNION ALL {x}) SELECT series_id, seq, {out} FROM f"
 
 
@@ -376,9 +415,9 @@ def bocpd_delta(spark, sf_dir):
     return out.select(KEY, "seq", rounded("short_mass", 7).alias("short_mass"), rounded("delta_z", 5).alias("delta_z"), (F.abs("delta_z") > 3).alias("alarm"))
 
 
-@query()
+@query(_bocpd_sql("((1 + ch) / (101 + se))", "list_position(r, list_max(r)) - 1 AS map_run, round(list_sum(r[1:5]), 7) AS p_change"))
 def bocpd_learned_hazard(spark, sf_dir):
-    return folded(s.returns(spark, sf_dir), ["ret"], partial(k.Bocpd, ("learned", 1.0, 100.0, 0.999))).select(KEY, "seq", "map_run", rounded("p_change", 8).alias("p_change"))
+    return folded(s.returns(spark, sf_dir), ["ret"], partial(k.Bocpd, ("learned", 1.0, 100.0, 0.999))).select(KEY, "seq", "map_run", rounded("p_change", 7).alias("p_change"))
 
 
 _L = [mixture_sql("y", h) for h in ("-5.0", "-4.5", "-3.8")]

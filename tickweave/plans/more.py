@@ -15,9 +15,9 @@ from tickweave.operators import features as f
 from tickweave.operators import kernels as k
 from tickweave.operators import particles as pt
 from tickweave.operators import reports as rp
-from tickweave.operators.fold import ordered_fold, ordered_reduce
+from tickweave.operators.fold import aligned_fold, ordered_fold, ordered_reduce
 from tickweave.plans.features import _BIN_SQL, _binned
-from tickweave.plans.folds import KEY, ORDER, fold_sql, labelled, mixture_sql
+from tickweave.plans.folds import KEY, ORDER, fold_sql, labelled, mixture_sql, p2_ctes
 from tickweave.plans.registry import query, rounded
 from tickweave.plans.reports import _FC, MODELS, long_forecasts, sql
 from tickweave.runtime import Scratch
@@ -26,14 +26,33 @@ from tickweave.sources import ticks as s
 from tickweave.streaming import runner
 
 
-@query()
+_DAMPED = "CASE WHEN x > ln(256) THEN ln(256) / x WHEN rn > 20 AND high > 0 AND x > high THEN high / x ELSE 1.0::DOUBLE END"
+
+
+@query(f"""WITH RECURSIVE {s.TICKS_SQL}, {p2_ctes('r', 'abs(ret) * 300', 0.95)},
+  h AS (SELECT *, CASE WHEN rn > 5 THEN lag(quantile) OVER (PARTITION BY series_id ORDER BY rn) ELSE 0 END AS high FROM p2),
+  d AS (SELECT *, greatest({_DAMPED}, 0.1::DOUBLE) AS temper FROM h),
+  g AS (SELECT *, sum((temper = 1)::INT) OVER (PARTITION BY series_id ORDER BY rn) AS island FROM d)
+  SELECT series_id, seq, round(temper, 9) AS temper, round(quantile, 7) AS p95,
+    temper < 1 AND sum((temper < 1)::INT) OVER (PARTITION BY series_id, island ORDER BY rn) % 11 = 0 AS stuck FROM g""")
 def kl_tempering(spark, sf_dir):
     rows = s.returns(spark, sf_dir).withColumn("kl", F.abs("ret") * 300)
     out = ordered_fold(rows, KEY, ORDER, ["kl"], partial(k.KlTempering, wait=20), k.KlTempering.OUTPUTS)
     return out.select(KEY, "seq", rounded("temper").alias("temper"), rounded("p95", 7).alias("p95"), "stuck")
 
 
-@query()
+def _diurnal_online_sql() -> str:
+    """The recursion with the bins' counts and levels as lists."""
+    one = "list_transform(range(24), lambda i: CASE WHEN i <> bin THEN {other} ELSE {own} END)"
+    joined = "SELECT t.*, n, v, w FROM f JOIN t ON t.series_id = f.series_id AND t.rn = f.rn + 1"
+    step = f"SELECT *, CASE WHEN n[bin + 1] >= 2 AND w > 0 THEN least(greatest(sqrt(v[bin + 1] / w), 0.3::DOUBLE), 3.0::DOUBLE) ELSE 1.0::DOUBLE END AS factor FROM ({joined})"
+    step = f"""SELECT series_id, seq, rn, {one.format(other='n[i + 1]', own='n[i + 1] + 1')} AS n,
+      {one.format(other='v[i + 1]', own='CASE WHEN n[i + 1] = 0 THEN ret * ret ELSE 0.02::DOUBLE * ret * ret + 0.98::DOUBLE * v[i + 1] END')} AS v, 0.02::DOUBLE * ret * ret + 0.98::DOUBLE * w AS w, factor, ret / factor AS adjusted FROM ({step})"""
+    first = f"SELECT series_id, seq, rn, {one.format(other='0', own='1')} AS n, {one.format(other='0.0::DOUBLE', own='ret * ret')} AS v, ret * ret AS w, 1.0::DOUBLE AS factor, ret AS adjusted FROM t WHERE rn = 1"
+    return f"WITH RECURSIVE {s.TICKS_SQL}, {_BIN_SQL}, t AS MATERIALIZED (SELECT series_id, seq, rn, ret, bin FROM binned), f AS ({first} UNION ALL {step}) SELECT series_id, seq, round(factor, 9) AS factor, round(adjusted, 9) + 0.0 AS adjusted FROM f"
+
+
+@query(_diurnal_online_sql())
 def diurnal_online(spark, sf_dir):
     out = ordered_fold(_binned(spark, sf_dir), KEY, ORDER, ["ret", "bin"], partial(k.OnlineDiurnal, least=2), k.OnlineDiurnal.OUTPUTS)
     return out.select(KEY, "seq", rounded("factor").alias("factor"), rounded("adjusted").alias("adjusted"))
@@ -54,46 +73,22 @@ def smoothed_learning(spark, sf_dir):
 
 @query()
 def shock_teleport(spark, sf_dir):
-    out = ordered_fold(labelled(spark, sf_dir), KEY, ORDER, ["y"], partial(pt.ShockedFilter, n=64), pt.ShockedFilter.OUTPUTS, keyed=True)
+    out = aligned_fold(labelled(spark, sf_dir), KEY, ORDER, ["y"], partial(pt.ShockedBank, n=128, limit=4.5), pt.ShockedBank.OUTPUTS)
     return out.select(KEY, "seq", *[rounded(c, 8).alias(c) for c in ("log_vol", "surprise", "moved")])
 
 
-class _CatchUp(pt.ParticleFilter):
-    """Filters, but sees only two ticks of three; the third is caught up with."""
-
-    OUTPUTS = "log_vol double, seen boolean"
-
-    def __init__(self, key=()):
-        super().__init__(key, 64)
-        self.count = 0
-
-    def step(self, y):
-        self.count += 1
-        if self.count % 3 == 0:
-            pt.fast_forward(self, [None])
-            return float(self.weights() @ self.m), False
-        return super().step(y)[0], True
-
-
 @query()
 def catch_up(spark, sf_dir):
-    out = ordered_fold(labelled(spark, sf_dir), KEY, ORDER, ["y"], _CatchUp, _CatchUp.OUTPUTS, keyed=True)
+    """The filter sees two ticks of three; through the third the cloud is carried unseen."""
+    rows = labelled(spark, sf_dir).withColumn("rn", F.row_number().over(f.by(KEY, ORDER)))
+    rows = rows.withColumn("y", F.when(F.col("rn") % 3 != 0, F.col("y")))
+    out = aligned_fold(rows, KEY, ORDER, ["y"], partial(pt.CatchUpBank, n=128), pt.CatchUpBank.OUTPUTS)
     return out.select(KEY, "seq", rounded("log_vol", 8).alias("log_vol"), "seen")
 
 
-@query(sql("""SELECT series_id, list_transform(list_zip(list(lw ORDER BY rn), list(inc ORDER BY rn)), lambda x: round(x[1] + 0.5 * x[2], 9)) AS w
-  FROM (SELECT series_id, rn, -abs(ret) * 100 AS lw, ret * 50 AS inc FROM r WHERE rn <= 8) GROUP BY series_id""").replace("AS w\n", "AS w ").replace("SELECT series_id, list_transform", "SELECT series_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT series_id, list_transform").rstrip() + ")")
-def deferred_weights(spark, sf_dir):
-    """Weights of small clouds with tempered increments added, as arrays: the first eight returns, as its SQL has it; ``deferred_weights_full`` has all."""
-    rows = s.returns(spark, sf_dir).withColumn("rn", F.row_number().over(f.by(KEY, ORDER))).where("rn <= 8")  # eight particles
-    cloud = rows.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("rn", (-F.abs("ret") * 100).alias("lw"), (F.col("ret") * 50).alias("inc")))).alias("c"))
-    w = F.zip_with(F.transform("c", lambda x: x["lw"]), F.transform("c", lambda x: x["inc"]), lambda a, b: a + 0.5 * b)
-    return cloud.select(KEY, F.posexplode(w).alias("i", "w")).select(KEY, rounded("w").alias("w"), (F.col("i") + 1).cast("long").alias("i"))
-
-
 @query(sql("SELECT series_id, round(-abs(ret) * 100 + 0.5 * (ret * 50), 9) AS w, rn AS i FROM r"))
-def deferred_weights_full(spark, sf_dir):
-    """Weights with tempered increments added, for every return of every series."""
+def deferred_weights(spark, sf_dir):
+    """Log weights with tempered increments added, for every return of every series."""
     rows = s.returns(spark, sf_dir).withColumn("i", F.row_number().over(f.by(KEY, ORDER)).cast("long"))
     return rows.select(KEY, rounded(-F.abs("ret") * 100 + 0.5 * (F.col("ret") * 50)).alias("w"), "i")
 
@@ -145,16 +140,8 @@ def outlier_streaks(spark, sf_dir):
     return rows.select(KEY, "seq", streak.alias("streak"), (F.col("big") & (streak >= 2)).alias("cluster"))
 
 
-@query(sql("SELECT count(DISTINCT path) AS paths, count(*) AS series FROM (SELECT series_id, list(regime ORDER BY rn) AS path FROM regimes WHERE rn <= 16 GROUP BY series_id)"))
-def trajectory_diversity(spark, sf_dir):
-    """Distinct regime paths of the first sixteen ticks, by hash, as its SQL has it; ``trajectory_diversity_full`` reads whole series."""
-    rows = labelled(spark, sf_dir).withColumn("rn", F.row_number().over(f.by(KEY, ORDER))).where("rn <= 16")  # arrays of sixteen at most
-    paths = rows.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("rn", "regime"))).alias("p"))
-    return paths.agg(F.countDistinct(F.xxhash64("p")).alias("paths"), F.count(F.lit(1)).alias("series"))
-
-
 @query(sql("SELECT count(DISTINCT path) AS paths, count(*) AS series FROM (SELECT series_id, list(regime ORDER BY rn) AS path FROM regimes GROUP BY series_id)"))
-def trajectory_diversity_full(spark, sf_dir):
+def trajectory_diversity(spark, sf_dir):
     """Distinct regime paths of whole series, by a digest that grows tick by tick."""
     paths = ordered_reduce(labelled(spark, sf_dir), KEY, ORDER, ["regime"], k.PathDigest, k.PathDigest.OUTPUTS)
     return paths.agg(F.countDistinct("path").alias("paths"), F.count(F.lit(1)).alias("series"))
@@ -199,6 +186,19 @@ def duration_hazard(spark, sf_dir):
     return out.select("state", "age", "at_risk", rounded("hazard").alias("hazard"), rounded("survival").alias("survival"), rounded("remaining", 8).alias("remaining"))
 
 
+@query(sql("""SELECT series_id, seq, age, round(ended / at_risk, 9) AS hazard, round(left_, 8) + 0.0 AS remaining FROM (
+  SELECT a.series_id, a.seq, a.rn - min(a.rn) OVER (PARTITION BY a.series_id, a.run_id) + 1 AS age, a.regime, a.rn FROM ru a) x
+  ASOF JOIN (SELECT *, sum(gone * age) OVER (PARTITION BY state ORDER BY age ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / at_risk - age AS left_ FROM (SELECT state, age AS age, ended, gone, at_risk FROM ha)) h
+  ON x.regime = h.state AND x.age <= h.age""", _DUR).replace("SELECT series_id, seq, age, round(", "SELECT x.series_id, x.seq, x.age, round("))
+def duration_features(spark, sf_dir):
+    """Age of every tick's regime with the hazard and the expected remaining time at that age."""
+    rows = f.runs(labelled(spark, sf_dir), KEY, ORDER, "regime")
+    lengths = rows.groupBy(KEY, "run_id").agg(F.first("regime").alias("state"), F.count(F.lit(1)).alias("length"))
+    lengths = lengths.withColumn("closed", F.col("run_id") < F.max("run_id").over(Window.partitionBy(KEY)))
+    out = du.with_duration(rows, du.duration_table(lengths, "state", "length", "closed"), "regime", "run_age")
+    return out.select(KEY, "seq", F.col("run_age").cast("long").alias("age"), rounded("hazard").alias("hazard"), rounded("remaining", 8).alias("remaining"))
+
+
 @query(sql("SELECT regime, count(*) AS n, round(sum(y), 5) AS s, round(sum(y * y), 4) AS ss, round(sum(y - 0.9 * b), 5) AS e, round(sum((y - 0.9 * b) ** 2), 4) AS ee, round(sum(y * b), 4) AS x FROM (SELECT *, lag(y) OVER (PARTITION BY series_id ORDER BY rn) AS b FROM regimes) WHERE b IS NOT NULL GROUP BY regime"))
 def regime_statistics(spark, sf_dir):
     out = du.regime_statistics(labelled(spark, sf_dir), KEY, ORDER, "regime", "y", 0.1)
@@ -246,6 +246,6 @@ def stream_bars(spark, sf_dir):
 def market_scenarios(spark, sf_dir):
     """Ten market scenarios and how well the filter follows each."""
     tape = synthetic.market_scenarios(spark).withColumn("y", f.log_square(F.col("ret")))
-    rows = ordered_fold(tape, "scenario", ["tick"], ["y"], partial(pt.ParticleFilter, n=96, outlier=(0.02, 30.0)), pt.ParticleFilter.OUTPUTS, keep=["true_log_vol"], keyed=True)
+    rows = aligned_fold(tape, "scenario", ["tick"], ["y"], partial(pt.Bank, n=256, outlier=(0.02, 30.0)), pt.Bank.OUTPUTS, keep=["true_log_vol"])
     error = F.col("log_vol") - F.col("true_log_vol")
     return rows.groupBy("scenario").agg(F.count(F.lit(1)).alias("n"), F.round(F.sqrt(F.avg(error * error)), 6).alias("rmse"), F.round(F.max("surprise"), 6).alias("worst_surprise"))
