@@ -101,7 +101,14 @@ def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, [0.1, 0.2], "x")], "t int, p array<double>, m string")
     sinks.write(rows, str(tmp_path / "csv"), "csv")
     back = spark.read.option("header", True).csv(str(tmp_path / "csv")).first()
-    assert back["p_0"] == "0.1" and back["p_1"] == "0.2" and back["p_7"] is None
+    assert back["p_0"] == "0.1" and back["p_1"] == "0.2" and "p_2" not in back
+    longer = spark.createDataFrame([(1, [0.5] * 11), (2, [0.1]), (3, None)], "t int, p array<double>")
+    flat = {r["t"]: r for r in sinks.flatten(longer).collect()}
+    assert flat[1]["p_10"] == 0.5 and flat[2]["p_0"] == 0.1 and flat[2]["p_1"] is None and flat[3]["p_0"] is None and "p_11" not in flat[1]
+    with pytest.raises(Exception, match="more than 8 values"):
+        sinks.flatten(longer, 8).collect()
+    sinks.tuner_table(spark.createDataFrame([(1.0, 0.3), (2.0, 0.1)], "knob double, score double"), str(tmp_path / "tuned"))
+    assert [r["knob"] for r in spark.read.option("header", True).csv(str(tmp_path / "tuned")).collect()] == ["2.0", "1.0"]
     sinks.write(rows, str(tmp_path / "pq"), partition_by=["m"])
     assert spark.read.parquet(str(tmp_path / "pq")).first()["p"] == [0.1, 0.2]
     long = spark.createDataFrame([("rmse", "a", 1.0), ("rmse", "b", 2.0)], "metric string, model string, v double")

@@ -72,3 +72,13 @@ def test_synthetic_series(spark):
     assert a == b
     days = synthetic.stochastic_volatility(spark, 300, 0.01, 0.95)
     assert 0.005 < days.agg(F.stddev("ret")).first()[0] < 0.05
+
+
+def test_return_and_result_files(spark, tmp_path):
+    from tickweave.sources import ticks
+
+    (tmp_path / "r.csv").write_text("date,return\n2020-03-02,0.01\n\n2020-03-03,\n,0.3\n2020-03-04,-0.02\n")
+    assert [(str(r["date"]), r["return"]) for r in ticks.read_returns(spark, str(tmp_path / "r.csv")).orderBy("date").collect()] == [("2020-03-02", 0.01), ("2020-03-04", -0.02)]
+    (tmp_path / "d.csv").write_text("t,vol,event\n1,0.5,x\n\n2,0.25,\n")
+    rows = ticks.read_results(spark, str(tmp_path / "d.csv")).orderBy("t").collect()
+    assert [(r["t"], r["vol"], r["event"]) for r in rows] == [(1, 0.5, "x"), (2, 0.25, None)]

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def duration_table(runs: DataFrame, state: str, length: str, closed: str, most: int = 1999) -> DataFrame:
+def duration_table(runs: DataFrame, state: str, length: str, closed: str) -> DataFrame:
     """state, age, at_risk, hazard, survival, remaining from finished and unfinished runs.
 
-    Ages go to ``most`` (older ones count as that), so the table has at most
-    states x ``most`` rows. Unfinished runs are at risk but don't end.
+    A row for every length that occurs, so the table has at most states x lengths rows.
+    Unfinished runs are at risk but don't end.
     """
-    age = F.least(F.col(length), F.lit(most)).alias("age")
+    age = F.col(length).alias("age")
     ends = runs.groupBy(F.col(state).alias("state"), age).agg(F.sum(F.col(closed).cast("int")).alias("ended"), F.count(F.lit(1)).alias("gone"))
     older = Window.partitionBy("state").orderBy(F.col("age").desc()).rowsBetween(Window.unboundedPreceding, 0)
     younger = Window.partitionBy("state").orderBy("age").rowsBetween(Window.unboundedPreceding, 0)
@@ -24,6 +24,19 @@ def duration_table(runs: DataFrame, state: str, length: str, closed: str, most:
     return rows.select("state", "age", "at_risk", "hazard", "survival", mean_left.alias("remaining"))
 
 
+def with_duration(frame: DataFrame, table: DataFrame, state: str, age: str) -> DataFrame:
+    """Ticks with hazard, survival and expected remaining time of their regime at their age, a row per row.
+
+    Ages at which no run has ended take the next longer one that the table has: the table
+    is spread over the ages in between, in ranges, and joined by equality.
+    """
+    before = F.coalesce(F.lag("age").over(Window.partitionBy("state").orderBy("age")), F.lit(0))
+    spans = table.select("state", (before + 1).alias("from"), "age", "hazard", "survival", "remaining")
+    wide = spans.select(F.col("state").alias("__state"), F.explode(F.sequence("from", "age")).alias("__age"), "hazard", "survival", "remaining")
+    rows = frame.join(wide, (F.col(state) == F.col("__state")) & (F.col(age) == F.col("__age")), "left")
+    return rows.drop("__state", "__age")
+
+
 def regime_statistics(frame: DataFrame, key, order, state: str, level: str, speed: float) -> DataFrame:
     """Sufficient statistics of a regime-switching autoregression: n, sums of levels and of innovations, cross moments."""
     from tickweave.operators.features import by

@@ -220,16 +220,17 @@ def event_labels(spark, sf_dir):
     return rg.label_ranges(_days(spark, sf_dir), ranges, "day").select(KEY, "seq", "label")
 
 
-#: phase, first and last tick.
-PHASES = [("calm", 1, 15), ("ramp", 16, 30), ("crisis", 31, 40), ("recovery", 41, 60), ("tail", 61, 100000)]
-_PHASE_SQL = "ph AS (" + " UNION ALL ".join(f"SELECT '{n}' AS phase, {a} AS s, {b} AS e" for n, a, b in PHASES) + ")"
+#: phase, first and last tick; the last one has no end.
+PHASES = [("calm", 1, 15), ("ramp", 16, 30), ("crisis", 31, 40), ("recovery", 41, 60), ("tail", 61, (1 << 62) - 1)]
+_PHASE_SQL = "ph AS (" + " UNION ALL ".join(f"SELECT '{n}' AS phase, {a}::BIGINT AS s, {b}::BIGINT AS e" for n, a, b in PHASES) + ")"
 
 
 @query(sql("SELECT phase, count(*) AS n, round(avg(y), 7) AS mean_y, round(stddev_samp(ret), 9) AS vol FROM regimes JOIN ph ON rn BETWEEN s AND e GROUP BY phase", _PHASE_SQL))
 def phase_join(spark, sf_dir):
-    ranges = spark.createDataFrame([(n, a, b, 0) for n, a, b in PHASES], "label string, start int, end int, priority int")
+    ranges = spark.createDataFrame([(n, a, b, 0) for n, a, b in PHASES], "label string, start long, end long, priority int")
     rows = labelled(spark, sf_dir).withColumn("rn", F.row_number().over(f.by(KEY, ORDER)))
-    rows = rg.label_ranges(rows, ranges, "rn", out="phase").where("phase is not null")
+    longest = s.returns(spark, sf_dir).groupBy(KEY).count().agg(F.max("count")).first()[0] or 1
+    rows = rg.label_ranges(rows, ranges, "rn", out="phase", last=longest).where("phase is not null")
     return rows.groupBy("phase").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("y"), 7).alias("mean_y"), rounded(F.stddev_samp("ret")).alias("vol"))
 
 
@@ -387,3 +388,52 @@ def lse_norm(spark, sf_dir):
     return rows.join(norm, KEY).select(KEY, "seq", rounded(F.exp(F.col("lw") - F.col("log_sum")), 10).alias("w"))
 
 
+
+
+def _garch_path(frame, fitted):
+    """One-step deviations of each series' own fitted model, as of the tick before."""
+    rows = frame.join(fitted.select(KEY, "omega", "alpha", "beta", "mean"), KEY, "left")
+    return ordered_fold(rows, KEY, ORDER, ["ret", "omega", "alpha", "beta", "mean"], GarchPath, GarchPath.OUTPUTS, keep=["truth", *MODELS])
+
+
+class GarchPath:
+    """Deviation that a GARCH(1, 1) expects, before a tick is seen; null without parameters."""
+
+    OUTPUTS = "garch double"
+
+    def __init__(self):
+        self.v = None
+
+    def step(self, r, omega, alpha, beta, mean):
+        if omega is None:
+            return (None,)
+        if self.v is None:
+            self.v = omega / max(1 - alpha - beta, 1e-6)
+        out, self.v = math.sqrt(self.v), omega + alpha * (r - mean) ** 2 + beta * self.v
+        return (out,)
+
+
+def compare_models(frame, models, keys=()):
+    """Losses of any forecast columns against ``truth``, a row per model (and ``keys``); users add a model by adding its column."""
+    long = frame.select(*keys, "truth", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("forecast")) for m in models])).alias("m")).select(*keys, "truth", "m.model", "m.forecast")
+    return rp.losses(long, [*keys, "model"], "truth", "forecast")
+
+
+@query()
+def model_compare_garch(spark, sf_dir):
+    """All forecasts with each series' own GARCH(1, 1) among them (fitted in sample)."""
+    from tickweave.operators import samplers as sm
+    from tickweave.operators.fold import ordered_reduce
+    from tickweave.runtime import Scratch
+
+    rows = forecasts(spark, sf_dir)
+    fitted = ordered_reduce(s.returns(spark, sf_dir), KEY, ORDER, ["ret"], sm.Garch, sm.Garch.OUTPUTS, keyed=True)
+    fitted = Scratch(spark, "garch").write(fitted, "fitted")
+    return _rounded_losses(compare_models(_garch_path(rows, fitted), [*MODELS, "garch"]), "model")
+
+
+@query(sql("""SELECT series_id, seq, rn - max(CASE WHEN changed THEN rn END) OVER (PARTITION BY series_id ORDER BY rn) + 1 >= 10 AS stable FROM (
+  SELECT *, coalesce(regime <> lag(regime) OVER (PARTITION BY series_id ORDER BY rn), true) AS changed FROM regimes)"""))
+def regime_stable(spark, sf_dir):
+    """Whether a regime has lasted for ten ticks."""
+    return f.runs(labelled(spark, sf_dir), KEY, ORDER, "regime").select(KEY, "seq", (F.col("run_age") >= 10).alias("stable"))

@@ -73,6 +73,17 @@ def read_tick_files(spark: SparkSession, path: str, bad: float = BAD_RETURN) ->
     return rows.where(F.abs("return") < bad)
 
 
+def read_returns(spark: SparkSession, path: str) -> DataFrame:
+    """Header CSV files ``date,return``; lines without both are dropped."""
+    rows = spark.read.schema("date date, `return` double").option("header", True).option("mode", "PERMISSIVE").csv(path)
+    return rows.where("date is not null and `return` is not null")
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """Diagnostic CSV files that carry a header, of any columns; their types come from the values, empty lines are skipped."""
+    return spark.read.option("header", True).option("inferSchema", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+
+
 def align(series: dict[str, DataFrame], on: str = "ts", price: str = "close") -> DataFrame:
     """Prices of several series as columns, only where all have one."""
     out = None
