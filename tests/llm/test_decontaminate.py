@@ -1,6 +1,8 @@
 import random
 from itertools import combinations
 
+import pytest
+
 from tickweave.llm import decontaminate as d
 
 
@@ -50,12 +52,22 @@ def case(seed):
     return list(enumerate(docs)), [(k, " ".join(x)) for k, x in enumerate(items)] + [(90, None), (91, "")]
 
 
-def test_equals_brute_force(spark, make, monkeypatch):
-    for seed, block in ((1, 400_000), (2, 30)):  # also with many blocks
-        monkeypatch.setattr(d, "BLOCK_WORDS", block)
-        docs, items = case(seed)
-        out = d.decontaminate(make(docs), spark.createDataFrame(items, "item_id long, text string")).collect()
-        assert {r["row"]["doc_id"]: (r["contaminated"], r["n_items"], r["item_id"]) for r in out} == plain(docs, items)
+@pytest.mark.parametrize("seed, words, bits", [(1, 400_000, 1 << 27), (2, 30, 1 << 27), (3, 30, 1 << 6)])
+def test_equals_brute_force(spark, make, monkeypatch, seed, words, bits):
+    """Seeds that are broadcast, and those that pass a filter, also one that is nearly full."""
+    monkeypatch.setattr(d, "BROADCAST_WORDS", words)
+    monkeypatch.setattr(d, "FILTER_BITS", bits)
+    docs, items = case(seed)
+    out = d.decontaminate(make(docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["row"]["doc_id"]: (r["contaminated"], r["n_items"], r["item_id"]) for r in out} == plain(docs, items)
+
+
+@pytest.mark.parametrize("words", [400_000, 1])
+def test_rows_without_ids_and_shared_ids(spark, monkeypatch, words):
+    monkeypatch.setattr(d, "BROADCAST_WORDS", words)
+    docs = spark.createDataFrame([(None, "so one two three four five six it goes"), (None, "clean"), (4, "one two three four five six"), (4, "other"), (5, None)], "doc_id long, text string")
+    found = d.overlaps(docs, spark.createDataFrame([(1, "One, two; three four five SIX")], "item_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["item_id"], r["matched"]) for r in found) == [("4", 1, 6), ("None", 1, 6)]
 
 
 def test_odd_rows(spark, odd, none):
@@ -67,7 +79,9 @@ def test_odd_rows(spark, odd, none):
     assert not any(r["contaminated"] for r in d.decontaminate(odd, items.limit(0)).collect())
 
 
-def test_main_path_has_no_python(spark, make):
+@pytest.mark.parametrize("words", [400_000, 1])
+def test_main_path_has_no_python(spark, make, monkeypatch, words):
+    monkeypatch.setattr(d, "BROADCAST_WORDS", words)
     docs, items = case(1)
     plan = d.decontaminate(make(docs), spark.createDataFrame(items, "item_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan.replace("PythonRDD", "") and "Arrow" not in plan.replace("applySchemaToPythonRDD", "")

@@ -11,8 +11,6 @@ are chosen so that every such overlap has a hit: no overlap is lost.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +22,10 @@ MASKS = ((0, 1, 2, 3, 4, 6), (0, 1, 3, 4, 5, 6), (0, 2, 3, 5, 6, 7))
 SHORT = (0, 1, 2, 3, 4)
 SHORTEST = 5
 WINDOW, MISSES = 16, 3
-#: Words of benchmark items that are joined at a time; their seeds are broadcast (24 bytes each).
-BLOCK_WORDS = 400_000
+#: Words of all benchmark items up to which their seeds are broadcast (24 bytes each).
+BROADCAST_WORDS = 400_000
+#: Bits of the filter that documents pass in a larger benchmark: eight a seed, up to this many (48 MB as a broadcast table).
+FILTER_BITS = 1 << 27
 #: What separates words, as Java's and DuckDB's regular expressions write it.
 SEPARATOR = r"[^\p{L}\p{N}]+"
 
@@ -52,35 +52,65 @@ def _allowed(words: Column) -> Column:
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text") -> DataFrame:
     """doc_id, item_id, matched (most equal words in a window), window: pairs of document and leaked item.
 
-    Items of fewer than SHORTEST words, or without text, can't leak. The seeds of
-    the benchmark are joined in blocks of bounded size, each by broadcast, so
-    that documents aren't shuffled and a benchmark of any size can be used.
+    Items of fewer than SHORTEST words, or without text, can't leak. Null and empty texts
+    contain nothing; rows with the same id share their result, null ids too. Other
+    columns, whatever their names, aren't read. Documents are read once, or, with a
+    benchmark of more than BROADCAST_WORDS words, once for the seeds and once, where they
+    had hits, for the verification; whole texts are never shuffled.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text_col)).alias("item"))
     items = items.withColumn("n", F.size("item")).where(F.col("n") >= SHORTEST)
     measured = items.agg(F.sum("n").alias("words"), F.min("n").alias("least")).first()
+    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if not measured["words"]:
-        return docs.select(F.col(id_col).alias("doc_id")).join(items.select("item_id"), F.lit(False)).select("doc_id", "item_id", F.lit(0).alias("matched"), F.lit(0).alias("window"))
+        return text.select("doc_id").join(items.select("item_id"), F.lit(False)).select("doc_id", "item_id", F.lit(0).alias("matched"), F.lit(0).alias("window"))
     masks = (*MASKS, SHORT) if measured["least"] < 7 else MASKS
-    blocks = -(-measured["words"] // BLOCK_WORDS)
-    text = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
-    places = text.select("doc_id", "words", F.posexplode("words").alias("at", "word"))
-    places = places.select("doc_id", "words", "at", F.explode(F.array(*[_seed(F.col("words"), F.col("at"), i, m) for i, m in enumerate(masks)])).alias("seed")).where("seed is not null")
-    found = [_block(places, items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items, masks) for b in range(blocks)]
-    rows = reduce(DataFrame.union, found)
-    return rows.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("window").alias("window"))
-
-
-def _block(places: DataFrame, items: DataFrame, masks) -> DataFrame:
     spots = items.select("item_id", "item", "n", F.posexplode("item").alias("spot", "word"))
     each = [F.when(F.col("n") < 7 if m == SHORT else F.lit(True), _seed(F.col("item"), F.col("spot"), i, m)) for i, m in enumerate(masks)]
     seeds = spots.select("item_id", "spot", F.posexplode(F.array(*each)).alias("mask", "seed")).where("seed is not null")
-    hits = places.join(F.broadcast(seeds), "seed").join(F.broadcast(items), "item_id")
-    # Of a run of hits along one alignment only the first goes on.
-    offsets = F.element_at(F.array(*[F.array(*[F.lit(o) for o in m]) for m in masks]), F.col("mask") + 1)
-    before = F.forall(offsets, lambda o: F.get("words", F.col("at") - 1 + o) == F.get("item", F.col("spot") - 1 + o))
-    hits = hits.where((F.col("at") == 0) | (F.col("spot") == 0) | ~before)
-    same = F.transform("item", lambda w, j: F.coalesce((F.get("words", F.col("at") - F.col("spot") + j) == w).cast("int"), F.lit(0)))
+    if measured["words"] <= BROADCAST_WORDS:
+        places = _places(text.select("doc_id", words_of(F.col("text")).alias("words")), ["doc_id", "words"], masks)
+        hits = places.join(F.broadcast(seeds), "seed").join(F.broadcast(items), "item_id")
+        # Of a run of hits along one alignment only the first goes on.
+        offsets = F.element_at(F.array(*[F.array(*[F.lit(o) for o in m]) for m in masks]), F.col("mask") + 1)
+        before = F.forall(offsets, lambda o: F.get("words", F.col("at") - 1 + o) == F.get("item", F.col("spot") - 1 + o))
+        hits = hits.where((F.col("at") == 0) | (F.col("spot") == 0) | ~before).withColumn("shift", F.col("at") - F.col("spot"))
+    else:
+        hits = _filtered_hits(text, items, seeds, masks, measured["words"] * len(masks))
+    return _verified(hits).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("window").alias("window"))
+
+
+def _places(rows: DataFrame, kept: list[str], masks) -> DataFrame:
+    """The columns ``kept``, and at and seed of every position of ``words`` and mask."""
+    rows = rows.select(*dict.fromkeys([*kept, "words"]), F.posexplode("words").alias("at", "word"))
+    return rows.select(*kept, "at", F.explode(F.array(*[_seed(F.col("words"), F.col("at"), i, m) for i, m in enumerate(masks)])).alias("seed")).where("seed is not null")
+
+
+def _filtered_hits(text: DataFrame, items: DataFrame, seeds: DataFrame, masks, count: int) -> DataFrame:
+    """doc_id, words, item_id, item, n, shift for a benchmark of any size.
+
+    A table of 64-bit words of a bit filter, of bounded size, is broadcast. Seeds of
+    documents that pass it are shuffled, without texts, to those of the benchmark;
+    alignments with hits are joined back to the documents by id and hash of the text,
+    and rows that share both are the same document.
+    """
+    bits = min(FILTER_BITS, max(1 << 10, 1 << (8 * count - 1).bit_length()))
+    slot = F.pmod(F.col("seed"), F.lit(bits))
+    bit = F.expr("shiftleft(1L, cast(pmod(seed, 64) as int))")
+    table_ = seeds.select(F.shiftright(slot, 6).alias("cell"), bit.alias("bit"))
+    table_ = table_.groupBy("cell").agg(F.bit_or("bit").alias("bits"))
+    keyed = text.select("doc_id", F.xxhash64("text").alias("body"), words_of(F.col("text")).alias("words"))
+    places = _places(keyed, ["doc_id", "body"], masks)
+    places = places.withColumn("cell", F.shiftright(slot, 6)).join(F.broadcast(table_), "cell")
+    places = places.where(F.col("bits").bitwiseAND(bit) != 0).select("doc_id", "body", "at", "seed")
+    found = places.join(seeds, "seed").select(F.col("doc_id").alias("d"), F.col("body").alias("b"), "item_id", (F.col("at") - F.col("spot")).alias("shift")).distinct()
+    back = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("body") == F.col("b")))
+    return back.select("doc_id", "words", "item_id", "shift").join(items, "item_id")
+
+
+def _verified(hits: DataFrame) -> DataFrame:
+    """Alignments (shift) of document and item that agree in a window, word by word."""
+    same = F.transform("item", lambda w, j: F.coalesce((F.get("words", F.col("shift") + j) == w).cast("int"), F.lit(0)))
     window = F.least("n", F.lit(WINDOW))
     sums = F.transform(F.sequence(F.lit(1), F.col("n") - window + 1), lambda s: F.aggregate(F.slice("same", s, window), F.lit(0), lambda a, x: a + x))
     best = hits.select("doc_id", "item_id", "n", window.alias("window"), same.alias("same")).select("doc_id", "item_id", "n", "window", F.array_max(sums).alias("matched"))
