@@ -48,6 +48,27 @@ def test_chain_sees_the_first_ticks():
     assert np.concatenate(parts).tolist() == y.tolist() and max(map(len, parts)) <= 512
 
 
+def test_likelihoods_of_many_chains_are_those_of_each():
+    rng = np.random.default_rng(8)
+    series = [np.log((np.exp(-4.5) * rng.standard_normal(n)) ** 2) for n in (600, 300, 256, 12, 257)]
+    run = lambda which: sm.bootstrap_logliks([series[i] for i in which], [0.9] * len(which), [-4.5] * len(which), [0.2] * len(which), 500, [np.random.default_rng(i) for i in which])
+    together, alone = run(range(5)), [run([i])[0] for i in range(5)]
+    assert together == pytest.approx(alone, abs=1e-6)
+
+    def plain(y, n=3000):
+        draw, total, h = np.random.default_rng(1), 0.0, None
+        for obs in y:
+            h = -4.5 + 0.2 / np.sqrt(1 - 0.81) * draw.standard_normal(n) if h is None else -4.5 + 0.9 * (h + 4.5) + 0.2 * draw.standard_normal(n)
+            w = np.exp(0.5 * (obs - 2 * h) - 0.5 * np.exp(obs - 2 * h)) / np.sqrt(2 * np.pi)
+            total, h = total + np.log(w.mean()), draw.choice(h, n, p=w / w.sum())
+        return total
+
+    assert together == pytest.approx([plain(y) for y in series], abs=2.5)
+    keys = [(i,) for i in range(5)]
+    rows = sm.PmmhBank(2, particles=32, steps=6, burn=2).run(keys, series)
+    assert [r for r in rows if r[0] == 2] == [(2, r) for _, r in sm.PmmhBank(2, particles=32, steps=6, burn=2).run([keys[2]], [series[2]])]
+
+
 def test_consecutive_windows_cover_every_tick(spark):
     y = np.random.default_rng(5).normal(-9, 1.5, 250)
     frame = spark.createDataFrame([("a", t, float(v)) for t, v in enumerate(y)], "s string, t long, y double")

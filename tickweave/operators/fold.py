@@ -118,6 +118,48 @@ def ordered_reduce(frame: DataFrame, key: str | Sequence[str], order: Sequence[s
     return rows.mapInArrow(run, schema)
 
 
+def blocked_reduce(frame: DataFrame, key: str | Sequence[str], order: Sequence[str], value: str, kernel: Callable[[], object], outputs: str, width: int = WIDTH) -> DataFrame:
+    """Key and the rows that a kernel's ``run`` returns for the series of a block: their keys and their values in order.
+
+    Blocks hold about ``width`` series, dealt by a hash of the key; long series are spooled
+    to a temporary file of the worker, so memory doesn't grow with their length. Null
+    values are left out.
+    """
+    from tickweave.operators.spool import Spool
+
+    ship_package(frame.sparkSession)
+    keys = [key] if isinstance(key, str) else list(key)
+    schema, parts = schema_of(frame, keys, outputs), int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = frame.where(F.col(value).isNotNull()).select(*dict.fromkeys([*keys, *order, value]), F.xxhash64(*keys).alias("__series"))
+    blocks = max(parts, -(-rows.agg(F.approx_count_distinct("__series")).first()[0] // width))
+    rows = rows.withColumn("__block", F.pmod(F.hash("__series"), F.lit(blocks))).repartition(parts, "__block").sortWithinPartitions("__block", *keys, *order)
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        types = [to_arrow_type(f.dataType) for f in schema.fields]
+        block, names, series = None, [], []
+
+        def finished():
+            out = [(*names[i], *row) for i, row in kernel().run(names, series)] if names else []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], schema.names)
+
+        for batch in batches:
+            ids = zip(*(batch.column(k).to_pylist() for k in keys))
+            for where, now, x in zip(batch.column("__block").to_pylist(), ids, batch.column(value).to_pylist()):
+                if where != block:
+                    yield from finished()
+                    block, names, series = where, [], []
+                if not names or names[-1] != now:
+                    names.append(now)
+                    series.append(Spool())
+                series[-1].append(x)
+        yield from finished()
+
+    return rows.mapInArrow(run, schema)
+
+
 def _arrow(x: np.ndarray, kind: pa.DataType) -> pa.Array:
     """An output of a bank: numbers, or a row of numbers for each series."""
     if x.ndim == 2:

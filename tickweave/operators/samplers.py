@@ -80,68 +80,107 @@ def _blocks(y, size: int = 512):
             yield part[at : at + size]
 
 
-def bootstrap_loglik(y, phi, mu, sigma, n, rng) -> float:
-    """Particle estimate of the likelihood of an AR(1) log-volatility, with the exact density of a log-square return."""
-    h = mu + sigma / math.sqrt(max(1 - phi * phi, 1e-4)) * rng.standard_normal(n)
-    total, first = 0.0, True
-    for part in _blocks(y):
-        noise, points = sigma * rng.standard_normal((len(part), n)) + mu * (1 - phi), (rng.random(len(part))[:, None] + np.arange(n)) / n
-        for t, obs in enumerate(part):
-            if not first:
-                h = phi * h + noise[t]
-            first = False
-            d = obs - 2 * h
-            lw = 0.5 * (d - np.exp(np.minimum(d, 50.0)))
-            top = lw.max()
-            w = np.exp(lw - top)
-            edges = w.cumsum()
-            total += top + math.log(edges[-1] / n)
-            h = h[np.minimum(edges.searchsorted(points[t] * edges[-1]), n - 1)]
-    return total - 0.5 * len(y) * math.log(2 * math.pi)
+def bootstrap_logliks(series, phi, mu, sigma, n, rngs) -> np.ndarray:
+    """Particle estimates of the likelihoods of AR(1) log-volatilities, with the exact density of a log-square return.
 
+    A row per chain: its observations (spool or array), parameters and generator. Chains
+    are stepped together, longer ones go on alone; a chain draws the same numbers whatever
+    it is stepped with.
+    """
+    order = np.argsort([-len(y) for y in series], kind="stable")
+    phi, mu, sigma = (np.asarray(x, np.float32)[order, None] for x in (phi, mu, sigma))
+    rngs, sizes = [rngs[i] for i in order], np.array([len(series[i]) for i in order])
+    start = np.stack([r.standard_normal(n, dtype=np.float32) for r in rngs])
+    h = mu + sigma / np.sqrt(np.maximum(1 - phi * phi, 1e-4)) * start
+    total, parts, at = np.zeros(len(order)), [_blocks(series[i], 256) for i in order], 0
+    while (live := int((sizes > at).sum())) and live:
+        chunk = [next(p) for p in parts[:live]]
+        size = len(chunk[0])
+        noise, points, y = np.zeros((size, live, n), np.float32), np.zeros((size, live, 1), np.float32), np.zeros((size, live, 1), np.float32)
+        for j, (r, c) in enumerate(zip(rngs, chunk)):
+            noise[: len(c), j] = r.standard_normal((len(c), n), dtype=np.float32)
+            points[: len(c), j, 0], y[: len(c), j, 0] = r.random(len(c), dtype=np.float32), c
+        noise *= sigma[:live]
+        noise += (1 - phi[:live]) * mu[:live]
+        for t in range(size):
+            m = live - int(np.searchsorted(sizes[live - 1 :: -1], at + t, "right"))  # chains that have this tick
+            if at + t:
+                h[:m] *= phi[:m]
+                h[:m] += noise[t, :m]
+            d = y[t, :m] - 2 * h[:m]
+            lw = np.minimum(d, np.float32(50.0))
+            np.exp(lw, out=lw)
+            np.subtract(d, lw, out=lw)
+            lw *= np.float32(0.5)
+            top = lw.max(1, keepdims=True)
+            lw -= top
+            edges = np.cumsum(np.exp(lw, out=lw), axis=1)
+            total[:m] += top[:, 0] + np.log(edges[:, -1] / n)
+            edges *= n / edges[:, -1:]
+            edges -= points[t, :m]
+            before = np.ceil(edges, out=edges).astype(np.int32)
+            np.clip(before, 0, n, out=before)
+            before[:, -1] = n
+            counts = before.copy()
+            counts[:, 1:] -= before[:, :-1]
+            h[:m] = np.repeat(h[:m].reshape(-1), counts.reshape(-1)).reshape(m, n)
+        at += size
+    out = np.empty(len(order))
+    out[order] = total - 0.5 * sizes * math.log(2 * math.pi)
+    return out
 
-class Pmmh(Windowed):
-    """One chain of particle marginal Metropolis-Hastings for (mu, sigma, phi) with an adapted random walk.
 
-    Without a window it runs on the whole series, read again at every step.
-    """
+class PmmhBank:
+    """Chains of particle marginal Metropolis-Hastings for (mu, sigma, phi) of many series at once; a reducer of blocks."""
 
-    OUTPUTS = "mu double, sigma double, phi double, mu_sd double, sigma_sd double, acceptance double, loglik double, ticks long"
+    OUTPUTS = "chain int, mu double, sigma double, phi double, mu_sd double, sigma_sd double, acceptance double, loglik double, ticks long"
 
-    def __init__(self, key=(), seed=1, window=None, particles=256, steps=300, burn=100):
-        super().__init__(key, seed, window)
-        if window is None:
-            self.ring = Spool()
-        self.particles, self.steps, self.burn = particles, steps, burn
+    def __init__(self, chains=2, seed=1, particles=256, steps=300, burn=100, least=10):
+        self.chains, self.seed, self.particles, self.steps, self.burn, self.least = chains, seed, particles, steps, burn, least
 
     @staticmethod
-    def log_prior(x) -> float:
-        mu, log_sigma, z = x
+    def log_prior(x) -> np.ndarray:
+        mu, log_sigma, z = x.T
         return -0.5 * ((mu + 4.5) / 1.5) ** 2 - 0.5 * ((log_sigma + 1.6) / 0.7) ** 2 - 0.5 * ((z - 2.0) / 0.8) ** 2
 
-    def finish(self):
-        y = self.ring if isinstance(self.ring, Spool) else self.y
-        if len(y) < 10:
+    def run(self, keys, series) -> list[tuple[int, tuple]]:
+        """(place of the key, output row) of every chain of every series with enough ticks."""
+        jobs = [(i, c) for i, y in enumerate(series) if len(y) >= self.least for c in range(self.chains)]
+        if not jobs:
             return []
-        natural = lambda x: (math.tanh(x[2] / 2), x[0], math.exp(x[1]))
-        now = np.array([(y.mean() + 1.27) / 2, math.log(0.2), 2.0])
-        scale, value = np.array([0.2, 0.3, 0.4]), None
-        value = bootstrap_loglik(y, *natural(now), self.particles, self.rng) + self.log_prior(now)
-        kept, accepted, widen = [], 0, 1.0
+        ys, rngs = [series[i] for i, _ in jobs], [generator(self.seed, (*keys[i], c)) for i, c in jobs]
+        value_of = lambda x: bootstrap_logliks(ys, np.tanh(x[:, 2] / 2), x[:, 0], np.exp(x[:, 1]), self.particles, rngs) + self.log_prior(x)
+        now = np.array([[(y.mean() + 1.27) / 2, math.log(0.2), 2.0] for y in ys])
+        value, widen, accepted, kept = value_of(now), np.ones(len(jobs)), np.zeros(len(jobs)), []
         for i in range(self.steps):
-            new = now + widen * scale * self.rng.standard_normal(3)
-            other = bootstrap_loglik(y, *natural(new), self.particles, self.rng) + self.log_prior(new)
-            ok = math.log(self.rng.random()) < other - value
-            if ok:
-                now, value = new, other
+            new = now + widen[:, None] * np.array([0.2, 0.3, 0.4]) * np.stack([r.standard_normal(3) for r in rngs])
+            other = value_of(new)
+            ok = np.log([r.random() for r in rngs]) < other - value
+            now, value = np.where(ok[:, None], new, now), np.where(ok, other, value)
             accepted += ok
             if i < self.burn:
-                widen *= math.exp((ok - 0.25) / math.sqrt(i + 1))
+                widen *= np.exp((ok - 0.25) / math.sqrt(i + 1))
             else:
-                phi, mu, sigma = natural(now)
-                kept.append((mu, sigma, phi))
+                kept.append(np.column_stack([now[:, 0], np.exp(now[:, 1]), np.tanh(now[:, 2] / 2)]))
         k = np.array(kept)
-        return [(*map(float, k.mean(0)), float(k[:, 0].std()), float(k[:, 1].std()), accepted / self.steps, float(value), self.pushed)]
+        mean, sd = k.mean(0), k.std(0)
+        return [(i, (c, *map(float, mean[j]), float(sd[j, 0]), float(sd[j, 1]), float(accepted[j] / self.steps), float(value[j]), len(ys[j]))) for j, (i, c) in enumerate(jobs)]
+
+
+class Pmmh(Windowed):
+    """One chain of ``PmmhBank``; without a window it runs on the whole series, read again at every step."""
+
+    OUTPUTS = PmmhBank.OUTPUTS.removeprefix("chain int, ")
+
+    def __init__(self, key=(), seed=1, window=None, particles=256, steps=300, burn=100):
+        super().__init__(key, seed, window)
+        if window is None:
+            self.ring = Spool()
+        self.key, self.bank = key, PmmhBank(1, seed, particles, steps, burn)
+
+    def finish(self):
+        found = self.bank.run([self.key], [self.ring if isinstance(self.ring, Spool) else self.y])
+        return [(*row[1:-1], self.pushed) for _, row in found]
 
 
 class _Path:

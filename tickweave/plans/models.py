@@ -13,7 +13,7 @@ from tickweave.operators import kernels as k
 from tickweave.operators import particles as pt
 from tickweave.operators import reports as rp
 from tickweave.operators import samplers as sm
-from tickweave.operators.fold import aligned_fold, ordered_fold, ordered_reduce
+from tickweave.operators.fold import aligned_fold, blocked_reduce, ordered_fold, ordered_reduce
 from tickweave.plans.folds import KEY, ORDER, labelled
 from tickweave.plans.registry import ORACLES, query, rounded
 from tickweave.plans.reports import _FC, long_forecasts
@@ -110,7 +110,7 @@ def _windows(rows, sampler, window=sm.WINDOW, **options):
 
 @query()
 def pmmh_chains(spark, sf_dir):
-    rows = ordered_reduce(_chains(spark, sf_dir, 2), [KEY, "chain"], ORDER, ["y"], partial(sm.Pmmh, particles=256, steps=300, burn=100), sm.Pmmh.OUTPUTS, keyed=True)
+    rows = blocked_reduce(labelled(spark, sf_dir), KEY, ORDER, "y", partial(sm.PmmhBank, chains=2, particles=256, steps=300, burn=100), sm.PmmhBank.OUTPUTS, width=16)
     names = ["mu", "sigma", "phi", "acceptance", "loglik"]
     return rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("chains"), *[F.round(F.avg(n), 6).alias(n) for n in names], F.round(F.stddev_pop("mu"), 6).alias("between_sd"))
 
