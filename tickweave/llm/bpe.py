@@ -1,7 +1,7 @@
 """Byte-level BPE by backtracking over longest matches.
 
 Bytes are mapped to Latin-1 characters so that an Aho-Corasick automaton over
-strings finds every vocabulary entry in one pass. From the longest match at each
+strings finds every vocabulary entry that begins at a position. From the longest match at each
 position the encoder goes forward as long as neighbouring tokens are compatible,
 that is, as the merges of their joined bytes give just these two tokens; else it
 tries the next shorter entry and, when none is left, steps back. A position that
@@ -169,8 +169,10 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
     ``path`` is a rank file that every worker can read (part of the installed
     vocabulary package). A null text counts as empty and gives no ids; ids may be
-    null or repeated; empty tables give no rows. No row is shuffled; a task holds
-    a batch of input and a few MB of output at a time.
+    null or repeated; empty tables give no rows. Texts of any length are encoded whole;
+    very long ones in parts that end where no match can go on. Other columns, whatever
+    their names, aren't read. No row is shuffled; a task holds a batch of input and a few
+    MB of output at a time.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -69,24 +69,27 @@ def place(key: Column, tree: Node) -> Column:
 
 #: Blocks that the rows of a shard are numbered by; a shard's offsets are one row each.
 BLOCKS = 512
+#: Offsets (24 bytes each) up to which their table is broadcast.
+BROADCAST_OFFSETS = 500_000
 
 
-def number_within(rows: DataFrame, group: str, order: list[str], blocks: int = BLOCKS) -> DataFrame:
+def number_within(rows: DataFrame, group: str, order: list[str], blocks: int = BLOCKS, groups: int | None = None) -> DataFrame:
     """Add ``slot``: numbers from 0, without gaps, within each value of ``group``.
 
     No task gets a whole group: rows are numbered within hashed blocks, to which
     the counts of the blocks before are added (groups x ``blocks`` rows, at most
-    65,536 blocks). Identical rows get different slots.
+    65,536 blocks). Identical rows get different slots. The offsets are broadcast if
+    ``groups``, the number of groups, is given and small.
     """
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order]
     block = F.conv(F.substring(F.md5(F.concat_ws("/", *parts)), 1, 4), 16, 10).cast("int") % F.lit(blocks)
     rows = rows.withColumn("__block", block)
     counts = rows.groupBy(group, "__block").agg(F.count(F.lit(1)).alias("__n"))
-    packed = counts.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("__block", "__n"))).alias("__all"))
-    before = F.aggregate(F.filter("__all", lambda x: x["__block"] < F.col("__one.__block")), F.lit(0).cast("long"), lambda a, x: a + x["__n"])
-    offsets = packed.select(group, "__all", F.explode("__all").alias("__one")).select(group, F.col("__one.__block").alias("__block"), before.alias("__before"))
+    before = F.expr(f"coalesce(sum(__n) OVER (PARTITION BY `{group}` ORDER BY __block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)")
+    offsets = counts.select(group, "__block", before.alias("__before"))  # at most groups x blocks rows
     ranked = rows.withColumn("__rank", F.expr(f"row_number() OVER (PARTITION BY `{group}`, __block ORDER BY {', '.join(f'`{c}`' for c in order)})"))
-    return ranked.join(F.broadcast(offsets), [group, "__block"]).withColumn("slot", F.col("__rank") - 1 + F.col("__before")).drop("__block", "__rank", "__before")
+    few = groups is not None and groups * blocks <= BROADCAST_OFFSETS
+    return ranked.join(F.broadcast(offsets) if few else offsets, [group, "__block"]).withColumn("slot", F.col("__rank") - 1 + F.col("__before")).drop("__block", "__rank", "__before")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,7 +99,9 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     shard, slot (gapless in a shard) and grown_shard (with one more shard).
     Nulls: a null text has size 1 and the checksum of no bytes; a null id is
     placed like an empty one. Rows with the same id go to the same shard; their
-    slots follow checksum and size. Empty tables give no rows.
+    slots follow checksum and size; repeated rows have slots of their own. Whole texts of
+    any length are read, by one pass in the JVM. Other columns, whatever their names,
+    aren't read. Empty tables give no rows.
     """
     body = F.coalesce(F.col(text_col), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
@@ -104,7 +109,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
         F.col(id_col).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).cast("long").alias("text_crc32"),
         F.lit("key").alias("law"), place(key, standard_tree(shards)).cast("int").alias("shard"), place(key, standard_tree(shards + 1)).cast("int").alias("grown_shard"),
     )
-    return number_within(rows, "shard", ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return number_within(rows, "shard", ["doc_id", "text_crc32", "size"], groups=shards).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:
