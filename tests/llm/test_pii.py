@@ -44,6 +44,12 @@ def test_long_runs():
         assert base(text) == plain(text)
 
 
+def test_repeated_rows_have_equal_spans(odd):
+    rows = pii.find_spans(odd).collect()
+    twice = [r["spans"] for r in rows if r["row"]["doc_id"] == 3]
+    assert len(rows) == odd.count() and len(twice) == 2 and twice[0] == twice[1]
+
+
 def test_odd_rows(odd, none):
     rows = {r["row"]["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.find_spans(odd).collect()}
     assert rows[0] == rows[1] == [] and rows[6] == [("ip", 2, 9), ("email", 10, 16)]

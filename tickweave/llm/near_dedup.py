@@ -297,8 +297,9 @@ def near_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     Ids are long. Null or empty texts have no shingles and are linked with
     nothing. A row with a null id is linked only to rows with an id and an equal
     set, and then not kept; else it has a null component and is kept. Rows with the same id
-    are taken as one document when their sets are linked. Whole texts of any
-    length are read. Empty tables give no rows.
+    are taken as one document when their sets are linked; repeated rows are kept or dropped alike.
+    Whole texts of any length are read. Other columns, whatever their names, aren't read.
+    Empty tables give no rows.
     """
     spark = docs.sparkSession
     ship_package(spark)
