@@ -30,7 +30,7 @@ class Settings:
     bits: int = 22
     alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 5.0
+    l1: float = 10.0
     l2: float = 1.0
     epochs: int = 5
     sample: int = 12_000
