@@ -91,11 +91,12 @@ def _collapse(m, v, y, extra):
     half = (2 * v).astype(np.float32)
     np.divide(half, s, out=s)  # the gain
     e *= s  # how far a component moves the mean
-    by = np.einsum("c...,c...->...", p, e)
+    by = (p * e).sum(0)  # sums over the first axis are the same for any number of series
     s *= -half
     e *= e
     s += e
-    variance = v + np.einsum("c...,c...->...", p, s) - by * by
+    s *= p
+    variance = v + s.sum(0) - by * by
     lik = np.log(total.astype(float)) - 0.5 * least - 0.5 * math.log(2 * math.pi)
     return lik, m + by, np.maximum(variance, 1e-6).astype(float), p[-1] if extra else np.zeros(m.shape)
 
@@ -324,7 +325,7 @@ class Bank:
         self._learnt(c, {"surprise": surprise, "outlier": outlier, "regime": regime})
         if self.learn:
             self._learn(c, d)
-            learned = np.einsum("sn,snk->sk", w, c["mu"])
+            learned = (w[:, :, None] * c["mu"]).sum(1)
         else:
             learned = np.tile(self.level, (len(y), 1))
         resampled = ess <= self.n / 2
@@ -446,7 +447,7 @@ class MultiModelBank:
         shock = np.array([self.shocks and self._alarm(int(i), float(x)) for i, x in zip(at, r)])
         outs = [m.step(at, y) for m in self.models]
         pick = lambda j: np.stack([o[j] for o in outs], axis=1)
-        w = np.maximum(self.w[at] @ self.t, 1e-6) * np.exp(-(pick(7) - pick(7).min(1, keepdims=True)))
+        w = np.maximum((self.w[at][:, :, None] * self.t).sum(1), 1e-6) * np.exp(-(pick(7) - pick(7).min(1, keepdims=True)))
         w /= w.sum(1, keepdims=True)
         self.w[at] = w
         vols = pick(1)
