@@ -320,7 +320,7 @@ class Bank:
         vol = (w * np.exp(c["m"] + 0.5 * c["v"])).sum(1)
         ess = 1 / (w * w).sum(1)
         entropy = -(p * np.log(np.maximum(p, 1e-10))).sum(1)
-        c["last_surprise"] = surprise
+        c["last_surprise"] = surprise.copy()  # the state is written in place, what is returned must not be
         regime = p.argmax(1)
         self._learnt(c, {"surprise": surprise, "outlier": outlier, "regime": regime})
         if self.learn:
@@ -373,7 +373,7 @@ class Extended(Bank):
         seen = np.flatnonzero(c["state"] >= 0)
         c["counts"][seen] *= self.decay
         c["counts"][seen, c["state"][seen], regime[seen]] += 1
-        c["state"] = regime
+        c["state"] = regime.copy()
         due = np.flatnonzero(c["tick"] % self.rebuild == 0)
         rows_of = c["counts"][due] + 0.1
         c["base"][due] = rows_of / rows_of.sum(2, keepdims=True)
@@ -391,7 +391,7 @@ class Extended(Bank):
     def _learnt(self, c, out):
         found = [m[2].step(float(s), float(o), int(r)) for m, s, o, r in zip(self.now, out["surprise"], out["outlier"], out["regime"])]
         self.factor, self.broke = np.array([x[0] for x in found]), np.array([x[2] for x in found])
-        c["forget"] = self.factor
+        c["forget"] = self.factor.copy()
 
 
 class MultiModelBank:
