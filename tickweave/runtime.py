@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -44,11 +45,13 @@ def ship_package(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset (a
-    local test session) a temporary folder of this machine is used.
+    It is ``spark.checkpoint.dir`` of the session. Only where that is unset and the
+    session is a local one (as in tests) a temporary folder of this machine is used.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = Path(tempfile.mkdtemp(prefix="tickweave-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
