@@ -104,3 +104,92 @@ def test_hawkes_fits_all_events():
         fit.push(x)
     mu, alpha, beta, value, n = fit.finish()[0]
     assert n == 700 and value == pytest.approx(k.HawkesMle.loglik(times, mu, alpha, beta))
+
+
+def grid_loglik(y, phi, mu, sigma):
+    """The likelihood by sums over a fine grid of log-volatilities."""
+    sd = sigma / np.sqrt(1 - phi * phi)
+    h = np.linspace(-8, 8, 1201) * sd
+    move = np.exp(-0.5 * ((h[None] - phi * h[:, None]) / sigma) ** 2)
+    move /= move.sum(1, keepdims=True)
+    p, total = np.exp(-0.5 * (h / sd) ** 2), 0.0
+    for obs in y:
+        d = obs - 2 * (h + mu)
+        like = 0.5 * (d - np.exp(d)) - 0.5 * np.log(2 * np.pi)
+        w = p / p.sum() * np.exp(like - like.max())
+        total += like.max() + np.log(w.sum())
+        p = w @ move
+    return total
+
+
+@pytest.mark.parametrize("n", [256, 253])
+def test_estimated_likelihoods_are_unbiased_and_narrow(n):
+    rng = np.random.default_rng(9)
+    y = np.log((np.exp(-4.5) * rng.standard_normal(150)) ** 2)
+    y[70] += 7  # a shock of thirty deviations
+    for phi, mu, sigma in ((0.76, -4.4, 0.2), (0.95, -4.6, 0.3)):
+        exact = grid_loglik(y, phi, mu, sigma)
+        found = sm.bootstrap_logliks([y] * 300, [phi] * 300, [mu] * 300, [sigma] * 300, n, [np.random.default_rng([1, i]) for i in range(300)])
+        calm = sm.bootstrap_logliks([y[:70]] * 300, [phi] * 300, [mu] * 300, [sigma] * 300, n, [np.random.default_rng([2, i]) for i in range(300)])
+        assert np.isfinite(found).all() and abs(found.max() - exact) < 25
+        assert np.log(np.exp(calm - calm.max()).mean()) + calm.max() == pytest.approx(grid_loglik(y[:70], phi, mu, sigma), abs=0.1) and calm.std() < 0.5
+        tape = sm.Tape([y[:70]])
+        assert sm.gaussian_logliks(tape, np.array([0]), [phi], [mu], [sigma])[0] == pytest.approx(grid_loglik(y[:70], phi, mu, sigma), abs=0.5)
+
+
+def test_impossible_series_keeps_its_block_going():
+    y = np.random.default_rng(2).normal(-9, 1.5, 80)
+    rngs = lambda: [np.random.default_rng(i) for i in range(2)]
+    bad = np.where(np.arange(80) == 40, np.inf, y)
+    found = sm.bootstrap_logliks([y, bad], [0.8] * 2, [-4.5] * 2, [0.2] * 2, 64, rngs())
+    assert found[1] == -np.inf and found[0] == sm.bootstrap_logliks([y, y], [0.8] * 2, [-4.5] * 2, [0.2] * 2, 64, rngs())[0]
+
+
+def test_tape_gives_every_tick_of_any_columns(monkeypatch):
+    series = [np.arange(n, dtype=float) + 1000 * n for n in (200, 130, 64, 63, 1)]
+    held = sm.Tape(series)
+    monkeypatch.setattr(sm.Tape, "HELD", 0)
+    again = sm.Tape(series)
+    assert held.held is not None and again.held is None
+    for columns in ([0, 0, 1, 2, 3, 4], [1, 2, 2], [3, 4], [4], [2]):
+        for tape in (held, again):
+            found = [[] for _ in columns]
+            for chunk in tape.chunks(np.array(columns)):
+                for j in range(chunk.shape[1]):
+                    found[j] += chunk[:, j].tolist()
+            for x, c in zip(found, columns):
+                assert x[: len(series[c])] == series[c].tolist() and not any(x[len(series[c]) :])
+
+
+def test_delayed_acceptance_spares_particles_and_keeps_the_posterior(monkeypatch):
+    rng = np.random.default_rng(11)
+    y, ran, run = np.log((np.exp(-4.2) * rng.standard_normal(60)) ** 2), [], sm._bootstrap
+    monkeypatch.setattr(sm, "_bootstrap", lambda tape, columns, *rest: ran.append(len(columns)) or run(tape, columns, *rest))
+
+    def fit():
+        rows = sm.PmmhBank(24, particles=64, steps=500, burn=100).run([("a",)], [y])
+        assert [r[1][0] for r in rows] == list(range(24)) and all(r[1][8] == 60 for r in rows)
+        return np.mean([r[1][1:6] for r in rows], 0)
+
+    usual = fit()
+    assert sum(ran) < 0.5 * 24 * 500
+    near = sm.gaussian_logliks
+    monkeypatch.setattr(sm, "gaussian_logliks", lambda tape, columns, phi, mu, sigma: 0.5 * near(tape, columns, phi, mu, sigma))  # a poor one
+    poor = fit()
+    monkeypatch.setattr(sm, "gaussian_logliks", lambda tape, columns, *_: np.zeros(len(columns)))  # none
+    assert usual == pytest.approx(poor, abs=0.04) and usual == pytest.approx(fit(), abs=0.04)
+
+
+def test_every_core_gets_a_block_of_series(spark):
+    frame = spark.range(40 * 30).selectExpr("id % 40 as s", "id as t", "cast(id as double) y")
+
+    class Sums:
+        def run(self, keys, series):
+            return [(i, (float(sum(x)), len(x))) for i, x in enumerate(series)]
+
+    from tickweave.operators.fold import blocked_reduce
+
+    rows = blocked_reduce(frame, "s", ["t"], "y", Sums, "total double, n long", width=5)
+    sizes = [r["count"] for r in rows.selectExpr("spark_partition_id() as p").groupBy("p").count().collect()]
+    assert sorted((r["s"], r["total"], r["n"]) for r in rows.collect()) == [(s, float(sum(range(s, 1200, 40))), 30) for s in range(40)]
+    assert rows.rdd.getNumPartitions() == len(sizes) >= 7 and max(sizes) < 15

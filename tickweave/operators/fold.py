@@ -27,6 +27,8 @@ from tickweave.runtime import ship_package
 BATCH = 20_000
 #: Series of a block that a bank holds, on average.
 WIDTH = 32
+#: Tasks of a blocked reduction; beyond, a task takes several blocks in turn.
+TASKS = 4096
 
 
 def schema_of(frame: DataFrame, kept: Sequence[str], outputs: str) -> StructType:
@@ -121,18 +123,20 @@ def ordered_reduce(frame: DataFrame, key: str | Sequence[str], order: Sequence[s
 def blocked_reduce(frame: DataFrame, key: str | Sequence[str], order: Sequence[str], value: str, kernel: Callable[[], object], outputs: str, width: int = WIDTH) -> DataFrame:
     """Key and the rows that a kernel's ``run`` returns for the series of a block: their keys and their values in order.
 
-    Blocks hold about ``width`` series, dealt by a hash of the key; long series are spooled
-    to a temporary file of the worker, so memory doesn't grow with their length. Null
+    Blocks hold about ``width`` series, or fewer so that every core has one, dealt by a hash of
+    the key; a block is a task, as kernels cost far more than reading their rows. Long series are
+    spooled to a temporary file of the worker, so memory doesn't grow with their length. Null
     values are left out.
     """
     from tickweave.operators.spool import Spool
 
     ship_package(frame.sparkSession)
     keys = [key] if isinstance(key, str) else list(key)
-    schema, parts = schema_of(frame, keys, outputs), int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema, cores = schema_of(frame, keys, outputs), frame.sparkSession.sparkContext.defaultParallelism
     rows = frame.where(F.col(value).isNotNull()).select(*dict.fromkeys([*keys, *order, value]), F.xxhash64(*keys).alias("__series"))
-    blocks = max(parts, -(-rows.agg(F.approx_count_distinct("__series")).first()[0] // width))
-    rows = rows.withColumn("__block", F.pmod(F.hash("__series"), F.lit(blocks))).repartition(parts, "__block").sortWithinPartitions("__block", *keys, *order)
+    blocks = max(cores, -(-rows.agg(F.approx_count_distinct("__series")).first()[0] // width))
+    rows = rows.withColumn("__block", F.pmod(F.hash("__series"), F.lit(blocks)))
+    rows = rows.repartitionById(min(blocks, TASKS), F.pmod("__block", F.lit(min(blocks, TASKS)))).sortWithinPartitions("__block", *keys, *order)
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_type

@@ -80,58 +80,210 @@ def _blocks(y, size: int = 512):
             yield part[at : at + size]
 
 
+class Tape:
+    """Observations of a block of series, longest first, as chunks of (ticks x series); read as often as needed.
+
+    Chunks of short series are held as arrays; beyond ``HELD`` numbers every pass reads the series (spools or arrays) again.
+    """
+
+    HELD, TICKS = 1 << 22, 64
+
+    def __init__(self, series):
+        self.series, self.sizes = series, np.array([len(y) for y in series], np.int64)
+        self.held = list(self._read(np.arange(len(series)))) if self.sizes.sum() <= self.HELD else None
+
+    def _read(self, columns):
+        parts, sizes = [_blocks(self.series[i], self.TICKS) for i in columns], self.sizes[columns]
+        for at in range(0, int(sizes.max(initial=0)), self.TICKS):
+            found = [next(p) for p, size in zip(parts, sizes) if size > at]
+            out = np.zeros((len(found[0]), len(found)), np.float32)
+            for j, x in enumerate(found):
+                out[: len(x), j] = x
+            yield out
+
+    def chunks(self, columns):
+        """Chunks of some series: ascending columns, which may repeat; each has those that aren't over, and nothing past the first of them."""
+        once, where = np.unique(columns, return_inverse=True)
+        most = int(self.sizes[once].max(initial=0))
+        for i, chunk in enumerate(self._read(once) if self.held is None else self.held[: -(-most // self.TICKS)]):
+            place = where if self.held is None else columns
+            yield chunk[: most - i * self.TICKS, place[: np.searchsorted(place, chunk.shape[1])]]
+
+
+#: Chains whose particles are moved by one call, so that the arrays stay in the cache.
+CHAINS = 96
+#: Share of the particles; they are resampled where their effective number is smaller.
+RESAMPLE = 0.3
+
+
+class _Shocks:
+    """Adds normals to rows of particles: pairs by Box and Muller from 32 bits a number, and their opposites.
+
+    Every number is normal by itself, so sums over particles keep their expectation. Each
+    row's bits come from a generator of its own.
+    """
+
+    def __init__(self, rngs, n):
+        self.rngs, self.quarter, self.bits = rngs, -(-n // 4), None
+        self.room = np.empty((4, len(rngs), self.quarter), np.float32)
+
+    def draw(self, ticks) -> None:
+        """Bits for so many ticks of the first rows."""
+        shape = (2, int(ticks[0]), len(ticks), self.quarter)
+        if self.bits is None or self.bits.shape[1] < shape[1]:
+            self.bits = np.zeros(shape, np.int32)
+        for j, k in enumerate(ticks.tolist()):
+            self.bits[:, :k, j] = self.rngs[j].bit_generator.random_raw(k * self.quarter).view(np.int32).reshape(2, k, self.quarter)
+
+    def add(self, x, t, spread) -> None:
+        """Normals of variance ``-spread / 2``, from the t-th bits."""
+        m, n, q = *x.shape, self.quarter
+        radius, turn, a, b = (r[:m] for r in self.room)
+        np.copyto(radius, self.bits[0, t, :m].view(np.uint32), casting="unsafe")
+        radius += np.float32(0.5)
+        radius *= np.float32(2.0**-32)
+        np.log(radius, out=radius)
+        radius *= spread
+        np.sqrt(radius, out=radius)
+        np.multiply(self.bits[1, t, :m], np.float32(math.pi / 2**31), out=turn, dtype=np.float32, casting="unsafe")
+        np.cos(turn, out=a)
+        a *= radius
+        np.sin(turn, out=b)
+        b *= radius
+        for i, z in enumerate((a, b)):
+            x[:, i * q : (i + 1) * q] += z[:, : max(n - i * q, 0)]
+            x[:, (i + 2) * q : (i + 3) * q] -= z[:, : max(n - (i + 2) * q, 0)]
+
+
+def _bootstrap(tape: Tape, columns, phi, mu, sigma, n, rngs) -> np.ndarray:
+    """Logs of estimated likelihoods of chains on ascending columns of a tape."""
+    phi, mu, sigma = (np.asarray(x, np.float32)[:, None] for x in (phi, mu, sigma))
+    sizes, count, total, at = tape.sizes[columns], len(columns), np.zeros(len(columns)), 0
+    # x is minus twice what log-volatility differs from its level, so its shocks have deviation 2 sigma
+    x, w, last, spread = np.zeros((count, n), np.float32), np.ones((count, n), np.float32), np.full(count, float(n)), -8 * sigma * sigma
+    room, lw_room, shocks = np.empty_like(x), np.empty_like(x), _Shocks(rngs, n)
+    shocks.draw(np.ones(count, int))
+    shocks.add(x, 0, spread / np.maximum(1 - phi * phi, np.float32(1e-4)))
+    for chunk in tape.chunks(columns):
+        size, live = chunk.shape
+        ticks, points = np.minimum(sizes[:live] - at, size), np.zeros((size, live, 1), np.float32)
+        shocks.draw(ticks)
+        for j, k in enumerate(ticks.tolist()):
+            points[:k, j, 0] = rngs[j].random(k, dtype=np.float32)
+        level = chunk[:, :, None] - 2 * mu[:live]
+        for t in range(size):
+            m = live - int(np.searchsorted(ticks[::-1], t, "right"))  # chains that have this tick
+            x, w, last, d, lw = x[:m], w[:m], last[:m], room[:m], lw_room[:m]
+            if at + t:
+                x *= phi[:m]
+                shocks.add(x, t, spread[:m])
+            np.add(x, level[t, :m], out=d)
+            np.exp(d, out=lw)
+            np.subtract(d, lw, out=lw)
+            lw *= np.float32(0.5)
+            np.exp(lw, out=d)
+            d *= w
+            s = d.sum(1, dtype=np.float32).astype(float)
+            if not s.min() > 1e-25 * n:
+                _rescue(np.flatnonzero(~(s > 1e-25 * n)), lw, w, d, s, total)
+            total[:m] += np.log(s / last)
+            room, w, last = w, d, s
+            again = np.flatnonzero(s * s < RESAMPLE * n * np.vecdot(w, w))
+            if len(again):
+                x[again] = _resampled(x[again], w[again], points[t, again])
+                w[again], last[again] = 1, n
+            if last.min() < 1e-6 * n:
+                low = last < 1e-6 * n
+                w[low] *= (n / last[low, None]).astype(np.float32)
+                last[low] = n
+        at += size
+    return total - 0.5 * sizes * math.log(2 * math.pi)
+
+
+def _rescue(rows, lw, w, d, s, total) -> None:
+    """Weights of rows that are too small for single precision, relative to the largest; none at all is an impossible series."""
+    top = lw[rows].max(1, keepdims=True)
+    d[rows] = w[rows] * np.exp(lw[rows] - np.where(np.isfinite(top), top, 0))
+    s[rows] = d[rows].sum(1)
+    none = rows[~(s[rows] > 0)]
+    total[rows] += top[:, 0]
+    total[none], d[none], s[none] = -np.inf, 1, w.shape[1]
+
+
+def _resampled(x, w, u) -> np.ndarray:
+    """Rows of particles by systematic resampling, each from one uniform number."""
+    m, n = x.shape
+    edges = np.cumsum(w, axis=1)
+    edges *= n / edges[:, -1:]
+    edges -= u
+    before = np.ceil(edges, out=edges).astype(np.int32)
+    np.clip(before, 0, n, out=before)
+    before[:, -1] = n
+    counts = before.copy()
+    counts[:, 1:] -= before[:, :-1]
+    return np.repeat(x.reshape(-1), counts.reshape(-1)).reshape(m, n)
+
+
 def bootstrap_logliks(series, phi, mu, sigma, n, rngs) -> np.ndarray:
     """Particle estimates of the likelihoods of AR(1) log-volatilities, with the exact density of a log-square return.
 
     A row per chain: its observations (spool or array), parameters and generator. Chains
     are stepped together, longer ones go on alone; a chain draws the same numbers whatever
-    it is stepped with.
+    it is stepped with. Particles are resampled where their effective number is below a
+    half, and keep their weights elsewhere.
     """
-    order = np.argsort([-len(y) for y in series], kind="stable")
-    phi, mu, sigma = (np.asarray(x, np.float32)[order, None] for x in (phi, mu, sigma))
-    rngs, sizes = [rngs[i] for i in order], np.array([len(series[i]) for i in order])
-    start = np.stack([r.standard_normal(n, dtype=np.float32) for r in rngs])
-    h = mu + sigma / np.sqrt(np.maximum(1 - phi * phi, 1e-4)) * start
-    total, parts, at = np.zeros(len(order)), [_blocks(series[i], 256) for i in order], 0
-    while (live := int((sizes > at).sum())) and live:
-        chunk = [next(p) for p in parts[:live]]
-        size = len(chunk[0])
-        noise, points, y = np.zeros((size, live, n), np.float32), np.zeros((size, live, 1), np.float32), np.zeros((size, live, 1), np.float32)
-        for j, (r, c) in enumerate(zip(rngs, chunk)):
-            noise[: len(c), j] = r.standard_normal((len(c), n), dtype=np.float32)
-            points[: len(c), j, 0], y[: len(c), j, 0] = r.random(len(c), dtype=np.float32), c
-        noise *= sigma[:live]
-        noise += (1 - phi[:live]) * mu[:live]
+    order, out = np.argsort([-len(y) for y in series], kind="stable"), np.empty(len(series))
+    phi, mu, sigma = (np.asarray(x, float)[order] for x in (phi, mu, sigma))
+    out[order] = _bootstrap(Tape([series[i] for i in order]), np.arange(len(order)), phi, mu, sigma, n, [rngs[i] for i in order])
+    return out
+
+
+_NODES, _SHARES = (x.astype(np.float32)[:, None] for x in np.polynomial.hermite_e.hermegauss(7))
+_SHARES /= _SHARES.sum()
+
+
+def gaussian_logliks(tape: Tape, columns, phi, mu, sigma) -> np.ndarray:
+    """The same likelihoods with the filter's law taken as normal after every tick, its moments by quadrature: near, smooth and cheap."""
+    phi, mu, sigma = (np.asarray(x, np.float32) for x in (phi, mu, sigma))
+    sizes, total, at = tape.sizes[columns], np.zeros(len(columns)), 0
+    m, v, noise = np.zeros(len(columns), np.float32), sigma * sigma / np.maximum(1 - phi * phi, np.float32(1e-4)), sigma * sigma
+    for chunk in tape.chunks(columns):
+        size, live = chunk.shape
+        ticks, level = np.minimum(sizes[:live] - at, size), chunk - 2 * mu[:live]
         for t in range(size):
-            m = live - int(np.searchsorted(sizes[live - 1 :: -1], at + t, "right"))  # chains that have this tick
+            k = live - int(np.searchsorted(ticks[::-1], t, "right"))
+            m, v = m[:k], v[:k]
             if at + t:
-                h[:m] *= phi[:m]
-                h[:m] += noise[t, :m]
-            d = y[t, :m] - 2 * h[:m]
-            lw = np.minimum(d, np.float32(50.0))
-            np.exp(lw, out=lw)
-            np.subtract(d, lw, out=lw)
-            lw *= np.float32(0.5)
-            top = lw.max(1, keepdims=True)
-            lw -= top
-            edges = np.cumsum(np.exp(lw, out=lw), axis=1)
-            total[:m] += top[:, 0] + np.log(edges[:, -1] / n)
-            edges *= n / edges[:, -1:]
-            edges -= points[t, :m]
-            before = np.ceil(edges, out=edges).astype(np.int32)
-            np.clip(before, 0, n, out=before)
-            before[:, -1] = n
-            counts = before.copy()
-            counts[:, 1:] -= before[:, :-1]
-            h[:m] = np.repeat(h[:m].reshape(-1), counts.reshape(-1)).reshape(m, n)
+                m, v = phi[:k] * m, phi[:k] ** 2 * v + noise[:k]
+            sd = np.sqrt(v)
+            d = _NODES * (-2 * sd)
+            d += level[t, :k] - 2 * m
+            np.minimum(d, np.float32(50.0), out=d)
+            p = np.exp(d)
+            np.subtract(d, p, out=p)
+            p *= np.float32(0.5)
+            top = p.max(0)
+            p -= top
+            np.exp(p, out=p)
+            p *= _SHARES
+            s = p.sum(0)
+            total[:k] += top + np.log(s)
+            p *= _NODES
+            a = p.sum(0) / s
+            p *= _NODES
+            m = m + sd * a
+            v = v * np.maximum(p.sum(0) / s - a * a, np.float32(0.01))
         at += size
-    out = np.empty(len(order))
-    out[order] = total - 0.5 * sizes * math.log(2 * math.pi)
-    return out
+    return total - 0.5 * sizes * math.log(2 * math.pi)
 
 
 class PmmhBank:
-    """Chains of particle marginal Metropolis-Hastings for (mu, sigma, phi) of many series at once; a reducer of blocks."""
+    """Chains of particle marginal Metropolis-Hastings for (mu, sigma, phi) of many series at once; a reducer of blocks.
+
+    Acceptance is delayed (Christen and Fox): a proposal is tried on the cheap likelihood first, and the
+    particles decide on those that pass by what is left of the ratio, so that the chain
+    keeps the same posterior whatever the cheap likelihood is.
+    """
 
     OUTPUTS = "chain int, mu double, sigma double, phi double, mu_sd double, sigma_sd double, acceptance double, loglik double, ticks long"
 
@@ -143,20 +295,41 @@ class PmmhBank:
         mu, log_sigma, z = x.T
         return -0.5 * ((mu + 4.5) / 1.5) ** 2 - 0.5 * ((log_sigma + 1.6) / 0.7) ** 2 - 0.5 * ((z - 2.0) / 0.8) ** 2
 
+    @staticmethod
+    def _natural(x):
+        return np.tanh(x[:, 2] / 2), x[:, 0], np.exp(x[:, 1])
+
     def run(self, keys, series) -> list[tuple[int, tuple]]:
         """(place of the key, output row) of every chain of every series with enough ticks."""
-        jobs = [(i, c) for i, y in enumerate(series) if len(y) >= self.least for c in range(self.chains)]
-        if not jobs:
+        order = sorted((i for i, y in enumerate(series) if len(y) >= self.least), key=lambda i: -len(series[i]))
+        if not order:
             return []
-        ys, rngs = [series[i] for i, _ in jobs], [generator(self.seed, (*keys[i], c)) for i, c in jobs]
-        value_of = lambda x: bootstrap_logliks(ys, np.tanh(x[:, 2] / 2), x[:, 0], np.exp(x[:, 1]), self.particles, rngs) + self.log_prior(x)
-        now = np.array([[(y.mean() + 1.27) / 2, math.log(0.2), 2.0] for y in ys])
-        value, widen, accepted, kept = value_of(now), np.ones(len(jobs)), np.zeros(len(jobs)), []
+        tape, columns = Tape([series[i] for i in order]), np.repeat(np.arange(len(order)), self.chains)
+        jobs = [(i, c) for i in order for c in range(self.chains)]
+        rngs = [generator(self.seed, (*keys[i], c)) for i, c in jobs]
+        moves = np.stack([r.standard_normal((self.steps, 3)) for r in rngs], 1) * np.array([0.2, 0.3, 0.4])
+        luck = np.log(1 - np.stack([r.random((self.steps, 2)) for r in rngs], 1))
+
+        def cheap_of(x):
+            return gaussian_logliks(tape, columns, *self._natural(x)) + self.log_prior(x)
+
+        def value_of(which, x):
+            parts = [slice(a, a + CHAINS) for a in range(0, len(which), CHAINS)]
+            found = [_bootstrap(tape, columns[which[p]], *self._natural(x[p]), self.particles, [rngs[j] for j in which[p]]) for p in parts]
+            return np.concatenate(found) + self.log_prior(x)
+
+        now = np.repeat([[(series[i].mean() + 1.27) / 2, math.log(0.2), 2.0] for i in order], self.chains, axis=0)
+        cheap, value = cheap_of(now), value_of(np.arange(len(jobs)), now)
+        widen, accepted, kept = np.ones(len(jobs)), np.zeros(len(jobs)), []
         for i in range(self.steps):
-            new = now + widen[:, None] * np.array([0.2, 0.3, 0.4]) * np.stack([r.standard_normal(3) for r in rngs])
-            other = value_of(new)
-            ok = np.log([r.random() for r in rngs]) < other - value
-            now, value = np.where(ok[:, None], new, now), np.where(ok, other, value)
+            new = now + widen[:, None] * moves[i]
+            other, ok = cheap_of(new), np.zeros(len(jobs), bool)
+            if len(tried := np.flatnonzero(luck[i, :, 0] < other - cheap)):
+                found = value_of(tried, new[tried])
+                with np.errstate(invalid="ignore"):  # twice impossible
+                    ok[tried] = luck[i, tried, 1] < found - value[tried] - (other - cheap)[tried]
+                value[tried] = np.where(ok[tried], found, value[tried])
+            now, cheap = np.where(ok[:, None], new, now), np.where(ok, other, cheap)
             accepted += ok
             if i < self.burn:
                 widen *= np.exp((ok - 0.25) / math.sqrt(i + 1))
@@ -164,7 +337,7 @@ class PmmhBank:
                 kept.append(np.column_stack([now[:, 0], np.exp(now[:, 1]), np.tanh(now[:, 2] / 2)]))
         k = np.array(kept)
         mean, sd = k.mean(0), k.std(0)
-        return [(i, (c, *map(float, mean[j]), float(sd[j, 0]), float(sd[j, 1]), float(accepted[j] / self.steps), float(value[j]), len(ys[j]))) for j, (i, c) in enumerate(jobs)]
+        return [(i, (c, *map(float, mean[j]), float(sd[j, 0]), float(sd[j, 1]), float(accepted[j] / self.steps), float(value[j]), len(series[i]))) for j, (i, c) in enumerate(jobs)]
 
 
 class Pmmh(Windowed):

@@ -110,7 +110,7 @@ def _windows(rows, sampler, window=sm.WINDOW, **options):
 
 @query()
 def pmmh_chains(spark, sf_dir):
-    rows = blocked_reduce(labelled(spark, sf_dir), KEY, ORDER, "y", partial(sm.PmmhBank, chains=2, particles=256, steps=300, burn=100), sm.PmmhBank.OUTPUTS, width=16)
+    rows = blocked_reduce(labelled(spark, sf_dir), KEY, ORDER, "y", partial(sm.PmmhBank, chains=2, particles=256, steps=300, burn=100), sm.PmmhBank.OUTPUTS, width=512)
     names = ["mu", "sigma", "phi", "acceptance", "loglik"]
     return rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("chains"), *[F.round(F.avg(n), 6).alias(n) for n in names], F.round(F.stddev_pop("mu"), 6).alias("between_sd"))
 
