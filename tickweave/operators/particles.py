@@ -25,8 +25,8 @@ _W, _M, _V = (np.array(x) for x in (MIXTURE_WEIGHTS, MIXTURE_MEANS, MIXTURE_VARI
 REGIME, RESAMPLE, JITTER, LOOK, MUTATE, LAMBDA, DRAW, LEVEL, MOVE = 0, 1, 2, 3, 4, 8, 16, 24, 32
 
 
-def generator(seed: int, key) -> np.random.Generator:
-    return np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
+def generator(seed: int, key, bits=np.random.PCG64) -> np.random.Generator:
+    return np.random.Generator(bits([seed, zlib.crc32(repr(key).encode())]))
 
 
 def systematic(weights: np.ndarray, u: float) -> np.ndarray:

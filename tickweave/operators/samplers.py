@@ -111,117 +111,119 @@ class Tape:
 
 
 #: Chains whose particles are moved by one call, so that the arrays stay in the cache.
-CHAINS = 96
+CHAINS = 192
 #: Share of the particles; they are resampled where their effective number is smaller.
 RESAMPLE = 0.3
 
 
 class _Shocks:
-    """Adds normals to rows of particles: pairs by Box and Muller from 32 bits a number, and their opposites.
+    """Adds normals to particles (4 x chains x quarter): pairs by Box and Muller from 32 bits a number, and their opposites.
 
     Every number is normal by itself, so sums over particles keep their expectation. Each
-    row's bits come from a generator of its own.
+    chain's bits come from a generator of its own.
     """
 
-    def __init__(self, rngs, n):
-        self.rngs, self.quarter, self.bits = rngs, -(-n // 4), None
-        self.room = np.empty((4, len(rngs), self.quarter), np.float32)
+    def __init__(self, rngs, quarter):
+        self.rngs, self.quarter, self.bits = rngs, quarter, np.empty((2, Tape.TICKS, len(rngs), quarter), np.int32)
+        self.room = np.empty((4, len(rngs), quarter), np.float32)
 
     def draw(self, ticks) -> None:
-        """Bits for so many ticks of the first rows."""
-        shape = (2, int(ticks[0]), len(ticks), self.quarter)
-        if self.bits is None or self.bits.shape[1] < shape[1]:
-            self.bits = np.zeros(shape, np.int32)
+        """Bits for so many ticks of the first chains."""
         for j, k in enumerate(ticks.tolist()):
             self.bits[:, :k, j] = self.rngs[j].bit_generator.random_raw(k * self.quarter).view(np.int32).reshape(2, k, self.quarter)
 
     def add(self, x, t, spread) -> None:
         """Normals of variance ``-spread / 2``, from the t-th bits."""
-        m, n, q = *x.shape, self.quarter
-        radius, turn, a, b = (r[:m] for r in self.room)
-        np.copyto(radius, self.bits[0, t, :m].view(np.uint32), casting="unsafe")
+        radius, turn, a, b = self.room[:, : x.shape[1]]
+        bits = self.bits[:, t, : x.shape[1]]
+        np.copyto(radius, bits[0].view(np.uint32), casting="unsafe")
         radius += np.float32(0.5)
         radius *= np.float32(2.0**-32)
         np.log(radius, out=radius)
         radius *= spread
         np.sqrt(radius, out=radius)
-        np.multiply(self.bits[1, t, :m], np.float32(math.pi / 2**31), out=turn, dtype=np.float32, casting="unsafe")
+        np.copyto(turn, bits[1], casting="unsafe")
+        turn *= np.float32(math.pi / 2**31)
         np.cos(turn, out=a)
         a *= radius
         np.sin(turn, out=b)
         b *= radius
-        for i, z in enumerate((a, b)):
-            x[:, i * q : (i + 1) * q] += z[:, : max(n - i * q, 0)]
-            x[:, (i + 2) * q : (i + 3) * q] -= z[:, : max(n - (i + 2) * q, 0)]
+        x[0] += a
+        x[1] += b
+        x[2] -= a
+        x[3] -= b
 
 
 def _bootstrap(tape: Tape, columns, phi, mu, sigma, n, rngs) -> np.ndarray:
     """Logs of estimated likelihoods of chains on ascending columns of a tape."""
-    phi, mu, sigma = (np.asarray(x, np.float32)[:, None] for x in (phi, mu, sigma))
-    sizes, count, total, at = tape.sizes[columns], len(columns), np.zeros(len(columns)), 0
+    count, quarter = len(columns), -(-n // 4)
+    n, sizes, total, at = 4 * quarter, tape.sizes[columns], np.zeros(count), 0
+    wide = lambda v: np.repeat(np.asarray(v, np.float32)[:, None], quarter, axis=1)
     # x is minus twice what log-volatility differs from its level, so its shocks have deviation 2 sigma
-    x, w, last, spread = np.zeros((count, n), np.float32), np.ones((count, n), np.float32), np.full(count, float(n)), -8 * sigma * sigma
-    room, lw_room, shocks = np.empty_like(x), np.empty_like(x), _Shocks(rngs, n)
+    x, w, last, spread = np.zeros((4, count, quarter), np.float32), np.ones((4, count, quarter), np.float32), np.full(count, float(n)), -8 * np.square(sigma)
+    room, lw_room, shocks, mu = np.empty_like(x), np.empty_like(x), _Shocks(rngs, quarter), np.asarray(mu, np.float32)
     shocks.draw(np.ones(count, int))
-    shocks.add(x, 0, spread / np.maximum(1 - phi * phi, np.float32(1e-4)))
+    shocks.add(x, 0, wide(spread / np.maximum(1 - np.square(phi), 1e-4)))
+    spread, phi = wide(spread), wide(phi)
     for chunk in tape.chunks(columns):
         size, live = chunk.shape
         ticks, points = np.minimum(sizes[:live] - at, size), np.zeros((size, live, 1), np.float32)
         shocks.draw(ticks)
         for j, k in enumerate(ticks.tolist()):
             points[:k, j, 0] = rngs[j].random(k, dtype=np.float32)
-        level = chunk[:, :, None] - 2 * mu[:live]
+        level = chunk - 2 * mu[:live]
         for t in range(size):
             m = live - int(np.searchsorted(ticks[::-1], t, "right"))  # chains that have this tick
-            x, w, last, d, lw = x[:m], w[:m], last[:m], room[:m], lw_room[:m]
+            x, w, last, d, lw = x[:, :m], w[:, :m], last[:m], room[:, :m], lw_room[:, :m]
             if at + t:
                 x *= phi[:m]
                 shocks.add(x, t, spread[:m])
-            np.add(x, level[t, :m], out=d)
+            np.add(x, wide(level[t, :m]), out=d)
             np.exp(d, out=lw)
             np.subtract(d, lw, out=lw)
             lw *= np.float32(0.5)
             np.exp(lw, out=d)
             d *= w
-            s = d.sum(1, dtype=np.float32).astype(float)
+            s = d.sum(0).sum(1).astype(float)
             if not s.min() > 1e-25 * n:
                 _rescue(np.flatnonzero(~(s > 1e-25 * n)), lw, w, d, s, total)
             total[:m] += np.log(s / last)
             room, w, last = w, d, s
-            again = np.flatnonzero(s * s < RESAMPLE * n * np.vecdot(w, w))
+            again = np.flatnonzero(s * s < RESAMPLE * n * np.vecdot(w, w).sum(0))
             if len(again):
-                x[again] = _resampled(x[again], w[again], points[t, again])
-                w[again], last[again] = 1, n
+                x[:, again] = _resampled(x[:, again], w[:, again], points[t, again])
+                w[:, again], last[again] = 1, n
             if last.min() < 1e-6 * n:
-                low = last < 1e-6 * n
-                w[low] *= (n / last[low, None]).astype(np.float32)
+                low = np.flatnonzero(last < 1e-6 * n)
+                w[:, low] *= (n / last[low, None]).astype(np.float32)
                 last[low] = n
         at += size
     return total - 0.5 * sizes * math.log(2 * math.pi)
 
 
 def _rescue(rows, lw, w, d, s, total) -> None:
-    """Weights of rows that are too small for single precision, relative to the largest; none at all is an impossible series."""
-    top = lw[rows].max(1, keepdims=True)
-    d[rows] = w[rows] * np.exp(lw[rows] - np.where(np.isfinite(top), top, 0))
-    s[rows] = d[rows].sum(1)
+    """Weights of chains that are too small for single precision, relative to the largest; none at all is an impossible series."""
+    top = lw[:, rows].max((0, 2))[:, None]
+    d[:, rows] = w[:, rows] * np.exp(lw[:, rows] - np.where(np.isfinite(top), top, 0))
+    s[rows] = d[:, rows].sum((0, 2))
     none = rows[~(s[rows] > 0)]
     total[rows] += top[:, 0]
-    total[none], d[none], s[none] = -np.inf, 1, w.shape[1]
+    total[none], d[:, none], s[none] = -np.inf, 1, w.shape[0] * w.shape[2]
 
 
 def _resampled(x, w, u) -> np.ndarray:
-    """Rows of particles by systematic resampling, each from one uniform number."""
-    m, n = x.shape
-    edges = np.cumsum(w, axis=1)
+    """Particles of chains by systematic resampling, each from one uniform number."""
+    m, n = x.shape[1], x.shape[0] * x.shape[2]
+    edges = np.cumsum(w.transpose(1, 0, 2).reshape(m, n), axis=1)
     edges *= n / edges[:, -1:]
     edges -= u
-    before = np.ceil(edges, out=edges).astype(np.int32)
-    np.clip(before, 0, n, out=before)
+    before = np.ceil(edges, out=edges).astype(np.int64)
+    np.minimum(before, n, out=before)
     before[:, -1] = n
-    counts = before.copy()
-    counts[:, 1:] -= before[:, :-1]
-    return np.repeat(x.reshape(-1), counts.reshape(-1)).reshape(m, n)
+    before += np.arange(0, m * n, n)[:, None]
+    ends = before.reshape(-1)
+    ends[1:] -= ends[:-1].copy()
+    return np.repeat(x.transpose(1, 0, 2).reshape(-1), ends).reshape(m, 4, -1).transpose(1, 0, 2)
 
 
 def bootstrap_logliks(series, phi, mu, sigma, n, rngs) -> np.ndarray:
@@ -229,8 +231,8 @@ def bootstrap_logliks(series, phi, mu, sigma, n, rngs) -> np.ndarray:
 
     A row per chain: its observations (spool or array), parameters and generator. Chains
     are stepped together, longer ones go on alone; a chain draws the same numbers whatever
-    it is stepped with. Particles are resampled where their effective number is below a
-    half, and keep their weights elsewhere.
+    it is stepped with. Particles go in fours (n is rounded up); they are resampled where
+    their effective number is below ``RESAMPLE`` of them, and keep their weights elsewhere.
     """
     order, out = np.argsort([-len(y) for y in series], kind="stable"), np.empty(len(series))
     phi, mu, sigma = (np.asarray(x, float)[order] for x in (phi, mu, sigma))
@@ -238,7 +240,7 @@ def bootstrap_logliks(series, phi, mu, sigma, n, rngs) -> np.ndarray:
     return out
 
 
-_NODES, _SHARES = (x.astype(np.float32)[:, None] for x in np.polynomial.hermite_e.hermegauss(7))
+_NODES, _SHARES = (x.astype(np.float32)[:, None] for x in np.polynomial.hermite_e.hermegauss(5))
 _SHARES /= _SHARES.sum()
 
 
@@ -306,7 +308,7 @@ class PmmhBank:
             return []
         tape, columns = Tape([series[i] for i in order]), np.repeat(np.arange(len(order)), self.chains)
         jobs = [(i, c) for i in order for c in range(self.chains)]
-        rngs = [generator(self.seed, (*keys[i], c)) for i, c in jobs]
+        rngs = [generator(self.seed, (*keys[i], c), np.random.SFC64) for i, c in jobs]  # the quickest
         moves = np.stack([r.standard_normal((self.steps, 3)) for r in rngs], 1) * np.array([0.2, 0.3, 0.4])
         luck = np.log(1 - np.stack([r.random((self.steps, 2)) for r in rngs], 1))
 
@@ -314,7 +316,7 @@ class PmmhBank:
             return gaussian_logliks(tape, columns, *self._natural(x)) + self.log_prior(x)
 
         def value_of(which, x):
-            parts = [slice(a, a + CHAINS) for a in range(0, len(which), CHAINS)]
+            parts = np.array_split(np.arange(len(which)), -(-len(which) // CHAINS))
             found = [_bootstrap(tape, columns[which[p]], *self._natural(x[p]), self.particles, [rngs[j] for j in which[p]]) for p in parts]
             return np.concatenate(found) + self.log_prior(x)
 
