@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.runtime import ship_package, table
+from tickweave.runtime import give_back, kept_for, ship_package, table, thrifty
 
 #: Bounds of the memos of a worker, in entries (pieces: of each of two generations), and the longest piece that is kept.
 PIECES, PAIRS, LONGEST = 200_000, 300_000, 64
@@ -158,6 +158,7 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+@kept_for("bpe")
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     """One per Python worker."""
@@ -195,8 +196,10 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays([keys.slice(start, stop - start), lists, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
                 start = stop
+                ids = decoded = lists = None
+                give_back()
 
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
+    return rows.mapInArrow(thrifty(run, "bpe"), f"doc_id {kind}, ids array<int>, decoded binary")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tickweave.llm.components import connected_components
 from tickweave.llm.hashing import mix, sequence_hashes, word_hashes
-from tickweave.runtime import Scratch, ship_package, table
+from tickweave.runtime import Scratch, ship_package, table, thrifty
 
 SHINGLE = 5
 #: Links: 100 * intersection >= PERCENT * union.
@@ -100,7 +100,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, tokens binary, low binary")
+    return rows.mapInArrow(thrifty(run, "near_dedup"), "doc_id long, n_shingles long, set_key binary, tokens binary, low binary")
 
 
 def _child(node, position):
@@ -134,7 +134,7 @@ def _agreeing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 near = pa.array((x == y).sum(1) >= AGREE)
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(thrifty(run, "near_dedup"), "a long, b long")
 
 
 def _few(rows: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
@@ -203,7 +203,7 @@ def _exhaustive(members: DataFrame) -> DataFrame:
             x, y = np.concatenate(left), np.concatenate(right)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    return packed.mapInArrow(run, "a long, b long")
+    return packed.mapInArrow(thrifty(run, "near_dedup"), "a long, b long")
 
 
 def _texts(ids: DataFrame, docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
@@ -286,7 +286,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, id_col: str,
                     a.append(x), b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    out = scratch.write(rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "confirmed")
+    out = scratch.write(rows.select("a", "b", "text_a", "text_b").mapInArrow(thrifty(run, "near_dedup"), "a long, b long"), "confirmed")
     scratch.drop(texts)
     return out
 

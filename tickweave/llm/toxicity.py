@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.llm.hashing import mix, word_hashes
-from tickweave.runtime import ship_package, table
+from tickweave.runtime import ship_package, table, thrifty
 
 WORD = re.compile(r"\w+")
 #: Letters of a word that make its stem.
@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out, settings: Settings = Set
         at, weight = _fitted([x[1:] for x in seen], settings)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weight)], ["at", "weight"])
 
-    found = rows.select("turn", "label", "text").repartition(1).mapInArrow(run, "at long, weight double").toPandas().sort_values("at")
+    found = rows.select("turn", "label", "text").repartition(1).mapInArrow(thrifty(run, "toxicity"), "at long, weight double").toPandas().sort_values("at")
     at, weight = found["at"].to_numpy(np.int64), found["weight"].to_numpy(np.float64)
     last = 1 << settings.bits
     return Model(settings.bits, at[at < last], weight[at < last], float(weight[at == last].sum()))
@@ -187,7 +187,7 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", carry: li
 
     from pyspark.sql.types import DoubleType, StructType
 
-    return rows.mapInArrow(run, StructType().add("row", rows.schema["row"].dataType).add("score", DoubleType()))
+    return rows.mapInArrow(thrifty(run, "toxicity"), StructType().add("row", rows.schema["row"].dataType).add("score", DoubleType()))
 
 
 #: Documents with this score or more count as toxic.

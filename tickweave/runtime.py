@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import re
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
@@ -21,6 +25,54 @@ _shipped: set[str] = set()
 ARROW_ROWS, ARROW_DEFAULT = "2000", "10000"
 
 
+#: By operator: a cached function, whose results a Python worker keeps from task to task.
+_kept: dict[str, Callable] = {}
+
+
+def kept_for(operator: str):
+    """Decorates a function with ``lru_cache``: its results go when a worker begins a thrifty task of another operator."""
+
+    def note(cached):
+        _kept[operator] = cached
+        return cached
+
+    return note
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Allocators keep it, and Spark's Python workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # only glibc has it
+        trim(0)
+
+
+def drop_kept(operator: str) -> None:
+    """Drop what this worker keeps for operators other than the one named."""
+    held = [cached for name, cached in _kept.items() if name != operator and cached.cache_info().currsize]
+    for cached in held:
+        cached.cache_clear()
+    if held:
+        gc.collect()
+        give_back()
+
+
+def thrifty(run: Callable[[Iterator], Iterator], operator: str) -> Callable[[Iterator], Iterator]:
+    """``run``, for ``mapInArrow``, in a worker that holds no more than its task needs.
+
+    The same workers serve all operators of a pipeline, beside a heap of the executor
+    that only grows, so what one leaves behind would count in all that follow.
+    """
+
+    def task(batches):
+        drop_kept(operator)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per application.
 
