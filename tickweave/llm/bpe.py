@@ -28,8 +28,8 @@ from tickweave.runtime import give_back, kept_for, ship_package, table, thrifty
 PIECES, PAIRS, LONGEST = 200_000, 300_000, 64
 #: Texts above this many characters are cut at safe places, so that memory is bounded.
 CUT = 1 << 20
-#: Characters that one output batch takes.
-BATCH = 4 << 20
+#: Characters that one output batch takes; results don't depend on it, but ids, decoded bytes and their copies take a multiple in every worker.
+BATCH = 1 << 20
 
 
 class _Memo(dict):
